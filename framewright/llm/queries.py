@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm.bpe import token_ids
 from framewright.llm.mixing import draw_mixes
+from framewright.llm.mojibake import garbled_documents, restored_documents
 from framewright.llm.terms import term_counts
 from framewright.session import table
 
@@ -39,6 +40,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return draw_mixes(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with a garbled text or passage."""
+    return garbled_documents(table(spark, d, "documents"))
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled documents with their texts restored where possible."""
+    return restored_documents(table(spark, d, "documents"))
+
+
 P5_SQL = r"""
 with r as (
   select 'domain_segments' table_name, row_number() over () rid, keywords from (select *, row_number() over (partition by analysis_id, segment_idx order by loaded_at) rn from domain_segments) where rn = 1
@@ -49,5 +60,5 @@ c as (select table_name, term, count(*) occurrences, count(distinct rid) records
 counts as (select table_name, term, occurrences, records, case when records < 3 then 'rare' when records > 0.05 * (select count(*) from r where r.table_name = c.table_name) then 'common' end term_mark from c)
 """
 
-QUERIES = {"p5_found": p5_found, "p5_counts": p5_counts, "p7_ids": p7_ids, "p8_draws": p8_draws, "p8_shares": p8_shares}
+QUERIES = {"p5_found": p5_found, "p5_counts": p5_counts, "p7_ids": p7_ids, "p8_draws": p8_draws, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
 SQL = {"p5_counts": P5_SQL + "select * from counts", "p5_found": P5_SQL + "select table_name, term, term_mark from counts where term_mark is not null"}
