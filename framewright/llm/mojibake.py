@@ -49,7 +49,7 @@ def is_clean(token: str) -> bool:
     token = unicodedata.normalize("NFC", token)
     if not set(token) <= _alphabet():
         return False
-    if set(token.strip(_STRIP + _QUOTES)) & set(_QUOTES):
+    if set(token.strip(_STRIP + _QUOTES)) & set(_QUOTES) - {"’"}:
         return False
     for part in token.replace("’", "-").replace("'", "-").split("-"):
         core = part.strip(_STRIP + _QUOTES)
@@ -216,7 +216,10 @@ def undo(token: str, chain: str) -> str | None:
     steps = chain.split(">")
     try:
         for stored, read in reversed(list(zip(steps[::2], steps[1::2]))):
-            data = b"".join(bytes([ord(c)]) if "\x80" <= c <= "\x9f" else c.encode(read) for c in token)
+            try:
+                data = token.encode(read)
+            except UnicodeEncodeError:
+                data = b"".join(bytes([ord(c)]) if "\x80" <= c <= "\x9f" else c.encode(read) for c in token)
             token = "".join(chr(b) if b < 0x80 else TCVN3[b - 0xA1] for b in data) if stored == "tcvn3" else data.decode(stored)
     except (UnicodeError, LookupError):
         return None
@@ -224,21 +227,40 @@ def undo(token: str, chain: str) -> str | None:
     return token if is_clean(token) else None
 
 
+def _encodable(token: str, codec: str) -> bool:
+    try:
+        token.encode(codec)
+    except (UnicodeError, LookupError):
+        return False
+    return True
+
+
 def _restore(text: str | None, tokens: list, chain: str | None) -> str | None:
+    """``text`` with its garbled tokens put back.
+
+    A token that looks clean is garbled too if the chain can have made it and the nearest such token before or after
+    it, ASCII aside, is garbled: the wrong reading of one legacy encoding may look like French.
+    """
     if text is None or chain is None:
         return text
     word = {t["token"]: t["word"] for t in tokens}
-    out = []
+    read = chain.split(">")[-1]
+    lines = []
     for line in text.split("\n"):
-        cells = []
-        for cell in line.split(" "):
-            core = cell.strip(_STRIP)
-            if core and not core.isascii() and not is_clean(core):
+        cells = line.split(" ")
+        cores = [(i, c.strip(_STRIP)) for i, c in enumerate(cells) if not c.isascii()]
+        bad = [not is_clean(c) for _, c in cores]
+        if not chain.startswith("utf-8"):
+            for order in (range(1, len(cores)), range(len(cores) - 2, -1, -1)):
+                for k in order:
+                    near = k - 1 if order.step > 0 else k + 1
+                    bad[k] = bad[k] or (bad[near] and _encodable(cores[k][1], read))
+        for (i, core), garbled in zip(cores, bad):
+            if garbled and core:
                 put = undo(core, chain) or word.get(core)
-                cell = cell.replace(core, put) if put else cell
-            cells.append(cell)
-        out.append(" ".join(cells))
-    return "\n".join(out)
+                cells[i] = cells[i].replace(core, put) if put else cells[i]
+        lines.append(" ".join(cells))
+    return "\n".join(lines)
 
 
 def restored_documents(documents: DataFrame) -> DataFrame:
