@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm.bpe import token_ids
+from framewright.llm.knn import neighbour_pairs
 from framewright.llm.mixing import draw_mixes
 from framewright.llm.mojibake import garbled_documents, restored_documents
 from framewright.llm.terms import term_counts
 from framewright.session import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of most similar keyframes."""
+    return neighbour_pairs(table(spark, d, "keyframes"))
+
+
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     """Every keyword of the two tables with its counts and mark."""
     return term_counts({
@@ -60,5 +66,5 @@ c as (select table_name, term, count(*) occurrences, count(distinct rid) records
 counts as (select table_name, term, occurrences, records, case when records < 3 then 'rare' when records > 0.05 * (select count(*) from r where r.table_name = c.table_name) then 'common' end term_mark from c)
 """
 
-QUERIES = {"p5_found": p5_found, "p5_counts": p5_counts, "p7_ids": p7_ids, "p8_draws": p8_draws, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_counts": p5_counts, "p7_ids": p7_ids, "p8_draws": p8_draws, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
 SQL = {"p5_counts": P5_SQL + "select * from counts", "p5_found": P5_SQL + "select table_name, term, term_mark from counts where term_mark is not null"}
