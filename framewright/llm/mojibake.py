@@ -284,3 +284,19 @@ def restored_documents(documents: DataFrame) -> DataFrame:
     joined = documents.select("doc_id", "text").join(per_doc, "doc_id")
     fixed = joined.withColumn("restored", put_back("text", "tokens", "chain"))
     return fixed.select("doc_id", "chain", "text", "restored", odd_left("restored").alias("left_over"))
+
+
+CHAINS = (*(f"utf-8>{c}" for c in READ_AS), *(f"utf-8>{a}>utf-8>{b}" for a in TWICE[:2] for b in TWICE[:2]), *(f"{s}>{c}" for s in STORED_AS for c in ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251") if s != c))
+
+
+def repaired_text(text: str) -> str:
+    """``text`` with garbled passages undone by the chain that undoes most of its suspicious tokens, without a lexicon.
+
+    A text of which no chain undoes a third of the suspicious tokens is left as it is. For uses that need readable words
+    rather than proof; ``garbled_tokens`` gives the verified cases.
+    """
+    odd = [t for t in dict.fromkeys(_tokens(text)) if not is_clean(t)]
+    if not odd:
+        return text
+    undone, chain = max(((sum(undo(t, c) is not None for t in odd), c) for c in CHAINS), key=lambda x: x[0])
+    return _restore(text, [], chain) if undone * 3 >= len(odd) else text

@@ -9,6 +9,7 @@ from framewright.llm.bpe import token_ids
 from framewright.llm.knn import neighbour_pairs
 from framewright.llm.mixing import draw_mixes
 from framewright.llm.mojibake import garbled_documents, restored_documents
+from framewright.llm.subjects import document_subjects, fit_tables, subject_composition
 from framewright.llm.terms import term_counts
 from framewright.session import table
 
@@ -18,6 +19,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbour_pairs(table(spark, d, "keyframes"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects of every document."""
+    documents = table(spark, d, "documents")
+    return document_subjects(documents, fit_tables(table(spark, d, "domains"), table(spark, d, "subject_examples"), table(spark, d, "domain_segments"), documents))
+
+
+def p4_composition(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the corpus is about each subject."""
+    return subject_composition(p4_found(spark, d), table(spark, d, "documents"))
+
+
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     """Every keyword of the two tables with its counts and mark."""
     return term_counts({
@@ -66,5 +78,5 @@ c as (select table_name, term, count(*) occurrences, count(distinct rid) records
 counts as (select table_name, term, occurrences, records, case when records < 3 then 'rare' when records > 0.05 * (select count(*) from r where r.table_name = c.table_name) then 'common' end term_mark from c)
 """
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_counts": p5_counts, "p7_ids": p7_ids, "p8_draws": p8_draws, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_composition": p4_composition, "p5_found": p5_found, "p5_counts": p5_counts, "p7_ids": p7_ids, "p8_draws": p8_draws, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
 SQL = {"p5_counts": P5_SQL + "select * from counts", "p5_found": P5_SQL + "select table_name, term, term_mark from counts where term_mark is not null"}
