@@ -51,3 +51,20 @@ def spread_lag(df: DataFrame, group: Sequence[str], bucket: Column, order: Seque
     joined = cut.withColumn("__i", F.lag(row).over(inside)).join(carried, same)
     before = F.coalesce("__i", "__c")
     return joined.withColumn("__v", before).select(*df.columns, F.col("__v").isNotNull().alias(f"{prefix}exists"), *[F.col("__v")[v].alias(f"{prefix}{v}") for v in values])
+
+
+def spread_last(df: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[str], value: Column, out: str) -> DataFrame:
+    """Adds ``out``: the last non-null ``value`` at or before each row in ``order`` within ``group``.
+
+    ``bucket`` must not fall while ``order`` rises; ties in ``order`` should be broken by it. An as-of join is a union
+    of both sides followed by this.
+    """
+    cut = df.withColumn("__b", bucket).withColumn("__v", value)
+    lasts = cut.groupBy(*group, "__b").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__l"))
+    earlier = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col("__b").alias("__gb"), F.last("__l", True).over(earlier).alias("__c"))
+    same = F.col("__b").eqNullSafe(F.col("__gb"))
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    inside = Window.partitionBy(*group, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn("__i", F.last("__v", True).over(inside)).join(carried, same).withColumn(out, F.coalesce("__i", "__c")).select(*df.columns, out)
