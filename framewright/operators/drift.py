@@ -102,14 +102,29 @@ def _layouts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield part
 
 
+_KEYS = ("shard_id", "line_no", "stream_key", "written_at", "received_at")
+_SHAPE = ", ".join(f"{c} string" for c in _KEYS)
+
+
+def _as_text(records: DataFrame) -> DataFrame:
+    """The key columns as text, as they go through Python, and raw_json: pandas would make floats of ids with nulls."""
+    return records.select(*[F.col(c).cast("string").alias(c) for c in _KEYS], "raw_json")
+
+
+def _as_before(parsed: DataFrame, records: DataFrame) -> DataFrame:
+    types = dict(records.dtypes)
+    return parsed.withColumns({c: F.col(c).cast(types[c]) for c in _KEYS})
+
+
 def shard_layouts(records: DataFrame) -> DataFrame:
     """How many records of each shard have each layout: stream_key, shard_id, written_at, layout, n.
 
     A record that came again (same shard_id and line_no) counts once, as first received. Records are parsed before
     anything is shuffled, so only layouts move.
     """
-    shape = "shard_id long, stream_key string, written_at timestamp, line_no int, received_at timestamp, layout string"
-    parsed = records.select("shard_id", "stream_key", "written_at", "line_no", "received_at", "raw_json").mapInPandas(_layouts, shape)
+    keys = _as_text(records)
+    parsed = keys.mapInPandas(_layouts, f"{_SHAPE}, layout string")
+    parsed = _as_before(parsed, records)
     once = parsed.groupBy("shard_id", "line_no", F.when(F.col("line_no").isNull(), F.col("layout")).alias("_x")).agg(F.min(F.struct("received_at", "stream_key", "written_at", "layout")).alias("r"))
     return once.groupBy("shard_id", "r.stream_key", "r.written_at", "r.layout").agg(F.count(F.lit(1)).alias("n"))
 
@@ -261,7 +276,7 @@ def consistent_records(records: DataFrame, fields: dict[str, str]) -> DataFrame:
     that came again counts once, as first received.
     """
     field_of = match_fields(checkpointed(shard_layouts(records)), fields)
-    shape = "shard_id long, line_no int, stream_key string, written_at timestamp, received_at timestamp, valid boolean, point_id long, video_name string, frame long, vector array<double>, dim double, shot_id double"
+    shape = f"{_SHAPE}, valid boolean, point_id long, video_name string, frame long, vector array<double>, dim double, shot_id double"
 
     def convert(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -277,8 +292,7 @@ def consistent_records(records: DataFrame, fields: dict[str, str]) -> DataFrame:
                 made[c] = made[c].astype("Int64")
             yield pd.concat([part, made], axis=1)
 
-    columns = ["shard_id", "line_no", "stream_key", "written_at", "received_at"]
-    flat = records.select(*columns, "raw_json").mapInPandas(convert, shape)
+    flat = _as_before(_as_text(records).mapInPandas(convert, shape), records)
     rest = [c for c in flat.columns if c not in ("shard_id", "line_no")]
     once = flat.groupBy("shard_id", "line_no").agg(F.min_by(F.struct(*rest), "received_at").alias("r")).select("shard_id", "line_no", "r.*")
     return once.withColumns({c: F.round(c).cast("long") for c in ("dim", "shot_id")})

@@ -36,12 +36,15 @@ def windowed_counts_once(spark: SparkSession, folder: str, table: str, time: str
     """
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{folder}/{table}.parquet*")
+    ntz = dict(stream.dtypes)[time] == "timestamp_ntz"
+    if ntz:  # windows follow UTC days; times without a zone are taken as UTC whatever the session's zone
+        stream = stream.withColumn(time, F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(time)).cast("timestamp"))
     name = f"counts_{uuid.uuid4().hex}"
     where = f"{ensure_checkpoint_dir(spark)}/{name}"
     counted = windowed_counts(stream, time, key, width)
     counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
     rows = spark.table(name)
-    return rows.withColumn("start", F.col("start").cast("timestamp_ntz")) if dict(rows.dtypes)["start"] == "timestamp" else rows
+    return rows.withColumn("start", F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("start").cast("timestamp_ntz"))) if ntz else rows
 
 
 def upsert_stream(stream: DataFrame, target: str, key: list[str], version: str, checkpoint: str | None = None):
