@@ -160,7 +160,7 @@ def _tokens(text: str) -> list[str]:
 
 
 def _scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Clean words of each block with their counts (doc_id null), and the suspicious tokens of each document."""
+    """Clean words of each block with their counts, and the suspicious tokens of each document (n = 0)."""
     for part in parts:
         words: dict[str, int] = {}
         clean: dict[str, bool] = {}
@@ -177,8 +177,8 @@ def _scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     words[t] = words.get(t, 0) + 1
                 else:
                     odd.add(t)
-            rows += [(doc, t, 1) for t in odd]
-        yield pd.DataFrame({"doc_id": pd.array([r[0] for r in rows] + [None] * len(words), dtype="Int64"), "token": [r[1] for r in rows] + list(words), "n": [r[2] for r in rows] + list(words.values())})
+            rows += [(doc, t) for t in odd]
+        yield pd.DataFrame({"doc_id": [r[0] for r in rows] + [None] * len(words), "token": [r[1] for r in rows] + list(words), "n": [0] * len(rows) + list(words.values())})
 
 
 def _forms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,13 +192,15 @@ def _forms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def garbled_tokens(documents: DataFrame) -> DataFrame:
     """doc_id, token, word, chain: every distinct token of a document that is a garbled form of a clean corpus word.
 
-    Null, empty and ASCII texts have none. Of several words with one garbled form the commonest in the corpus is taken,
+    Rows with a null doc_id count as one document of that id. Null, empty and ASCII texts have none. Of several words with one garbled form the commonest in the corpus is taken,
     then the first in order. Distinct tokens are joined, not their occurrences, and what was found goes back to the
     documents with a salt, so a garbled word that is in a third of all documents is spread over tasks.
     """
-    seen = checkpointed(documents.select("doc_id", "text").mapInPandas(_scan, "doc_id long, token string, n long"))
-    words = seen.where("doc_id is null").groupBy("token").agg(F.sum("n").alias("n"))
-    odd = seen.where("doc_id is not null").select("doc_id", "token")
+    # ids go through Python as text: pandas would make floats of a column with nulls
+    scanned = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_scan, "doc_id string, token string, n long")
+    seen = checkpointed(scanned.withColumn("doc_id", F.col("doc_id").cast(dict(documents.dtypes)["doc_id"])))
+    words = seen.where("n > 0").groupBy("token").agg(F.sum("n").alias("n"))
+    odd = seen.where("n = 0").select("doc_id", "token")
     distinct = odd.select("token").distinct()
     forms = words.mapInPandas(_forms, "token string, word string, n long, chain string")
     known = forms.join(distinct, "token", "left_semi").groupBy("token").agg(F.min_by(F.struct("word", "chain"), F.struct(-F.col("n"), "word", "chain")).alias("w"))
