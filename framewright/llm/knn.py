@@ -61,7 +61,7 @@ class Cells:
             start.append(start[-1] + len(fine[-1]))
         self.fine, self.start = np.concatenate(fine), np.array(start)
 
-    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def assign(self, x: np.ndarray, border: float = BORDER) -> tuple[np.ndarray, np.ndarray]:
         """The nearest cell of each unit vector, and the next one if the border is near (else -1)."""
         n = len(x)
         best, which = np.full((n, 2), -2.0, np.float32), np.full((n, 2), -1, np.int32)
@@ -81,7 +81,7 @@ class Cells:
                 best[down, 0], which[down, 0] = s[first], j[first] + self.start[g]
                 only = rows[second & ~first]
                 best[only, 1], which[only, 1] = s[second & ~first], j[second & ~first] + self.start[g]
-        return which[:, 0], np.where(best[:, 1] >= best[:, 0] - BORDER, which[:, 1], -1)
+        return which[:, 0], np.where(best[:, 1] >= best[:, 0] - border, which[:, 1], -1)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -318,3 +318,64 @@ def neighbour_pairs(vectors: DataFrame, k: int = K, dim: int = DIM) -> DataFrame
     """point_a < point_b: the pairs of which at least one point is among the other's ``k`` most similar."""
     links = with_copies(neighbour_graph(vectors, k, dim), vectors, k, dim)
     return links.select(F.least("point_id", "id").alias("point_a"), F.greatest("point_id", "id").alias("point_b")).distinct()
+
+
+def graph_search(vectors: DataFrame, queries: DataFrame, k: int = K, dim: int = DIM, beam: int = 24, width: int = 6, hops: int = 8, entries: int = 40, graph: DataFrame | None = None) -> DataFrame:
+    """query_id, point_id, similarity: the ``k`` most similar points of each query, by greedy search in the graph.
+
+    ``queries`` has query_id and vector. A search starts from some points (``entries``) of the two cells nearest to the
+    query, for the graph of tight clusters is not connected, and then, hop by hop, follows the graph edges (both ways) of its ``width`` best points not yet followed, keeping the best ``beam``;
+    it ends when no search has such a point, or after ``hops``. Points are joined to searches by id, so nothing but the
+    asked vectors of a hop moves. A point is no hit of a query with its own id. Unusable vectors on either side are left
+    out; repeated points and queries count once. Accuracy is set by ``beam`` and ``width``.
+    """
+    rows, asked = _sized(vectors, dim), _sized(queries.select(F.col("query_id").alias("point_id"), "vector"), dim)
+    graph = checkpointed(neighbour_graph(vectors, k, dim) if graph is None else graph).select("point_id", "near")
+    n = rows.count()
+    sample = _sample(rows, n, dim)
+    cells = Cells(sample if len(sample) else np.eye(1, dim, dtype=np.float32), n // CELL_ROWS)
+    located = rows.mapInArrow(_packed(cells, dim, False), "point_id long, cell int, vec binary").dropDuplicates(["point_id"])
+    points = checkpointed(located.join(graph.select("point_id"), "point_id", "left_semi"))
+    started = checkpointed(asked.mapInArrow(_packed(cells, dim, True), "point_id long, cell int, vec binary").dropDuplicates(["point_id", "cell"])).withColumnRenamed("point_id", "query_id")
+    searches = started.groupBy("query_id").agg(F.first("vec").alias("qv"))
+    edges = graph.select("point_id", F.explode("near.id").alias("id"))
+    edges = checkpointed(edges.unionByName(edges.select(F.col("id").alias("point_id"), F.col("point_id").alias("id"))).distinct())
+    # the same few points open every search of a cell: those of the smallest hashes
+    doors = points.groupBy("cell").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("point_id"), F.lit(2)) == 0, F.struct(F.xxhash64("point_id").alias("h"), F.col("point_id").alias("id"))))), 1, entries).alias("d"), F.min("point_id").alias("least"))
+    doors = doors.select("cell", F.explode(F.array_union(F.transform("d", lambda x: x["id"]), F.array("least"))).alias("id"))
+    fresh = started.select("query_id", "cell").join(doors, "cell").select("query_id", "id")
+    state = None
+    for _ in range(hops):
+        pairs = fresh.where("query_id <> id").distinct().join(points.select(F.col("point_id").alias("id"), "vec"), "id").join(searches.select("query_id", "qv"), "query_id").select("query_id", "id", "qv", "vec")
+        scored = pairs.mapInArrow(_pair_similarity(dim), "a long, b long, far int").select(F.col("a").alias("query_id"), F.struct("far", F.col("b").alias("id"), F.lit(False).alias("followed")).alias("e"))
+        found = scored.groupBy("query_id").agg(F.collect_list("e").alias("new"))
+        if state is None:
+            merged = found.withColumn("best", F.slice(F.array_sort("new"), 1, beam))
+        else:
+            merged = state.join(found, "query_id", "left").withColumn("best", F.slice(F.array_sort(F.concat("best", F.coalesce("new", F.array().cast("array<struct<far:int,id:long,followed:boolean>>")))), 1, beam))
+        ahead = F.slice(F.filter("best", lambda e: ~e["followed"]), 1, width)
+        state = checkpointed(merged.select("query_id", "best", F.transform(ahead, lambda e: e["id"]).alias("go")))
+        if not state.where(F.size("go") > 0).limit(1).count():
+            break
+        step = state.select("query_id", F.explode("go").alias("point_id"), F.transform("best", lambda e: e["id"]).alias("have")).join(edges, "point_id").where(~F.array_contains("have", F.col("id")))
+        fresh = step.select("query_id", "id")
+        state = state.select("query_id", F.transform("best", lambda e: F.struct(e["far"].alias("far"), e["id"].alias("id"), (e["followed"] | F.array_contains("go", e["id"])).alias("followed"))).alias("best"))
+    return state.select("query_id", F.explode(F.slice("best", 1, k)).alias("e")).select("query_id", F.col("e.id").alias("point_id"), (-F.col("e.far") / 1e6).alias("similarity"))
+
+
+def _packed(cells: Cells, dim: int, both: bool):
+    """point_id, nearest cell and vector of the usable rows; with ``both`` a second row for the next cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(1), dim)
+            unit, good = _unit(x)
+            rows = np.flatnonzero(good)
+            home, other = cells.assign(unit[rows].astype(np.float32), 9.0 if both else BORDER)
+            cell = np.r_[home, other[other >= 0]] if both else home
+            rows = np.r_[rows, rows[other >= 0]] if both else rows
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(cell, pa.int32()), _bytes(x[rows])], ["point_id", "cell", "vec"])
+
+    return run

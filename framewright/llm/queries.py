@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm.bpe import token_ids
-from framewright.llm.knn import neighbour_pairs
+from framewright.llm.knn import graph_search, neighbour_pairs
 from framewright.llm.mixing import draw_mixes
 from framewright.llm.mojibake import garbled_documents, restored_documents
 from framewright.llm.subjects import document_subjects, fit_tables, subject_composition
@@ -19,6 +19,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbour_pairs(table(spark, d, "keyframes"))
 
 
+def p3_search(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar keyframes of the stated query set (every id divisible by 20), by greedy search in the graph."""
+    k = table(spark, d, "keyframes")
+    return graph_search(k, k.where("point_id % 20 = 0").select(F.col("point_id").alias("query_id"), "vector"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The subjects of every document."""
     documents = table(spark, d, "documents")
@@ -78,5 +84,5 @@ c as (select table_name, term, count(*) occurrences, count(distinct rid) records
 counts as (select table_name, term, occurrences, records, case when records < 3 then 'rare' when records > 0.05 * (select count(*) from r where r.table_name = c.table_name) then 'common' end term_mark from c)
 """
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_composition": p4_composition, "p5_found": p5_found, "p5_counts": p5_counts, "p7_ids": p7_ids, "p8_draws": p8_draws, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p3_found": p3_found, "p3_search": p3_search, "p4_found": p4_found, "p4_composition": p4_composition, "p5_found": p5_found, "p5_counts": p5_counts, "p7_ids": p7_ids, "p8_draws": p8_draws, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
 SQL = {"p5_counts": P5_SQL + "select * from counts", "p5_found": P5_SQL + "select table_name, term, term_mark from counts where term_mark is not null"}
