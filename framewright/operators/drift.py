@@ -25,8 +25,8 @@ BESIDE = 0.2
 #: A path whose name is less like a field's than this needs a telling shape and the field's own name elsewhere.
 LIKE = 0.3
 ROUNDS, SETTLED = 50, 1e-4
-#: The shapes that the values of a field of each class can have.
-CLASSES = {"series": ("series",), "number": ("number", "length"), "text": ("text",), "flag": ("flag",)}
+#: The shapes that the values of a field of each class can have; a number may turn into text ("s0007").
+CLASSES = {"series": ("series",), "number": ("number", "length", "text"), "text": ("text", "number", "length"), "flag": ("flag",)}
 _SERIES = re.compile(r"^[\s\[(]*-?\d[\d.eE+-]*(\s*[,;\s]\s*-?\d[\d.eE+-]*)+[\s\])]*$")
 _NUMBER = re.compile(r"^\s*[+-]?\d+(\.\d*)?([eE][+-]?\d+)?\s*$")
 
@@ -256,7 +256,10 @@ def schema_changes(records: DataFrame, fields: dict[str, str]) -> DataFrame:
 
 
 def _number(value: object) -> float | None:
+    """The number, or the only run of digits in a text such as "s0007"."""
     try:
+        if isinstance(value, str) and not _NUMBER.match(value) and len(runs := re.findall(r"\d+", value)) == 1:
+            return float(runs[0])
         return float(value) if not isinstance(value, (bool, list)) else None
     except (TypeError, ValueError):
         return None
