@@ -178,7 +178,7 @@ def _scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 else:
                     odd.add(t)
             rows += [(doc, t) for t in odd]
-        yield pd.DataFrame({"doc_id": [r[0] for r in rows] + [None] * len(words), "token": [r[1] for r in rows] + list(words), "n": [0] * len(rows) + list(words.values())})
+        yield pd.DataFrame({"doc_id": [r[0] for r in rows] + [None] * len(words), "token": [r[1] for r in rows] + list(words), "n": [0] * len(rows) + list(words.values())}, dtype=object)
 
 
 def _forms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,7 +186,7 @@ def _forms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(part), 500):
             cut = part.iloc[at : at + 500]
             rows = [(form, word, n, chain) for word, n in zip(cut["token"], cut["n"]) for form, chain in garbled_forms(unicodedata.normalize("NFC", word)).items()]
-            yield pd.DataFrame(rows, columns=["token", "word", "n", "chain"])
+            yield pd.DataFrame(rows, columns=["token", "word", "n", "chain"], dtype=object)
 
 
 def garbled_tokens(documents: DataFrame) -> DataFrame:
@@ -252,7 +252,9 @@ def _restore(text: str | None, tokens: list, chain: str | None) -> str | None:
         cells = line.split(" ")
         cores = [(i, c.strip(_STRIP)) for i, c in enumerate(cells) if not c.isascii()]
         bad = [not is_clean(c) for _, c in cores]
-        if not chain.startswith("utf-8"):
+        if chain.startswith("utf-8"):  # clean bytes are hardly ever valid UTF-8, so what can be undone is garbled
+            bad = [b or undo(c, chain) not in (None, c) for b, (_, c) in zip(bad, cores)]
+        else:
             for order in (range(1, len(cores)), range(len(cores) - 2, -1, -1)):
                 for k in order:
                     near = k - 1 if order.step > 0 else k + 1
@@ -294,11 +296,13 @@ CHAINS = (*(f"utf-8>{c}" for c in READ_AS), *(f"utf-8>{a}>utf-8>{b}" for a in TW
 def repaired_text(text: str) -> str:
     """``text`` with garbled passages undone by the chain that undoes most of its suspicious tokens, without a lexicon.
 
-    A text of which no chain undoes a third of the suspicious tokens is left as it is. For uses that need readable words
+    A text of which no chain undoes a third of the suspicious tokens is left as it is (of one legacy encoding read as
+    another, which foreign words may look like, four tokens and two thirds). For uses that need readable words
     rather than proof; ``garbled_tokens`` gives the verified cases.
     """
     odd = [t for t in dict.fromkeys(_tokens(text)) if not is_clean(t)]
     if not odd:
         return text
     undone, chain = max(((sum(undo(t, c) is not None for t in odd), c) for c in CHAINS), key=lambda x: x[0])
-    return _restore(text, [], chain) if undone * 3 >= len(odd) else text
+    enough = undone * 3 >= len(odd) if chain.startswith("utf-8") else undone >= 4 and undone * 3 >= 2 * len(odd)
+    return _restore(text, [], chain) if enough else text

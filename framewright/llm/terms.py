@@ -34,7 +34,7 @@ def _block_counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [(t, w, n, records[t, w]) for (t, w), n in occurrences.items()]
         occurrences.clear()
         records.clear()
-        return pd.DataFrame(rows, columns=["table_name", "term", "occurrences", "records"])
+        return pd.DataFrame(rows, columns=["table_name", "term", "occurrences", "records"], dtype=object)
 
     for part in parts:
         for name, keywords in zip(part["table_name"], part["keywords"]):
