@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.operators.ordered import spread_prefix_sum
+from framewright.session import checkpointed
 
 BUCKET = 1 << 16
 
@@ -28,8 +29,9 @@ def periods_and_gaps(spans: DataFrame, key: str, start: str, end: str, bucket_wi
         .where("d <> 0")
     )
     bucket = F.floor(F.col("pos") / bucket_width)
-    active = spread_prefix_sum(events, ["k"], bucket, ["pos"], "d", "n")
-    bounds = active.withColumn("was", F.col("n") - F.col("d")).where("(was = 0) <> (n = 0)").select("k", "pos", (F.col("was") == 0).cast("long").alias("opens"))
+    # each prefix sum reads its input twice (rows and bucket totals); what is written once is not computed twice
+    active = spread_prefix_sum(checkpointed(events), ["k"], bucket, ["pos"], "d", "n")
+    bounds = checkpointed(active.withColumn("was", F.col("n") - F.col("d")).where("(was = 0) <> (n = 0)").select("k", "pos", (F.col("was") == 0).cast("long").alias("opens")))
     numbered = spread_prefix_sum(bounds, ["k"], bucket, ["pos"], "opens", "i")
     pos, i, null = F.col("pos"), F.col("i"), F.lit(None).cast("long")
     part = lambda kind, i, s, e: F.struct(F.lit(kind).alias("span_kind"), i.alias("i"), s.alias("s"), e.alias("e"))

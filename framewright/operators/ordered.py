@@ -9,27 +9,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+
+
+def _keyed(df: DataFrame, group: Sequence[str], bucket: Column) -> DataFrame:
+    """``df`` with its group as one struct, never null itself, so that plain equality joins it, and its bucket.
+
+    The windows, sums and joins over (group, bucket) share one shuffle of the rows.
+    """
+    return df.withColumn("__g", F.struct(*group)).withColumn("__b", bucket)
+
+
+def _inside() -> WindowSpec:
+    return Window.partitionBy("__g", "__b")
+
+
+def _earlier() -> WindowSpec:
+    return Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def spread_prefix_sum(df: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[str], value: str, out: str) -> DataFrame:
     """Adds ``out``: the inclusive sum of ``value`` over ``order`` within ``group``.
 
     ``bucket`` must not fall while ``order`` rises. Null groups form a group of their own; null values count as 0.
     An empty table gives an empty table.
     """
-    cut = df.withColumn("__b", bucket)
-    totals = cut.groupBy(*group, "__b").agg(F.coalesce(F.sum(value), F.lit(0)).alias("__t"))
-    earlier = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col("__b").alias("__gb"), F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__o"))
-    same = F.col("__b").eqNullSafe(F.col("__gb"))
-    for g in group:
-        same &= F.col(g).eqNullSafe(F.col(f"__g_{g}"))
-    inside = Window.partitionBy(*group, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    cut = _keyed(df, group, bucket)
+    totals = cut.groupBy("__g", "__b").agg(F.coalesce(F.sum(value), F.lit(0)).alias("__t"))
+    offsets = totals.select("__g", "__b", F.coalesce(F.sum("__t").over(_earlier()), F.lit(0)).alias("__o"))
+    inside = _inside().orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         cut.withColumn("__p", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(offsets, same)
+        .join(offsets, ["__g", "__b"])
         .withColumn(out, F.col("__p") + F.col("__o"))
         .select(*df.columns, out)
     )
@@ -40,15 +54,11 @@ def spread_lag(df: DataFrame, group: Sequence[str], bucket: Column, order: Seque
 
     ``bucket`` must not fall while ``order`` rises, and ``order`` should be unique within a group.
     """
-    cut = df.withColumn("__b", bucket)
+    cut = _keyed(df, group, bucket)
     row = F.struct(*values)
-    inside = Window.partitionBy(*group, "__b").orderBy(*order)
-    lasts = cut.groupBy(*group, "__b").agg(F.max_by(row, F.struct(*order)).alias("__l"))
-    carried = lasts.select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col("__b").alias("__gb"), F.lag("__l").over(Window.partitionBy(*group).orderBy("__b")).alias("__c"))
-    same = F.col("__b").eqNullSafe(F.col("__gb"))
-    for g in group:
-        same &= F.col(g).eqNullSafe(F.col(f"__g_{g}"))
-    joined = cut.withColumn("__i", F.lag(row).over(inside)).join(carried, same)
+    lasts = cut.groupBy("__g", "__b").agg(F.max_by(row, F.struct(*order)).alias("__l"))
+    carried = lasts.select("__g", "__b", F.lag("__l").over(Window.partitionBy("__g").orderBy("__b")).alias("__c"))
+    joined = cut.withColumn("__i", F.lag(row).over(_inside().orderBy(*order))).join(carried, ["__g", "__b"])
     before = F.coalesce("__i", "__c")
     return joined.withColumn("__v", before).select(*df.columns, F.col("__v").isNotNull().alias(f"{prefix}exists"), *[F.col("__v")[v].alias(f"{prefix}{v}") for v in values])
 
@@ -59,12 +69,8 @@ def spread_last(df: DataFrame, group: Sequence[str], bucket: Column, order: Sequ
     ``bucket`` must not fall while ``order`` rises; ties in ``order`` should be broken by it. An as-of join is a union
     of both sides followed by this.
     """
-    cut = df.withColumn("__b", bucket).withColumn("__v", value)
-    lasts = cut.groupBy(*group, "__b").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__l"))
-    earlier = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col("__b").alias("__gb"), F.last("__l", True).over(earlier).alias("__c"))
-    same = F.col("__b").eqNullSafe(F.col("__gb"))
-    for g in group:
-        same &= F.col(g).eqNullSafe(F.col(f"__g_{g}"))
-    inside = Window.partitionBy(*group, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.withColumn("__i", F.last("__v", True).over(inside)).join(carried, same).withColumn(out, F.coalesce("__i", "__c")).select(*df.columns, out)
+    cut = _keyed(df, group, bucket).withColumn("__v", value)
+    lasts = cut.groupBy("__g", "__b").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__l"))
+    carried = lasts.select("__g", "__b", F.last("__l", True).over(_earlier()).alias("__c"))
+    inside = _inside().orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn("__i", F.last("__v", True).over(inside)).join(carried, ["__g", "__b"]).withColumn(out, F.coalesce("__i", "__c")).select(*df.columns, out)
