@@ -178,14 +178,17 @@ def _in_cell(dim: int, k: int):
         keep = _first_of_copies(ids, _copy_keys(x), k + 1)
         x, ids, c1, c2 = x[keep], ids[keep], c1[keep], c2[keep]
         unit = _unit(x)[0]
+        # of vectors of one direction (scaled copies) only the smallest ids can be anyone's neighbours
+        cols = _first_of_copies(ids, _copy_keys(np.rint(unit * 1e5).astype(np.float32)), k + 1)
         short = unit.astype(np.float32)
-        n, kk = len(ids), min(k + 1, len(ids))  # an id may be there in two versions; it is no neighbour of itself
+        near, n, kk = short[cols].T, len(ids), min(k + 1, len(cols))  # an id may come in two versions
         out = []
         for at in range(0, n, BLOCK):
-            sims = short[at : at + BLOCK] @ short.T
-            sims[ids[at : at + BLOCK, None] == ids[None, :]] = -2
+            sims = short[at : at + BLOCK] @ near
+            sims[ids[at : at + BLOCK, None] == ids[None, cols]] = -2
             least = -np.partition(-sims, kk - 1, axis=1)[:, kk - 1] - 4e-6
             r, c = np.nonzero((sims >= least[:, None]) & (sims > -1.5))
+            c = cols[c]
             exact = np.rint(np.einsum("ij,ij->i", unit[at + r], unit[c]) * 1e6).astype(np.int64)
             best = _ranked(r, exact, ids[c], k)
             out.append((at + r[best], c[best], exact[best]))

@@ -21,7 +21,8 @@ def shuffled_prefix(documents: DataFrame, seed: int = SEED) -> DataFrame:
     """
     sized = documents.where("source is not null and doc_id is not null and text is not null").select("source", "doc_id", token_count(F.col("text")).alias("tokens")).where("tokens > 0")
     once = sized.groupBy("source", "doc_id").agg(F.max("tokens").alias("tokens")).withColumn("key", F.xxhash64(F.lit(seed), F.col("doc_id")))
-    return spread_prefix_sum(once, ["source"], F.shiftright("key", 64 - BUCKET_BITS), ["key", "doc_id"], "tokens", "upto")
+    # the sums read their input twice; texts are encoded once
+    return spread_prefix_sum(checkpointed(once), ["source"], F.shiftright("key", 64 - BUCKET_BITS), ["key", "doc_id"], "tokens", "upto")
 
 
 def budgets(targets: DataFrame, stock: DataFrame, total_tokens: int | None = None) -> DataFrame:
