@@ -224,3 +224,41 @@ def region_iou(a: Column, b: Column) -> Column:
     side = lambda o, s: F.greatest(F.lit(0.0), F.least(a[o] + a[s], b[o] + b[s]) - F.greatest(a[o], b[o]))
     common = side("x", "w") * side("y", "h")
     return F.coalesce(F.try_divide(common, a["w"] * a["h"] + b["w"] * b["h"] - common), F.lit(0.0))
+
+
+# media and addresses
+
+
+def frame_seconds(frame: Column, fps: Column) -> Column:
+    """Seconds of a frame to 3 decimals; null without a positive rate."""
+    return F.when(fps > 0, F.round(frame / fps, 3))
+
+
+def even_width(width: Column, height: Column, out_height: Column) -> Column:
+    """The even width that keeps the aspect ratio at a new height; halves are rounded to even."""
+    return (F.bround(width * out_height / height / 2) * 2).cast("int")
+
+
+def object_url(base: Column, *parts: Column) -> Column:
+    """The address of an object below a base, with single slashes; null if any part is null."""
+    path = F.concat(*[x for p in parts for x in (F.lit("/"), F.regexp_replace(p, "^/+|/+$", ""))])
+    return F.concat(F.regexp_replace(base, "/+$", ""), path)
+
+
+def file_name(index: Column, width: int, suffix: str) -> Column:
+    """'000012.webp': a number padded to ``width`` with a suffix."""
+    return F.concat(F.lpad(index.cast("string"), width, "0"), F.lit(suffix))
+
+
+def parse_answer(text: Column) -> Column:
+    """struct(kind, video, answer, ms) of a submitted line: 'TR-<video>-<ms>,...' or 'QA-<answer>-<video>-<ms>'; else nulls."""
+    chain = r"^TR-(.+)-(\d+(?:,\d+)*)$"
+    qa = r"^QA-(.*)-([^-]+)-(\d+)$"
+    is_tr, is_qa = text.rlike(chain), text.rlike(qa)
+    times = F.when(is_tr, F.regexp_extract(text, chain, 2)).when(is_qa, F.regexp_extract(text, qa, 3))
+    return F.struct(
+        F.when(is_tr, "trake").when(is_qa, "qa").alias("kind"),
+        F.when(is_tr, F.regexp_extract(text, chain, 1)).when(is_qa, F.regexp_extract(text, qa, 2)).alias("video"),
+        F.when(is_qa, F.regexp_extract(text, qa, 1)).alias("answer"),
+        F.transform(F.split(times, ","), lambda x: x.cast("long")).alias("ms"),
+    )
