@@ -19,8 +19,9 @@ def shuffled_prefix(documents: DataFrame, seed: int = SEED) -> DataFrame:
     are carried along; a source that holds a third of all documents is sorted in as many pieces. Documents without a
     source or without tokens cannot be drawn and are left out; a doc_id that comes twice counts once.
     """
-    sized = documents.where("source is not null and doc_id is not null and text is not null").select("source", "doc_id", token_count(F.col("text")).alias("tokens")).where("tokens > 0")
-    once = sized.groupBy("source", "doc_id").agg(F.max("tokens").alias("tokens")).withColumn("key", F.xxhash64(F.lit(seed), F.col("doc_id")))
+    sized = documents.where("source is not null and doc_id is not null and text is not null").select("source", "doc_id", token_count(F.col("text")).alias("tokens"))
+    # the filter follows the aggregate: before it, Catalyst would encode every text once for the filter and once more
+    once = sized.groupBy("source", "doc_id").agg(F.max("tokens").alias("tokens")).where("tokens > 0").withColumn("key", F.xxhash64(F.lit(seed), F.col("doc_id")))
     # the sums read their input twice; texts are encoded once
     return spread_prefix_sum(checkpointed(once), ["source"], F.shiftright("key", 64 - BUCKET_BITS), ["key", "doc_id"], "tokens", "upto")
 
