@@ -22,11 +22,13 @@ from framewright.session import checkpointed
 
 DIM, K = 64, 5
 #: Rows for each cell, the sample for the centres (at least, at most), and its rows for each centre.
-CELL_ROWS, MIN_SAMPLE, MAX_SAMPLE, SAMPLE_PER_CELL = 100, 20_000, 200_000, 8
+CELL_ROWS, MIN_SAMPLE, MAX_SAMPLE, SAMPLE_PER_CELL = 64, 20_000, 200_000, 7
 #: A vector also visits its second nearest cell if that centre is less similar by at most this.
 BORDER = 0.08
-#: Coarse centres whose cells are looked at, and rows of one block of similarities.
-PROBES, BLOCK = 4, 2048
+#: Up to so many cells a vector is compared with every centre; beyond, with about so many, under its nearest coarse ones.
+FLAT_CELLS, PROBED_CELLS = 8192, 3000
+#: Rows of one block of similarities.
+BLOCK = 2048
 #: NN-descent ends after so many rounds, or when fewer than this share of the lists' entries changed.
 ROUNDS, SETTLED = 1, 0.005
 #: Bits of the filter that keeps vectors nobody asked for from being shuffled (1 MB, whatever the data).
@@ -48,11 +50,11 @@ def _centres(x: np.ndarray, n: int, rounds: int = 6, seed: int = 7) -> np.ndarra
 
 
 class Cells:
-    """A two-level partition of the unit sphere: coarse centres, and under each its fine ones, the cells."""
+    """A partition of the unit sphere into cells; many cells lie under coarse centres, so a vector meets a bounded number."""
 
     def __init__(self, sample: np.ndarray, cells: int):
         cells = max(1, min(cells, len(sample) // SAMPLE_PER_CELL))
-        self.coarse = _centres(sample, max(1, round(cells**0.5)))
+        self.coarse = _centres(sample, 1 if cells <= FLAT_CELLS else round(cells**0.5))
         near = np.argmax(sample @ self.coarse.T, axis=1)
         fine, start = [], [0]
         for g in range(len(self.coarse)):
@@ -65,22 +67,25 @@ class Cells:
         """The nearest cell of each unit vector, and the next one if the border is near (else -1)."""
         n = len(x)
         best, which = np.full((n, 2), -2.0, np.float32), np.full((n, 2), -1, np.int32)
+        per_group = len(self.fine) / len(self.coarse)
+        probes = min(len(self.coarse), max(4, round(PROBED_CELLS / per_group)))
         to = x @ self.coarse.T
-        probes = min(PROBES, to.shape[1])
         groups = np.argpartition(-to, probes - 1, axis=1)[:, :probes]
         for g in np.unique(groups):
-            rows = np.flatnonzero((groups == g).any(axis=1))
-            sims = x[rows] @ self.fine[self.start[g] : self.start[g + 1]].T
-            for _ in range(min(2, sims.shape[1])):
-                j = np.argmax(sims, axis=1)
-                s = sims[np.arange(len(rows)), j]
-                sims[np.arange(len(rows)), j] = -3
-                first, second = s > best[rows, 0], s > best[rows, 1]
-                down = rows[first]
-                best[down, 1], which[down, 1] = best[down, 0], which[down, 0]
-                best[down, 0], which[down, 0] = s[first], j[first] + self.start[g]
-                only = rows[second & ~first]
-                best[only, 1], which[only, 1] = s[second & ~first], j[second & ~first] + self.start[g]
+            of_g = np.flatnonzero((groups == g).any(axis=1))
+            for at in range(0, len(of_g), BLOCK):
+                rows = of_g[at : at + BLOCK]
+                sims = x[rows] @ self.fine[self.start[g] : self.start[g + 1]].T
+                for _ in range(min(2, sims.shape[1])):
+                    j = np.argmax(sims, axis=1)
+                    s = sims[np.arange(len(rows)), j]
+                    sims[np.arange(len(rows)), j] = -3
+                    first = s > best[rows, 0]
+                    second = (s > best[rows, 1]) & ~first
+                    down, only = rows[first], rows[second]
+                    best[down, 1], which[down, 1] = best[down, 0], which[down, 0]
+                    best[down, 0], which[down, 0] = s[first], j[first] + self.start[g]
+                    best[only, 1], which[only, 1] = s[second], j[second] + self.start[g]
         return which[:, 0], np.where(best[:, 1] >= best[:, 0] - border, which[:, 1], -1)
 
 
@@ -113,7 +118,7 @@ def _sized(vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def _sample(rows: DataFrame, n: int, dim: int) -> np.ndarray:
-    want = max(MIN_SAMPLE, min(MAX_SAMPLE, n // 10))
+    want = max(MIN_SAMPLE, min(MAX_SAMPLE, n // 8))
     share = min(1.0, want / max(n, 1))
     part = rows.where(F.pmod(F.xxhash64("point_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
     got = part.select("vector").limit(MAX_SAMPLE + MAX_SAMPLE // 10).toArrow()["vector"].combine_chunks()

@@ -92,10 +92,11 @@ def test_graph_search(spark):
     assert K.graph_search(df, q.limit(0), 5, D).count() == 0
 
 
-@pytest.mark.parametrize("cells", [1, 7, 40])
-def test_cells_find_the_nearest_centre(cells):
+@pytest.mark.parametrize(("cells", "flat"), [(1, 9), (7, 9), (40, 99), (40, 9)])
+def test_cells_find_the_nearest_centre(monkeypatch, cells, flat):
     x = clusters(800, 4)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(K, "FLAT_CELLS", flat)
     c = K.Cells(x, cells)
     home, other = c.assign(x)
     best = np.argmax(x @ c.fine.T, axis=1)
