@@ -44,6 +44,7 @@ def _alphabet() -> frozenset[str]:
     return frozenset(ascii_part | letters | {x.upper() for x in letters if len(x.upper()) == 1} | set(_QUOTES) | {"’"})
 
 
+@lru_cache(maxsize=1 << 17)
 def is_clean(token: str) -> bool:
     """Whether a token is written with the corpus's letters and marks only, in one case or with a capital first."""
     token = unicodedata.normalize("NFC", token)
@@ -213,6 +214,7 @@ def garbled_documents(documents: DataFrame) -> DataFrame:
     return garbled_tokens(documents).select("doc_id").distinct()
 
 
+@lru_cache(maxsize=1 << 16)
 def undo(token: str, chain: str) -> str | None:
     """The clean word that ``chain`` made ``token`` of, if it can be undone without loss."""
     steps = chain.split(">")
