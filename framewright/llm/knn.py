@@ -30,7 +30,7 @@ FLAT_CELLS, PROBED_CELLS = 8192, 3000
 #: Rows of one block of similarities.
 BLOCK = 2048
 #: NN-descent ends after so many rounds, or when fewer than this share of the lists' entries changed.
-ROUNDS, SETTLED = 1, 0.005
+ROUNDS, SETTLED = 2, 0.001
 #: Bits of the filter that keeps vectors nobody asked for from being shuffled (1 MB, whatever the data).
 FILTER_BITS = 1 << 23
 SALTS = 16
@@ -292,13 +292,12 @@ def neighbour_graph(vectors: DataFrame, k: int = K, dim: int = DIM, rounds: int
     spread = rows.mapInArrow(_to_cells(cells, dim, k + 1), "cell int, point_id long, c1 int, c2 int, vec binary")
     lists = spread.groupBy("cell").applyInArrow(_in_cell(dim, k + 1), f"point_id long, c1 int, c2 int, near array<{_ENTRY}>")
     graph = lists.groupBy("point_id").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2"), _first(F.collect_list("near"), k + 1).alias("near")).persist()
-    for _ in range(rounds):
+    for done in range(1, rounds + 1):
         after = _descend(graph, rows, dim, k)
-        if rounds == 1:
-            return after.drop("changed")
-        after = checkpointed(after)
+        if done < rounds:
+            after = checkpointed(after)
         graph = after.drop("changed")
-        if (after.agg(F.sum("changed")).first()[0] or 0) < SETTLED * k * max(n, 1):
+        if done < rounds and (after.agg(F.sum("changed")).first()[0] or 0) < SETTLED * k * max(n, 1):
             break
     return graph
 
