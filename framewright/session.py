@@ -22,7 +22,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     set_already = sc._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get()
-    named = sc.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         if not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
