@@ -1,5 +1,4 @@
 import random
-from itertools import product
 
 import pytest
 
@@ -57,7 +56,3 @@ def test_hot_key_empty_tables_and_clashing_columns(spark):
 def test_report_by_month(spark):
     o = spark.createDataFrame([(1, "late", "2026-01-03"), (2, "late", "2026-01-09"), (3, "missing", None)], "row_id long, orphan_kind string, loaded string").selectExpr("row_id", "orphan_kind", "cast(loaded as timestamp) loaded")
     assert {tuple(r) for r in orphan_report(o, "t").collect()} == {("t", "late", "2026-01", 2), ("t", "missing", None, 1)}
-
-
-def test_masks_cover_all_combinations():
-    assert len(list(product((True, False), repeat=2))) == 4
