@@ -45,9 +45,9 @@ def parse_record(raw: str | None) -> dict | None:
 
 
 def leaves(obj: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
-    """Full path and value of every non-null leaf; arrays are leaves."""
+    """Full path and value of every non-null leaf; arrays are leaves. Tabs and line ends in names become blanks."""
     for k, v in obj.items():
-        path = f"{prefix}.{k}" if prefix else k
+        path = re.sub(r"[\t\r\n]", " ", f"{prefix}.{k}" if prefix else k)
         if isinstance(v, dict):
             yield from leaves(v, path)
         elif v is not None:
@@ -225,8 +225,9 @@ def correspondences(layouts: list[tuple[str, int]], fields: dict[str, str]) -> d
 
 
 def match_fields(counts: DataFrame, fields: dict[str, str]) -> dict[str, str]:
-    """``correspondences`` of the layouts in ``shard_layouts``; the shapes a path takes are netted in Spark first."""
-    rows = counts.where("layout is not null").groupBy("layout").agg(F.sum("n").alias("n")).collect()
+    """``correspondences`` of the layouts in ``shard_layouts``, told apart by paths and shapes only, not by kinds."""
+    bare = F.regexp_replace("layout", "\t[^\t\n]*\t", "\t-\t").alias("layout")
+    rows = counts.where("layout is not null").select(bare, "n").groupBy("layout").agg(F.sum("n").alias("n")).collect()
     return correspondences([(r.layout, r.n) for r in rows], fields)
 
 

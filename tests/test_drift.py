@@ -51,6 +51,13 @@ def test_records_come_out_alike(spark):
     assert not by[4, 0].valid and not by[4, 1].valid and by[0, 0].valid and not by[3, 8].valid
 
 
+def test_odd_names_and_empty_objects(spark):
+    odd = [("s", ['{}', '{"a\\tb": 1, "c\\nd": {"e": null}, "": 2}', record(1, vector=[1.5, 2.5], dim=2, payload={"shot_id": 4})]), ("s", ["{}"])]
+    got = {tuple(r) for r in D.schema_changes(table(spark, odd), FIELDS).collect()}
+    assert got == {(1, f, "removed") for f in FIELDS}
+    assert D.consistent_records(table(spark, odd), FIELDS).where("valid").count() == 4
+
+
 def test_empty_table(spark):
     assert D.schema_changes(table(spark, []), FIELDS).count() == 0
     assert D.consistent_records(table(spark, []), FIELDS).count() == 0
