@@ -47,7 +47,9 @@ def parse_record(raw: str | None) -> dict | None:
 def leaves(obj: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
     """Full path and value of every non-null leaf; arrays are leaves. Tabs and line ends in names become blanks."""
     for k, v in obj.items():
-        path = re.sub(r"[\t\r\n]", " ", f"{prefix}.{k}" if prefix else k)
+        path = f"{prefix}.{k}" if prefix else k
+        if not path.isprintable():
+            path = re.sub(r"[\t\r\n]", " ", path)
         if isinstance(v, dict):
             yield from leaves(v, path)
         elif v is not None:
