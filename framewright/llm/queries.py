@@ -9,7 +9,7 @@ from framewright.llm.bpe import token_ids
 from framewright.llm.knn import graph_search, neighbour_pairs
 from framewright.llm.mixing import draw_mixes
 from framewright.llm.mojibake import garbled_documents, restored_documents
-from framewright.llm.subjects import document_subjects, fit_tables, subject_composition
+from framewright.llm.subjects import document_subjects, fit_tables_scored, subject_composition
 from framewright.llm.terms import term_counts
 from framewright.session import table
 
@@ -28,7 +28,8 @@ def p3_search(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The subjects of every document."""
     documents = table(spark, d, "documents")
-    return document_subjects(documents, fit_tables(table(spark, d, "domains"), table(spark, d, "subject_examples"), table(spark, d, "domain_segments"), documents))
+    model, scored = fit_tables_scored(table(spark, d, "domains"), table(spark, d, "subject_examples"), table(spark, d, "domain_segments"), documents)
+    return document_subjects(documents, model, scored)
 
 
 def p4_composition(spark: SparkSession, d: str) -> DataFrame:

@@ -6,9 +6,11 @@ each subject, how surely, how many sentences there are, which kind of text it is
 the subject. A chain of 13 classifiers, each given the decisions before it, turns them into label combinations, so it
 knows which subjects go together; beam search takes the most probable combination.
 
-All models are fitted on bounded samples of labelled rows (``MAX_EXAMPLES``, ``MAX_SEGMENTS``) and of unlabelled
-documents (``MAX_DOCUMENTS``), drawn by hash. Every document is scored, whole. The model that is sent to the executors
-is bounded by ``MAX_TERMS``.
+Labelled rows are bounded samples drawn by hash (``MAX_EXAMPLES``, ``MAX_SEGMENTS``). Whatever describes the corpus is
+counted over all documents: how common terms, greetings and the subjects of a source are, which subjects go together,
+the sentences that teach further terms, and the documents the chain is fitted on. Only the boundary model
+(``MAX_MARKED``) and the sentences that composed documents are drawn from (``MAX_DOCUMENTS``) come from a draw of
+documents by hash. The model that is sent to the executors is bounded by ``MAX_TERMS``.
 """
 
 from __future__ import annotations
@@ -20,25 +22,30 @@ import unicodedata
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.mojibake import repaired_text
+from framewright.session import checkpointed
 
-MAX_EXAMPLES, MAX_SEGMENTS, MAX_DOCUMENTS, MAX_TERMS = 5_000, 6_000, 6_000, 200_000
+MAX_EXAMPLES, MAX_SEGMENTS, MAX_DOCUMENTS, MAX_MARKED, MAX_TERMS = 5_000, 6_000, 6_000, 2_500, 200_000
+#: All unlabelled documents together weigh as so many in a fit, so that the labels still count in a large corpus.
+CORPUS_WEIGHT = 6_000
 #: A term that more than this share of a language's sentences has says nothing.
 FRAME_SHARE = 0.12
 #: A sentence below the first probability of its best subject deals with none; from the second on it teaches.
 SURE, VERY_SURE = 0.15, 0.8
-#: A sentence that comes word for word in this share of the sampled documents, and so often, says nothing: a greeting.
+#: A sentence that comes word for word in this share of the documents, and so often, says nothing: a greeting.
 GREETING_SHARE, GREETING_TIMES = 0.002, 4
 SHARE = 0.2
 BEAM, COMPOSED, SEED = 6, 4_000, 11
 LONG_PIECE, PIECE = 13, 1 << 17
+#: Entries of a block's counts before they are handed on, and partial sums that reach the driver at once.
+BLOCK, PARTIAL = 300_000, 16
 #: Words that speakers put in between; they are dropped before terms are built (fixed values).
 FILLERS = frozenset("ờ à vâng dạ thì ừ uh um well so er euh ben alors hein".split())
 _WORD = re.compile(r"[^\W_]+")
@@ -194,18 +201,26 @@ class SubjectModel:
     def sentence_probabilities(self, pieces: list[list[str]]) -> np.ndarray:
         return softmax(self.term_model.scores([() if " ".join(ws) in self.greetings else terms(ws) for ws in pieces]))
 
-    def features(self, probabilities: np.ndarray, marked: bool, source: str | None) -> np.ndarray:
-        """One row for each subject."""
-        n = len(probabilities)
-        top = probabilities.argmax(axis=1)
+    def summary(self, probabilities: np.ndarray) -> tuple[int, bool, np.ndarray, np.ndarray, np.ndarray]:
+        """Sentences, whether one says nothing, and for each subject: sentences that deal with it, mean and best probability."""
         sure = probabilities.max(axis=1) >= SURE
-        hard = np.bincount(top[sure], minlength=probabilities.shape[1]) / n
-        soft = probabilities.mean(axis=0)
-        best = probabilities.max(axis=0)
-        odds = self.source_rate.get(source or "", np.zeros(len(hard)))
+        counts = np.bincount(probabilities.argmax(axis=1)[sure], minlength=probabilities.shape[1])
+        return len(probabilities), not sure.all(), counts, probabilities.mean(axis=0), probabilities.max(axis=0)
+
+    def rows(self, n: np.ndarray, unsure: np.ndarray, counts: np.ndarray, soft: np.ndarray, best: np.ndarray, marked: np.ndarray, sources: Iterable[str | None]) -> np.ndarray:
+        """The features of documents, given what ``summary`` tells of each: documents by subjects by features."""
+        hard = counts / np.asarray(n)[:, None]
+        none = np.zeros(hard.shape[1])
+        odds = np.array([self.source_rate.get(source or "", none) for source in sources]).reshape(hard.shape)
+        wide = lambda v: np.repeat(np.asarray(v, float)[:, None], hard.shape[1], axis=1)
         steps = [hard >= t for t in (0.01, 0.12, 0.15, 0.18, SHARE - 1e-9, 0.23, 0.26, 0.34)]
-        cols = [np.ones_like(hard), hard, soft, best, *steps, np.full_like(hard, not sure.all()), np.full_like(hard, math.log1p(n) / 3), np.full_like(hard, marked), np.full_like(hard, n <= 2), odds]
-        return np.stack(cols, axis=1)
+        cols = [np.ones_like(hard), hard, soft, best, *steps, wide(unsure), wide(np.log1p(n) / 3), wide(marked), wide(np.asarray(n) <= 2), odds]
+        return np.stack(cols, axis=2)
+
+    def features(self, probabilities: np.ndarray, marked: bool, source: str | None) -> np.ndarray:
+        """One row for each subject."""
+        n, unsure, counts, soft, best = self.summary(probabilities)
+        return self.rows(np.array([n]), np.array([unsure]), counts[None], soft[None], best[None], np.array([marked]), [source])[0]
 
     def decode(self, x: np.ndarray) -> list[int]:
         """The most probable label combination under the chain, by beam search."""
@@ -233,19 +248,6 @@ class SubjectModel:
         return [self.subjects[j] for j in self.decode(x)]
 
 
-def _binary(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 30) -> np.ndarray:
-    """Logistic regression by Newton steps, which leaves calibrated probabilities."""
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x / len(x) + l2 * np.eye(x.shape[1])
-        step = np.linalg.solve(h, x.T @ (p - y) / len(x) + l2 * w)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
-
-
 def _languages(examples: list[tuple[str, str, int]]) -> dict[str, Counter]:
     out: dict[str, Counter] = {}
     for text, lang, _ in examples:
@@ -262,33 +264,304 @@ def _fit_gaps(marked: list[list[list[str]]]) -> Logistic:
     return Logistic.fit((gap_features(ws, i) for ws in flat for i in range(1, len(ws))), labels, [1.0] * len(labels), 2, normed=False)
 
 
-def fit(subjects: list[str], examples: list[tuple[str, str, int]], segments: list[tuple[str, list[str], int]], documents: list[tuple[str, str]]) -> SubjectModel:
+def _word_logs(speech: dict[str, Counter]) -> tuple[list[str], dict[str, list[float]], list[float]]:
+    """The languages, and for each word, and for unknown ones, how likely it is in each of them."""
+    size = {lang: sum(c.values()) + 1 for lang, c in speech.items()}
+    log = lambda w: [math.log((speech[lang][w] + 0.1) / size[lang]) for lang in speech]
+    return list(speech), {w: log(w) for w in set().union(*speech.values())}, log("")
+
+
+def corpus_counts(documents: DataFrame, speech: dict[str, Counter]) -> DataFrame:
+    """kind, lang, name, n over all documents: 'documents' with words, 'sentences' of each language, in how many of them
+    each 'term' is, and how many punctuated documents have each 'sentence'. Each block is counted before the shuffle."""
+    langs, logs, unknown = _word_logs(speech)
+
+    def block(c: Counter) -> pd.DataFrame:
+        return pd.DataFrame([(*k, n) for k, n in c.items()], columns=["kind", "lang", "name", "n"])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, c = SubjectModel(), Counter()
+        for part in parts:
+            for text in part["text"]:
+                text = plain(text) if text and text.strip() else ""
+                pieces = model.pieces(text)
+                if not pieces:
+                    continue
+                c["documents", "", ""] += 1
+                if _MARKED.search(text):
+                    c.update(("sentence", "", s) for s in {" ".join(ws) for ws in pieces})
+                for ws in pieces if langs else []:
+                    each = [sum(x) for x in zip(*(logs.get(w, unknown) for w in ws))]
+                    lang = langs[each.index(max(each))]
+                    c["sentences", lang, ""] += 1
+                    c.update(("term", lang, t) for t in terms(ws))
+                if len(c) > BLOCK:
+                    yield block(c)
+                    c = Counter()
+        yield block(c)
+
+    counted = documents.select("text").mapInPandas(run, "kind string, lang string, name string, n long")
+    return counted.groupBy("kind", "lang", "name").agg(F.sum("n").alias("n"))
+
+
+def corpus_statistics(documents: DataFrame, speech: dict[str, Counter]) -> tuple[int, frozenset[str], dict[str, float]]:
+    """Of all documents: how many have words, the greetings, and in which share of a language's sentences a term is.
+
+    Terms so rare that they have full value are left out, so at most some hundred times a sentence's terms are collected.
+    """
+    counts = checkpointed(corpus_counts(documents, speech))
+    total = {(r.kind, r.lang): r.n for r in counts.where("kind in ('documents', 'sentences')").collect()}
+    n = total.get(("documents", ""), 0)
+    greetings = frozenset(r.name for r in counts.where((F.col("kind") == "sentence") & (F.col("n") >= max(GREETING_TIMES, GREETING_SHARE * n))).select("name").collect())
+    rate: dict[str, float] = {}
+    for (kind, lang), size in total.items():
+        if kind == "sentences":
+            often = (F.col("kind") == "term") & (F.col("lang") == lang) & (F.col("n") >= FRAME_SHARE * math.exp(-3) * 0.99 * (size + 50))
+            for r in counts.where(often).select("name", "n").collect():
+                rate[r.name] = max(rate.get(r.name, 0.0), r.n / (size + 50))
+    return n, greetings, rate
+
+
+def taught_sentences(documents: DataFrame, model: SubjectModel) -> DataFrame:
+    """sentence, label, n: the sentences of all punctuated documents whose subject is beyond doubt."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, c = shared.value, Counter()
+        block = lambda c: pd.DataFrame([(*k, n) for k, n in c.items()], columns=["sentence", "label", "n"])
+        for part in parts:
+            for text in part["text"]:
+                text = plain(text) if text and text.strip() else ""
+                pieces = model.pieces(text) if _MARKED.search(text) else []
+                if 2 <= len(pieces) <= 30:
+                    p = model.sentence_probabilities(pieces)
+                    q = p * (p.mean(axis=0) + 0.02)
+                    q /= q.sum(axis=1, keepdims=True)
+                    c.update((" ".join(ws), int(s.argmax())) for ws, s in zip(pieces, q) if s.max() > VERY_SURE)
+                if len(c) > BLOCK:
+                    yield block(c)
+                    c = Counter()
+        yield block(c)
+
+    taught = documents.select("text").mapInPandas(run, "sentence string, label int, n long")
+    return taught.groupBy("sentence", "label").agg(F.sum("n").alias("n"))
+
+
+def _common_terms(taught: DataFrame, known: dict[str, int]) -> list[str]:
+    """The terms that no label shows and at least two taught sentences have; the ``MAX_TERMS`` commonest."""
+    shared = taught.sparkSession.sparkContext.broadcast(known.keys() | set())
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, c = shared.value, Counter()
+        block = lambda c: pd.DataFrame(list(c.items()), columns=["term", "n"])
+        for part in parts:
+            for sentence, n in zip(part["sentence"], part["n"]):
+                for t in terms(sentence.split(" ")) - known:
+                    c[t] += int(n)
+            if len(c) > BLOCK:
+                yield block(c)
+                c = Counter()
+        yield block(c)
+
+    counts = taught.select("sentence", "n").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return [r.term for r in counts.where("n >= 2").orderBy(F.desc("n"), "term").limit(MAX_TERMS).collect()]
+
+
+def _gradient(w: np.ndarray, v: np.ndarray, c: np.ndarray, sizes: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The gradient of the weighted loss of normed rows; ``c`` has the features of the rows, ``sizes`` how many each has."""
+    out = np.zeros(w.shape)
+    held = sizes > 0
+    sizes, label, weight = sizes[held], label[held], weight[held]
+    ends = np.cumsum(sizes)
+    for a, b, lo, hi in _pieces(ends - sizes, len(c)) if len(c) else ():
+        cells, row = c[lo:hi], np.repeat(np.arange(b - a), sizes[a:b])
+        first = (ends - sizes)[a:b] - lo
+        x = v[cells]
+        x = x / (np.sqrt(np.add.reduceat(x * x, first)) + 1e-9)[row]
+        error = softmax(np.add.reduceat(x[:, None] * w[cells], first, axis=0))
+        error[np.arange(b - a), label[a:b]] -= 1
+        error *= weight[a:b, None]
+        for k in range(w.shape[1]):
+            out[:, k] += np.bincount(cells, x * error[row, k], minlength=len(w))
+    return out
+
+
+def fit_spread(rows: list[list[str]], labels: list[int], weight: list[float], taught: DataFrame, each: float, classes: int, value, names: list[str], epochs: int = 25, rate: float = 0.5, l2: float = 1e-5) -> Logistic:
+    """``Logistic.fit`` on labelled rows of the driver and all ``taught`` sentences, of which each occurrence weighs ``each``.
+
+    Equal sentences are one row of their number. Every epoch sums the gradient where the sentences are; what comes back
+    is at most ``PARTIAL`` sums of the terms that the sentences there have.
+    """
+    index = {t: i for i, t in enumerate(names)}
+    spark = taught.sparkSession
+    shared = spark.sparkContext.broadcast(index)
+
+    def numbered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = shared.value
+        for part in parts:
+            part["ids"] = [sorted(index[t] for t in terms(s.split(" ")) if t in index) for s in part.pop("sentence")]
+            yield part[["ids", "label", "n"]]
+
+    coded = checkpointed(taught.mapInPandas(numbered, "ids array<int>, label int, n long").coalesce(PARTIAL))
+    own = [[index[t] for t in terms(ws) if t in index] for ws in rows]
+    c, sizes = np.array([i for ids in own for i in ids], np.int64), np.array([len(ids) for ids in own], np.int64)
+    total = len(rows) + each / 0.5 * (coded.agg(F.sum("n").alias("n")).first().n or 0)
+    v = np.array([value(t) for t in names], np.float32)
+    w = np.zeros((len(names), classes), np.float32)
+    seen = np.full(w.shape, 1e-8, np.float32)
+    y, wt = np.array(labels, np.int64), np.array(weight)
+    for _ in range(epochs if names else 0):
+        sent = spark.sparkContext.broadcast((w, v))
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w, v = sent.value  # noqa: B023
+            out = np.zeros(w.shape)
+            for part in parts:
+                ids = part.column("ids")
+                out += _gradient(w, v, ids.flatten().to_numpy(), ids.value_lengths().to_numpy(), part.column("label").to_numpy(), each * part.column("n").to_numpy())
+            at = np.flatnonzero(out.any(axis=1)).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"at": pa.array([at.tobytes()], pa.binary()), "g": pa.array([out[at].astype(np.float32).tobytes()], pa.binary())})
+
+        g = _gradient(w, v, c, sizes, y, wt)
+        sums = coded.mapInArrow(run, "at binary, g binary").toArrow()
+        for at, own in zip(sums["at"], sums["g"]):
+            g[np.frombuffer(at.as_buffer(), np.int32)] += np.frombuffer(own.as_buffer(), np.float32).reshape(-1, classes)
+        del sums
+        sent.destroy()
+        g = (g + l2 * total * w).astype(np.float32)
+        seen += g * g
+        w = w - rate * g / np.sqrt(seen)
+    return Logistic(index, v, w, True)
+
+
+_SCORES = "doc_id string, source string, n int, unsure boolean, marked boolean, counts array<int>, soft array<float>, best array<float>"
+
+
+def document_scores(documents: DataFrame, model: SubjectModel) -> DataFrame:
+    """What ``summary`` tells of every document with words; ids as text. The whole text is read here and only here."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        for part in parts:
+            rows = []
+            for doc, text, source in zip(part["doc_id"], part["text"], part["source"]):
+                pieces = model.pieces(plain(text)) if text and model.subjects else []
+                if pieces:
+                    n, unsure, counts, soft, best = model.summary(model.sentence_probabilities(pieces))
+                    rows.append((doc, source, n, unsure, bool(_MARKED.search(text)), counts, soft, best))
+            yield pd.DataFrame(rows, columns=["doc_id", "source", "n", "unsure", "marked", "counts", "soft", "best"], dtype=object)
+
+    # ids go through Python as text: pandas would make floats of a column with nulls
+    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "source").mapInPandas(run, _SCORES)
+
+
+def _dealt(n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """1 for the subjects with which enough sentences deal."""
+    return (counts / np.asarray(n)[:, None] >= SHARE - 1e-9).astype(float)
+
+
+def _features_of(part: pd.DataFrame, model: SubjectModel) -> tuple[np.ndarray, np.ndarray]:
+    """Features, and subjects by share, of scored documents."""
+    n, counts = part["n"].to_numpy(), np.stack(part["counts"].tolist())
+    sources = [s if isinstance(s, str) else None for s in part["source"]]
+    return model.rows(n, part["unsure"].to_numpy(), counts, np.stack(part["soft"].tolist()), np.stack(part["best"].tolist()), part["marked"].to_numpy(), sources), _dealt(n, counts)
+
+
+def source_counts(scored: DataFrame, subjects: int) -> tuple[Counter, dict[str, np.ndarray], np.ndarray]:
+    """Of all scored documents: how many each source has, how many of them deal with each subject, and with each two."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c: Counter = Counter()
+        for part in parts:
+            if len(part):
+                y = _dealt(part["n"].to_numpy(), np.stack(part["counts"].tolist()))
+                source = part["source"].fillna("").to_numpy()
+                for s in np.unique(source):
+                    own = y[source == s]
+                    c[s, -1] += len(own)
+                    for j, k in enumerate(own.sum(axis=0)):
+                        c[s, j] += int(k)
+                for j, k in enumerate((y.T @ y).ravel()):
+                    c["", subjects + j] += int(k)
+        yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["source", "cell", "k"])
+
+    seen, rates, together = Counter(), {}, np.zeros(subjects * subjects)
+    for r in scored.select("source", "n", "counts").mapInPandas(run, "source string, cell int, k long").groupBy("source", "cell").agg(F.sum("k").alias("k")).collect():
+        if r.cell < 0:
+            seen[r.source] = r.k
+        elif r.cell < subjects:
+            rates.setdefault(r.source, np.zeros(subjects))[r.cell] = r.k
+        else:
+            together[r.cell - subjects] = r.k
+    return seen, rates, together.reshape(subjects, subjects)
+
+
+def _step_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, order: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hessian and gradient sums of each classifier of the chain, padded with zeros."""
+    width, n = x.shape[2], y.shape[1]
+    h, g = np.zeros((n, width + n, width + n)), np.zeros((n, width + n))
+    for step, j in enumerate(order):
+        to = width + step
+        own = np.concatenate([x[:, j], y[:, order[:step]]], axis=1)
+        p = 1 / (1 + np.exp(-np.clip(own @ w[step, :to], -30, 30)))
+        h[step, :to, :to] = (own * (p * (1 - p))[:, None]).T @ own
+        g[step, :to] = own.T @ (p - y[:, j])
+    return h, g
+
+
+def _newton(x: np.ndarray, y: np.ndarray, scored: DataFrame | None, each: float, n: int, model: SubjectModel, l2: float = 1e-3, steps: int = 30) -> np.ndarray:
+    """Logistic regressions of the chain by Newton steps, which leaves calibrated probabilities.
+
+    Rows are the composed documents ``x``, ``y`` and all ``n`` scored ones, of which each weighs ``each``; only sums move.
+    """
+    width, k, order = x.shape[2], y.shape[1], model.order
+    w = np.zeros((k, width + k))
+    total = max(len(x) + each * n, 1)
+    for _ in range(steps):
+        h, g = _step_sums(x, y, w, order)
+        if scored is not None:
+            sent = scored.sparkSession.sparkContext.broadcast((model.source_rate, w, order))
+
+            def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                own = SubjectModel()
+                own.source_rate, w, order = sent.value  # noqa: B023
+                sums = np.zeros(k * (width + k) * (width + k + 1))
+                for part in parts:
+                    if len(part):
+                        sums += np.concatenate([m.ravel() for m in _step_sums(*_features_of(part, own), w, order)])
+                yield pd.DataFrame({"cell": np.arange(len(sums)), "v": sums})
+
+            found = scored.mapInPandas(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas().sort_values("cell")["v"].to_numpy()
+            sent.destroy()
+            h, g = h + each * found[: h.size].reshape(h.shape), g + each * found[h.size :].reshape(g.shape)
+        step = np.linalg.solve(h / total + l2 * np.eye(width + k), (g / total + l2 * w)[:, :, None])[:, :, 0]
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def fit(subjects: list[str], examples: list[tuple[str, str, int]], segments: list[tuple[str, list[str], int]], documents: DataFrame | None) -> SubjectModel:
     """The models from labelled examples (text, lang, subject), labelled segments (summary, keywords, subject) and
-    unlabelled documents (text, source)."""
+    all unlabelled documents (doc_id, text, source), if there are any."""
+    return fit_scored(subjects, examples, segments, documents)[0]
+
+
+def fit_scored(subjects: list[str], examples: list[tuple[str, str, int]], segments: list[tuple[str, list[str], int]], documents: DataFrame | None) -> tuple[SubjectModel, DataFrame | None]:
+    """``fit``, with the ``document_scores`` of all documents that it needed, written once."""
     rng = np.random.default_rng(SEED)
     model = SubjectModel()
     model.subjects, model.source_rate, model.order = subjects, {}, list(range(len(subjects)))
     n = len(subjects)
     if not n:
-        return model
-    texts = [(plain(t), s) for t, s in documents if t and t.strip()]
-    split = [(model.pieces(t), bool(_MARKED.search(t)), s) for t, s in texts]
-    kept = [(p, m, s) for p, m, s in split if p]
-    whole = Counter(" ".join(ws) for p, m, _ in kept if m for ws in {tuple(ws) for ws in p})
-    model.greetings = frozenset(t for t, k in whole.items() if k >= max(GREETING_TIMES, GREETING_SHARE * len(kept)))
+        return model, None
+    corpus = documents if isinstance(documents, DataFrame) else None
+    size, rate = 0, {}
+    if corpus is not None:
+        size, model.greetings, rate = corpus_statistics(corpus, _languages(examples))
+    each = min(1.0, CORPUS_WEIGHT / max(size, 1))
     # how much of a language's sentences a term is in: the frames of sentences are in many
-    speech = _languages(examples)
-    size = {lang: sum(c.values()) for lang, c in speech.items()}
-    rate: dict[str, float] = {}
-    by_language: dict[str, list[list[str]]] = {lang: [] for lang in speech}
-    for pieces, _, _ in kept:
-        for ws in pieces:
-            if by_language:
-                best = max(speech, key=lambda lang: sum(math.log((speech[lang][w] + 0.1) / (size[lang] + 1)) for w in ws))  # noqa: B023
-                by_language[best].append(ws)
-    for own in by_language.values():
-        for t, k in Counter(t for ws in own for t in terms(ws)).items():
-            rate[t] = max(rate.get(t, 0.0), k / (len(own) + 50))
     value = lambda t: min(3.0, max(0.0, math.log(FRAME_SHARE / max(rate.get(t, 1e-4), 1e-4)))) / 3
     rows, labels, weight = [], [], []
 
@@ -305,82 +578,63 @@ def fit(subjects: list[str], examples: list[tuple[str, str, int]], segments: lis
         for k in dict.fromkeys(keywords or []):
             add(k, label, 0.5)
     model.term_model = Logistic.fit(map(terms, rows), labels, weight, n, value)
+    if corpus is None:
+        model.term_model = model.term_model.pruned(MAX_TERMS)
+        _fit_chain(model, None, 0, each, [], rng)
+        return model, None
     # once again with the sentences of documents whose subject is beyond doubt, to learn terms that no label shows
-    extra, given = [], []
-    for pieces, marked, _ in kept:
-        if marked and 2 <= len(pieces) <= 30:
-            p = model.sentence_probabilities(pieces)
-            q = p * (p.mean(axis=0) + 0.02)
-            q /= q.sum(axis=1, keepdims=True)
-            for ws, s in zip(pieces, q):
-                if s.max() > VERY_SURE:
-                    extra.append(ws)
-                    given.append(int(s.argmax()))
-    common = Counter(t for ws in extra for t in terms(ws))
-    known = set(model.term_model.index)
-    more = ({t for t in terms(ws) if t in known or common[t] >= 2} for ws in extra)
-    model.term_model = Logistic.fit(chain(map(terms, rows), more), labels + given, weight + [0.5] * len(extra), n, value).pruned(MAX_TERMS)
-    punctuated = [p for p, m, _ in kept if m and 2 <= len(p) <= 60][:2500]
+    taught = checkpointed(taught_sentences(corpus, model))
+    known = model.term_model.index
+    model.term_model = fit_spread(rows, labels, weight, taught, 0.5 * each, n, value, [*known, *_common_terms(taught, known)]).pruned(MAX_TERMS)
+    drawn = [plain(r.text) for r in _hashed(corpus, ["doc_id"], MAX_DOCUMENTS).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").collect() if r.text and r.text.strip()]
+    marked = [p for t in drawn if _MARKED.search(t) and (p := model.pieces(t))]
+    punctuated = [p for p in marked if 2 <= len(p) <= 60][:MAX_MARKED]
     if punctuated:
         model.gap_margin = _fit_gaps(punctuated).pruned(MAX_TERMS).margins()
-    _fit_chain(model, kept, punctuated, rng)
-    return model
+    scored = checkpointed(document_scores(corpus, model))
+    _fit_chain(model, scored, size, each, marked, rng)
+    return model, scored
 
 
-def _fit_chain(model: SubjectModel, kept: list, punctuated: list, rng: np.random.Generator) -> None:
-    """The chain, on documents composed of sentences of known subjects and on the sampled documents themselves."""
+def _fit_chain(model: SubjectModel, scored: DataFrame | None, size: int, each: float, marked: list[list[list[str]]], rng: np.random.Generator) -> None:
+    """The chain, on documents composed of sentences of known subjects and on all ``size`` scored documents."""
     n = len(model.subjects)
-    pool: list[list[list[str]]] = [[] for _ in range(n)]
-    unsure: list[list[str]] = []
-    together = np.ones((n, n))
-    own_x, own_y, rates, seen = [], [], {}, Counter()
-    for pieces, marked, source in kept:
-        if not marked:
-            pieces = model.pieces(" ".join(w for p in pieces for w in p))
-        p = model.sentence_probabilities(pieces)
-        shares = np.bincount(p.argmax(axis=1)[p.max(axis=1) >= SURE], minlength=n) / len(pieces)
-        y = (shares >= SHARE - 1e-9).astype(float)
-        together += np.outer(y, y)
-        rates[source or ""] = rates.get(source or "", 0) + y
-        seen[source or ""] += 1
-        own_x.append((p, marked, source))
-        own_y.append(y)
-        if marked:
-            for ws, q in zip(pieces, p):
-                if q.max() > 0.9:
-                    pool[int(q.argmax())].append(ws)
-                elif " ".join(ws) in model.greetings:
-                    unsure.append(ws)
-    overall = np.mean(own_y, axis=0) if own_y else np.full(n, 1 / n)
+    seen, rates, together = source_counts(scored, n) if scored is not None else (Counter(), {}, np.zeros((n, n)))
+    total = sum(seen.values())
+    overall = sum(rates.values()) / total if total else np.full(n, 1 / n)
     model.source_rate = {s: np.log((r + 20 * overall + 0.1) / (seen[s] + 20.2) / (overall + 0.01)) for s, r in rates.items()}
     model.order = [int(j) for j in np.argsort(-overall, kind="stable")]
+    together = together + 1
+    pool: list[list[list[str]]] = [[] for _ in range(n)]
+    unsure: list[list[str]] = []
+    for pieces in marked:
+        for ws, q in zip(pieces, model.sentence_probabilities(pieces)):
+            if q.max() > 0.9:
+                pool[int(q.argmax())].append(ws)
+            elif " ".join(ws) in model.greetings:
+                unsure.append(ws)
     usable = [j for j in range(n) if pool[j]]
     xs, ys = [], []
     for _ in range(COMPOSED if len(usable) > 1 else 0):
-        size = int(rng.integers(1, 15))
+        count = int(rng.integers(1, 15))
         main = int(rng.choice(usable))
         pull = together[main][usable] + together[main][usable].mean()
         second = int(rng.choice(usable, p=pull / pull.sum()))
-        kinds = rng.random(size)
+        kinds = rng.random(count)
         picked = [main if k < 0.62 else second if k < 0.86 else int(rng.choice(usable)) if k < 0.94 or not unsure else -1 for k in kinds]
         sentences = [unsure[int(rng.integers(len(unsure)))] if j < 0 else pool[j][int(rng.integers(len(pool[j])))] for j in picked]
-        y = (np.bincount([j for j in picked if j >= 0], minlength=n) / size >= SHARE - 1e-9).astype(float)
-        marked = bool(rng.random() < 0.6)
-        pieces = sentences if marked else model.pieces(" ".join(w for s in sentences for w in s))
-        xs.append(model.features(model.sentence_probabilities(pieces), marked, None))
-        ys.append(y)
-    for (p, marked, source), y in zip(own_x, own_y):
-        xs.append(model.features(p, marked, source))
+        y = (np.bincount([j for j in picked if j >= 0], minlength=n) / count >= SHARE - 1e-9).astype(float)
+        dots = bool(rng.random() < 0.6)
+        pieces = sentences if dots else model.pieces(" ".join(w for s in sentences for w in s))
+        xs.append(model.features(model.sentence_probabilities(pieces), dots, None))
         ys.append(y)
-    width = len(model.features(np.full((1, n), 1 / n), True, None)[0])
     if not xs:
-        xs, ys = [np.zeros((n, width))], [np.zeros(n)]
-    x, y = np.array(xs), np.array(ys)
+        xs, ys = [np.zeros_like(model.features(np.full((1, n), 1 / n), True, None))], [np.zeros(n)]
+    w = _newton(np.array(xs), np.array(ys), scored if total else None, each, total, model)
+    width = w.shape[1] - n
     model.chain = [np.zeros(width + n)] * n
     for step, j in enumerate(model.order):
-        before = y[:, model.order[:step]]
-        w = _binary(np.concatenate([x[:, j], before], axis=1), y[:, j])
-        model.chain[j] = np.r_[w, np.zeros(n - step)]
+        model.chain[j] = np.r_[w[step, : width + step], np.zeros(n - step)]
 
 
 def subject_key(name: str) -> str:
@@ -396,34 +650,43 @@ def _hashed(df: DataFrame, key: list[str], most: int) -> DataFrame:
 
 
 def fit_tables(domains: DataFrame, examples: DataFrame, segments: DataFrame, documents: DataFrame) -> SubjectModel:
-    """``fit`` on bounded samples of the tables. Labels that are no live subject are left out."""
+    """``fit`` on bounded samples of the labelled tables and on all documents. Labels that are no live subject are left out."""
+    return fit_tables_scored(domains, examples, segments, documents)[0]
+
+
+def fit_tables_scored(domains: DataFrame, examples: DataFrame, segments: DataFrame, documents: DataFrame) -> tuple[SubjectModel, DataFrame | None]:
+    """``fit_tables``, with the scores of all documents."""
     subjects = sorted(r.domain_id for r in domains.where("deleted_at is null and domain_id is not null").select("domain_id").distinct().collect())
     number = {subject_key(s): i for i, s in enumerate(subjects)}
     labelled = [(r.text, r.lang, number[subject_key(r.domain_id)]) for r in _hashed(examples, ["example_id"], MAX_EXAMPLES).orderBy("example_id").select("text", "lang", "domain_id").collect() if r.text and r.domain_id and subject_key(r.domain_id) in number]
     once = segments.select("analysis_id", "segment_idx", "domain_id", "summary", "keywords").dropDuplicates(["analysis_id", "segment_idx"])
     parts = [(r.summary, [k for k in r.keywords or [] if k], number[subject_key(r.domain_id)]) for r in _hashed(once, ["analysis_id", "segment_idx"], MAX_SEGMENTS).orderBy("analysis_id", "segment_idx").collect() if r.domain_id and subject_key(r.domain_id) in number]
-    texts = [(r.text, r.source) for r in _hashed(documents, ["doc_id"], MAX_DOCUMENTS).orderBy("doc_id").select("text", "source").collect() if r.text]
-    return fit(subjects, labelled, parts, texts)
+    return fit_scored(subjects, labelled, parts, documents)
 
 
-def document_subjects(documents: DataFrame, model: SubjectModel) -> DataFrame:
-    """doc_id, domain_id: a row for every subject of every document.
-
-    Null, blank and wordless texts have no row; texts of any length are read whole; garbled passages are undone first.
-    Documents with the same text and source have the same subjects; a repeated doc_id is labelled row by row and its
-    rows are kept once. No shuffle but for that: the bounded model goes to the documents.
-    """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+def scored_subjects(scored: DataFrame, model: SubjectModel, id_type: str) -> DataFrame:
+    """doc_id, domain_id of scored documents; the bounded model goes to them."""
+    shared = scored.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for part in parts:
-            rows = [(doc, s) for doc, text, source in zip(part["doc_id"], part["text"], part["source"]) for s in model.label(text, source)]
+            x = _features_of(part, model)[0] if len(part) else []
+            rows = [(doc, model.subjects[j]) for doc, own in zip(part["doc_id"], x) for j in model.decode(own)]
             yield pd.DataFrame({"doc_id": [r[0] for r in rows], "domain_id": [r[1] for r in rows]}, dtype="object")
 
-    # ids go through Python as text: pandas would make floats of a column with nulls
-    labelled = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "source").mapInPandas(run, "doc_id string, domain_id string")
-    return labelled.select(F.col("doc_id").cast(dict(documents.dtypes)["doc_id"]).alias("doc_id"), "domain_id").distinct()
+    labelled = scored.mapInPandas(run, "doc_id string, domain_id string")
+    return labelled.select(F.col("doc_id").cast(id_type).alias("doc_id"), "domain_id").distinct()
+
+
+def document_subjects(documents: DataFrame, model: SubjectModel, scored: DataFrame | None = None) -> DataFrame:
+    """doc_id, domain_id: a row for every subject of every document.
+
+    Null, blank and wordless texts have no row; texts of any length are read whole; garbled passages are undone first.
+    Documents with the same text and source have the same subjects; a repeated doc_id is labelled row by row and its
+    rows are kept once. ``scored`` are the documents' scores if the fit has them already.
+    """
+    return scored_subjects(document_scores(documents, model) if scored is None else scored, model, dict(documents.dtypes)["doc_id"])
 
 
 def subject_composition(labels: DataFrame, documents: DataFrame) -> DataFrame:

@@ -80,3 +80,32 @@ def test_no_live_subjects(spark):
     seg = spark.createDataFrame([], "analysis_id string, segment_idx int, domain_id string, summary string, keywords array<string>")
     docs = spark.createDataFrame([(1, "one two.", "s")], "doc_id long, text string, source string")
     assert S.document_subjects(docs, S.fit_tables(none, ex, seg, docs)).select(F.col("doc_id")).count() == 0
+
+
+def test_corpus_is_counted_whole(spark, data, monkeypatch):
+    """However few documents are drawn, greetings, source rates and taught sentences come from all of them."""
+    monkeypatch.setattr(S, "MAX_DOCUMENTS", 10)
+    t = lambda n: spark.read.parquet(f"{data}/{n}.parquet")
+    greeting = "welcome back to this channel dear friends."
+    more = spark.createDataFrame([(10**6 + i, f"{greeting} number {i} is a text.", f"source{i}") for i in range(8)], "doc_id long, text string, source string")
+    documents = t("documents").select("doc_id", "text", "source").union(more)
+    model = S.fit_tables(t("domains"), t("subject_examples"), t("domain_segments"), documents)
+    texts = [(S.plain(r.text), r.source) for r in documents.collect() if r.text and r.text.strip()]
+    pieces = [(S.SubjectModel().pieces(x), x, s) for x, s in texts]
+    kept = [(p, x, s) for p, x, s in pieces if p]
+    assert set(model.source_rate) == {s or "" for _, _, s in kept}
+    times = {}
+    for p, x, _ in kept:
+        for ws in {" ".join(ws) for ws in p} if S._MARKED.search(x) else ():
+            times[ws] = times.get(ws, 0) + 1
+    assert model.greetings == {w for w, k in times.items() if k >= max(S.GREETING_TIMES, S.GREETING_SHARE * len(kept))} and greeting[:-1] in model.greetings
+
+
+def test_spread_fit_equals_the_fit_on_one_machine(spark):
+    rng = np.random.default_rng(1)
+    rows = [[f"w{k}" for k in rng.integers(0, 30, 5)] for _ in range(60)]
+    labels = [int(k) for k in rng.integers(0, 3, 60)]
+    taught = spark.createDataFrame([(" ".join(ws), k, 2) for ws, k in zip(rows[40:], labels[40:])], "sentence string, label int, n long").repartition(3)
+    alone = S.Logistic.fit(map(S.terms, [*rows, *rows[40:]]), labels + labels[40:], [1.0] * 40 + [0.5] * 40, 3)
+    spread = S.fit_spread(rows[:40], labels[:40], [1.0] * 40, taught, 0.5, 3, lambda t: 1.0, list(alone.index))
+    assert spread.weights == pytest.approx(alone.weights, abs=2e-3)
