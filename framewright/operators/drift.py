@@ -8,6 +8,7 @@ and its size depends on the number of distinct JSON paths, not on the number of
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -274,31 +275,75 @@ def _numbers(value: object) -> list[float | None] | None:
     return [_number(x) for x in value] if isinstance(value, list) else None
 
 
+def _whole(value: object, half: float = 0.0) -> int | None:
+    """The integer of 64 bits; a fraction is cut off, with ``half`` = 0.5 rounded."""
+    n = value if isinstance(value, int) and not isinstance(value, bool) else _number(value)
+    if n is None or not abs(n) < 2**63 - 1024:
+        return None
+    return n if isinstance(n, int) else int(n + math.copysign(half, n))
+
+
+_OWN = {"point_id": ("long", _whole), "video_name": ("string", lambda v: v if isinstance(v, str) else None), "frame": ("long", _whole)}
+#: The column type and the cast of a field of each class.
+_CASTS = {"series": ("array<double>", _numbers), "number": ("long", lambda v: _whole(v, 0.5)), "text": ("string", lambda v: v if isinstance(v, str) else None if isinstance(v, list) else json.dumps(v)), "flag": ("boolean", lambda v: v if isinstance(v, bool) else None)}
+
+
+def _kept(value: object, cast: object) -> bool:
+    """Whether a cast value says all that the value said; a number in a text ("s0007") does."""
+    if isinstance(cast, list):
+        return isinstance(value, str) or all(_kept(x, y) for x, y in zip(value, cast))
+    return value is cast or (cast is not None and (not isinstance(value, float) or float(value) == cast) and (not isinstance(value, str) or isinstance(cast, str) or _number(value) == cast))
+
+
+def _columns(fields: dict[str, str]) -> dict[str, str]:
+    """{field: column}: the last part of its path where that is free, else the path with underscores."""
+    taken, out = {*_KEYS, *_OWN, "valid", "other", "raw_json"}, {}
+    for f in fields:
+        short, full = f.rpartition(".")[2], f.replace(".", "_")
+        out[f] = next(c for c in (short, full, *(f"{full}_{i}" for i in range(2, len(fields) + len(taken) + 3))) if c not in taken)
+        taken.add(out[f])
+    return out
+
+
 def consistent_records(records: DataFrame, fields: dict[str, str]) -> DataFrame:
     """All records in one layout: shard_id, line_no, stream_key, written_at, received_at, valid, point_id, video_name,
-    frame, vector (array<double>), dim, shot_id.
+    frame, a column for each of ``fields`` (the last part of its path, typed by its class), other, raw_json.
 
-    Values of another type are cast; what cannot be cast becomes null. Broken records stay, with valid = false. A record
-    that came again counts once, as first received.
+    Values of another type are cast; what cannot be cast becomes null. ``other`` (map of path to JSON text) has every
+    non-null leaf that has no column: all further paths, values that the cast does not keep whole, and a second value of
+    a field. Broken records stay, with valid = false and their raw_json, which is null for the others. A record that
+    came again counts once, as first received.
     """
     field_of = match_fields(checkpointed(shard_layouts(records)), fields)
-    shape = f"{_SHAPE}, valid boolean, point_id long, video_name string, frame long, vector array<double>, dim double, shot_id double"
+    names = _columns(fields)
+    made_of = {f: (names[f], *_CASTS[fields[f]]) for f in fields}
+    column_of = {name: (name, *rest) for name, rest in _OWN.items()} | {p: made_of[f] for p, f in field_of.items()}
+    types = {name: t for name, (t, _) in _OWN.items()} | {c: t for c, t, _ in made_of.values()}
+    shape = f"{_SHAPE}, valid boolean, {', '.join(f'`{c}` {t}' for c, t in types.items())}, other map<string,string>, raw_json string"
 
     def convert(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for raw in part.pop("raw_json"):
                 obj = parse_record(raw)
-                got = {field_of[p]: v for p, v in leaves(obj or {}) if p in field_of}
-                whole = lambda name: int(n) if (n := _number((obj or {}).get(name))) is not None and abs(n) < 2**63 else None  # noqa: E731, B023
-                name = (obj or {}).get("video_name")
-                rows.append((obj is not None, (obj or {}).get("point_id") if isinstance((obj or {}).get("point_id"), int) else whole("point_id"), name if isinstance(name, str) else None, whole("frame"), _numbers(got.get("vector")), _number(got.get("dim")), _number(got.get("payload.shot_id"))))
-            made = pd.DataFrame(rows, columns=["valid", "point_id", "video_name", "frame", "vector", "dim", "shot_id"], index=part.index)
-            for c in ("point_id", "frame"):
-                made[c] = made[c].astype("Int64")
+                got, other = dict.fromkeys(types), {}
+                # a field's own name goes before its other names
+                for p, v in sorted(leaves(obj or {}), key=lambda x: x[0] not in fields):
+                    column, _, cast = column_of.get(p, (None, None, None))
+                    value = cast(v) if column and got[column] is None else None
+                    if value is not None:
+                        got[column] = value
+                    if not _kept(v, value):
+                        while p in other:
+                            p += "#"
+                        other[p] = json.dumps(v)
+                rows.append((obj is not None, *got.values(), other, raw if obj is None else None))
+            made = pd.DataFrame(rows, columns=["valid", *types, "other", "raw_json"], index=part.index, dtype=object)
+            for c, t in types.items():
+                if t == "long":
+                    made[c] = made[c].astype("Int64")
             yield pd.concat([part, made], axis=1)
 
     flat = _as_before(_as_text(records).mapInPandas(convert, shape), records)
     rest = [c for c in flat.columns if c not in ("shard_id", "line_no")]
-    once = flat.groupBy("shard_id", "line_no").agg(F.min_by(F.struct(*rest), "received_at").alias("r")).select("shard_id", "line_no", "r.*")
-    return once.withColumns({c: F.round(c).cast("long") for c in ("dim", "shot_id")})
+    return flat.groupBy("shard_id", "line_no").agg(F.min_by(F.struct(*rest), "received_at").alias("r")).select("shard_id", "line_no", "r.*")

@@ -105,3 +105,24 @@ def test_against_fixed_names(spark, data):
                 want |= {(shard, f, k) for k, yes in (("added", now and not b), ("removed", b and not now), ("renamed", b and now and b[0] != now[0]), ("type", b and now and b[1] != now[1])) if yes}
             before[stream, f] = now
     assert {tuple(r) for r in D.schema_changes(records, FIELDS).collect()} == want
+
+
+def test_no_value_is_lost(spark):
+    """Every non-null leaf is in a column or in ``other``; fields come from the argument, not from literals."""
+    lines = [record(1, vector=[0.5, 0.25], dim=2, tier="a", payload={"shot_id": 3, "has_ocr": True}), record(2, vector=["x", 1], dim=2.5, frame="?", extra=[{"k": 1}], payload={"shot_id": "s0007"}), "{broken"]
+    asked = {**FIELDS, "tier": "text", "payload.has_ocr": "flag"}
+    rows = {r.line_no: r for r in D.consistent_records(table(spark, [("s", lines)]), asked).collect()}
+    assert rows[0].tier == "a" and rows[0].has_ocr is True and rows[0].raw_json is None
+    assert rows[0].other == {"payload.keyframe_time": "0.5", "payload.shot_len": "7"}
+    assert rows[1].shot_id == 7 and rows[1].other == {"payload.keyframe_time": "0.5", "payload.shot_len": "7", "vector": '["x", 1]', "dim": "2.5", "frame": '"?"', "extra": '[{"k": 1}]'}
+    assert not rows[2].valid and rows[2].raw_json == "{broken" and rows[2].other == {}
+    assert D.consistent_records(table(spark, [("s", lines)]), FIELDS).where("other['tier'] = '\"a\"'").count() == 1
+
+
+def test_real_records_keep_every_path(spark, data):
+    records = spark.read.parquet(f"{data}/shard_records.parquet")
+    got = D.consistent_records(records, FIELDS)
+    for path in ("payload.keyframe_time", "payload.scene_idx", "tier", "group", "vector_norm"):
+        first = {(r.shard_id, r.line_no): r.raw_json for r in records.orderBy(records.received_at.desc()).collect()}
+        want = sum(path in dict(D.leaves(D.parse_record(x) or {})) for x in first.values())
+        assert want == got.where(got.other[path].isNotNull()).count()
