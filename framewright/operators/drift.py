@@ -106,12 +106,16 @@ def _layouts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 _KEYS = ("shard_id", "line_no", "stream_key", "written_at", "received_at")
-_SHAPE = ", ".join(f"{c} string" for c in _KEYS)
+_SHAPE = ", ".join(f"{c} string" for c in (*_KEYS, "same"))
 
 
 def _as_text(records: DataFrame) -> DataFrame:
-    """The key columns as text, as they go through Python, and raw_json: pandas would make floats of ids with nulls."""
-    return records.select(*[F.col(c).cast("string").alias(c) for c in _KEYS], "raw_json")
+    """The key columns as text, as they go through Python, and raw_json: pandas would make floats of ids with nulls.
+
+    ``same`` tells records apart that have no line_no or no shard_id: by their text."""
+    unknown = F.col("line_no").isNull() | F.col("shard_id").isNull()
+    same = F.when(unknown, F.coalesce(F.sha2("raw_json", 256), F.lit("")))
+    return records.select(*[F.col(c).cast("string").alias(c) for c in _KEYS], same.alias("same"), "raw_json")
 
 
 def _as_before(parsed: DataFrame, records: DataFrame) -> DataFrame:
@@ -122,13 +126,14 @@ def _as_before(parsed: DataFrame, records: DataFrame) -> DataFrame:
 def shard_layouts(records: DataFrame) -> DataFrame:
     """How many records of each shard have each layout: stream_key, shard_id, written_at, layout, n.
 
-    A record that came again (same shard_id and line_no) counts once, as first received. Records are parsed before
-    anything is shuffled, so only layouts move.
+    A record that came again (same shard_id and line_no) counts once, as first received; a time of receipt goes before
+    none. Records without line_no or shard_id are the same if their text is. Records are parsed before anything is
+    shuffled, so only layouts move.
     """
     keys = _as_text(records)
     parsed = keys.mapInPandas(_layouts, f"{_SHAPE}, layout string")
     parsed = _as_before(parsed, records)
-    once = parsed.groupBy("shard_id", "line_no", F.when(F.col("line_no").isNull(), F.col("layout")).alias("_x")).agg(F.min(F.struct("received_at", "stream_key", "written_at", "layout")).alias("r"))
+    once = parsed.groupBy("shard_id", "line_no", "same").agg(F.min(F.struct(F.col("received_at").isNull().alias("late"), "received_at", "stream_key", "written_at", "layout")).alias("r"))
     return once.groupBy("shard_id", "r.stream_key", "r.written_at", "r.layout").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -240,7 +245,8 @@ def schema_changes(records: DataFrame, fields: dict[str, str]) -> DataFrame:
     Columns: shard_id, field_name, change_kind ('added', 'removed', 'renamed', 'type'). A shard's name and type for a
     field are those of most of its non-null values (ties: the first in alphabetical order). Broken, null and non-object
     records count for nothing; a shard that has only such records lacks every field. Shards written at the same time
-    follow each other by shard_id. An empty table gives no rows.
+    follow each other by shard_id; shards without written_at come before all others of their stream. An empty table gives
+    no rows.
     """
     counts = checkpointed(shard_layouts(records))
     field_of = match_fields(counts, fields)
@@ -252,7 +258,7 @@ def schema_changes(records: DataFrame, fields: dict[str, str]) -> DataFrame:
     shards = counts.groupBy("shard_id").agg(F.min("stream_key").alias("stream_key"), F.min("written_at").alias("written_at"))
     wanted = shards.select("*", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field_name"))
     state = wanted.join(held, ["shard_id", "field_name"], "left")
-    lagged = spread_lag(state, ["stream_key", "field_name"], F.date_trunc("month", "written_at"), ["written_at", "shard_id"], ["path", "kind"])
+    lagged = spread_lag(state, ["stream_key", "field_name"], F.coalesce(F.date_trunc("month", "written_at"), F.lit("0001-01-01").cast("timestamp")), ["written_at", "shard_id"], ["path", "kind"])
     change = lambda when, name: F.when(when, F.lit(name))
     here, before = F.col("path").isNotNull(), F.col("prev_path").isNotNull()
     kinds = F.array_compact(F.array(change(here & ~before, "added"), change(~here & before, "removed"), change(here & before & (F.col("path") != F.col("prev_path")), "renamed"), change(here & before & (F.col("kind") != F.col("prev_kind")), "type")))
@@ -297,7 +303,7 @@ def _kept(value: object, cast: object) -> bool:
 
 def _columns(fields: dict[str, str]) -> dict[str, str]:
     """{field: column}: the last part of its path where that is free, else the path with underscores."""
-    taken, out = {*_KEYS, *_OWN, "valid", "other", "raw_json"}, {}
+    taken, out = {*_KEYS, "same", *_OWN, "valid", "other", "raw_json"}, {}
     for f in fields:
         short, full = f.rpartition(".")[2], f.replace(".", "_")
         out[f] = next(c for c in (short, full, *(f"{full}_{i}" for i in range(2, len(fields) + len(taken) + 3))) if c not in taken)
@@ -312,7 +318,8 @@ def consistent_records(records: DataFrame, fields: dict[str, str]) -> DataFrame:
     Values of another type are cast; what cannot be cast becomes null. ``other`` (map of path to JSON text) has every
     non-null leaf that has no column: all further paths, values that the cast does not keep whole, and a second value of
     a field. Broken records stay, with valid = false and their raw_json, which is null for the others. A record that
-    came again counts once, as first received.
+    came again counts once, as first received; a time of receipt goes before none. Records without line_no or shard_id are
+    the same if their text is.
     """
     field_of = match_fields(checkpointed(shard_layouts(records)), fields)
     names = _columns(fields)
@@ -345,5 +352,6 @@ def consistent_records(records: DataFrame, fields: dict[str, str]) -> DataFrame:
             yield pd.concat([part, made], axis=1)
 
     flat = _as_before(_as_text(records).mapInPandas(convert, shape), records)
-    rest = [c for c in flat.columns if c not in ("shard_id", "line_no")]
-    return flat.groupBy("shard_id", "line_no").agg(F.min_by(F.struct(*rest), "received_at").alias("r")).select("shard_id", "line_no", "r.*")
+    rest = [c for c in flat.columns if c not in ("shard_id", "line_no", "same")]
+    first = F.struct(F.col("received_at").isNull(), "received_at", "stream_key", "written_at")
+    return flat.groupBy("shard_id", "line_no", "same").agg(F.min_by(F.struct(*rest), first).alias("r")).select("shard_id", "line_no", "r.*")

@@ -126,3 +126,18 @@ def test_real_records_keep_every_path(spark, data):
         first = {(r.shard_id, r.line_no): r.raw_json for r in records.orderBy(records.received_at.desc()).collect()}
         want = sum(path in dict(D.leaves(D.parse_record(x) or {})) for x in first.values())
         assert want == got.where(got.other[path].isNotNull()).count()
+
+
+def test_null_keys_lose_no_record(spark):
+    """No line_no, no received_at, no written_at: the records and the changes are still there."""
+    lines = [record(i, vector=[0.5, 0.25], dim=2, payload={"shot_id": i}) for i in range(4)]
+    rows = [(0, "s", None, None, None, x, 0, "") for x in (*lines, lines[0])]
+    rows += [(1, "s", None, i, None, record(i, embedding=[0.5, 0.25], dim=2, payload={"shot_id": i}), 0, "") for i in range(4)]
+    rows += [(2, "s", "2026-01-02", i, "2026-02-01", record(i, vector=[0.5, 0.25], dim=2, payload={"shot_id": i}), 0, "") for i in range(4)]
+    df = spark.createDataFrame(rows, COLUMNS.replace("timestamp", "string"))
+    df = df.withColumn("written_at", df.written_at.cast("timestamp")).withColumn("received_at", df.received_at.cast("timestamp"))
+    got = D.consistent_records(df, FIELDS).collect()
+    assert sorted((r.shard_id, r.shot_id) for r in got) == [(s, i) for s in range(3) for i in range(4)] and all(r.valid for r in got)
+    assert {tuple(r) for r in D.schema_changes(df, FIELDS).collect()} == {(1, "vector", "renamed"), (2, "vector", "renamed")}
+    counts = D.shard_layouts(df).where("shard_id = 0").groupBy().sum("n").first()[0]
+    assert counts == 4
