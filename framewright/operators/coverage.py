@@ -45,13 +45,17 @@ def periods_and_gaps(spans: DataFrame, key: str, start: str, end: str, bucket_wi
 def scene_spans(scenes: DataFrame, videos: DataFrame) -> DataFrame:
     """video_name, start_frame, end_frame of each scene; a null bound is its time times the video's fps, rounded half up.
 
-    Only scenes that lack a bound meet the videos, so the join stays small. Scenes whose bound cannot be had (no video,
+    The video is the one of the scene's video_id or, where that refers to none with a rate, the one of its video_name.
+    Only scenes that lack a bound meet the videos, so the joins stay small. Scenes whose bound cannot be had (no video,
     no fps, no time, or a time that is not finite) keep a null there.
     """
     known = "start_frame is not null and end_frame is not null"
-    rates = videos.where("fps > 0 and video_id is not null").groupBy("video_id").agg(F.min_by("fps", "created_at").alias("fps"))
-    bound = lambda frame, t: F.coalesce(frame, F.when(F.abs(F.col(t)) < 1e12, F.round(F.col(t) * F.col("fps")).cast("long")))
+    rates = videos.where("fps > 0")
+    first = lambda key, out: rates.where(f"{key} is not null").groupBy(key).agg(F.min_by("fps", F.struct("created_at", "fps")).alias(out))
+    fps = F.coalesce("fps_of_id", "fps_of_name")
+    bound = lambda frame, t: F.coalesce(frame, F.when(F.abs(F.col(t)) < 1e12, F.round(F.col(t) * fps).cast("long")))
     whole = scenes.where(known).select("video_name", "start_frame", "end_frame")
-    rest = scenes.where(f"not ({known})").select("video_id", "video_name", "start_frame", "end_frame", "start_time", "end_time").join(rates, "video_id", "left")
+    rest = scenes.where(f"not ({known})").select("video_id", "video_name", "start_frame", "end_frame", "start_time", "end_time")
+    rest = rest.join(first("video_id", "fps_of_id"), "video_id", "left").join(first("video_name", "fps_of_name"), "video_name", "left")
     filled = rest.select("video_name", bound("start_frame", "start_time").alias("start_frame"), bound("end_frame", "end_time").alias("end_frame"))
     return whole.unionByName(filled)

@@ -68,8 +68,9 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 P1_SQL = """
 with v as (select video_id, arg_min(fps, created_at) fps from videos where fps > 0 group by 1),
-s as (select s.video_name, coalesce(s.start_frame, cast(round(s.start_time * v.fps) as bigint)) a, coalesce(s.end_frame, cast(round(s.end_time * v.fps) as bigint)) b
-      from scenes s left join v using (video_id) where s.video_name is not null),
+w as (select video_name, arg_min(fps, created_at) fps from videos where fps > 0 group by 1),
+s as (select s.video_name, coalesce(s.start_frame, cast(round(s.start_time * coalesce(v.fps, w.fps)) as bigint)) a, coalesce(s.end_frame, cast(round(s.end_time * coalesce(v.fps, w.fps)) as bigint)) b
+      from scenes s left join v using (video_id) left join w on w.video_name = s.video_name where s.video_name is not null),
 o as (select video_name, a, b, max(b) over (partition by video_name order by a, b rows between unbounded preceding and 1 preceding) m from s where a <= b),
 g as (select *, sum(case when m is null or a > m + 1 then 1 else 0 end) over (partition by video_name order by a, b rows unbounded preceding) k from o),
 p as (select video_name, k, min(a) a, max(b) b from g group by 1, 2),

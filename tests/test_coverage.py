@@ -50,9 +50,10 @@ def test_empty_touching_nested_repeated(spark):
 
 def test_bounds_from_times(spark):
     scenes = spark.createDataFrame([(1, "v", None, 50, 1.0, 2.0), (2, "w", 5, None, 0.0, 2.0), (1, "v", None, None, None, 2.0), (9, "x", None, 5, 1.0, 1.0), (1, "v", None, 60, float("nan"), 2.0)], "video_id long, video_name string, start_frame long, end_frame long, start_time double, end_time double")
-    videos = spark.createDataFrame([(1, 25.0, 1), (1, 25.0, 2), (2, None, 1)], "video_id long, fps double, created_at int")
+    videos = spark.createDataFrame([(1, "v", 25.0, 1), (1, "v", 25.0, 2), (2, "w", None, 1), (None, "x", 10.0, 1)], "video_id long, video_name string, fps double, created_at int")
     got = sorted(map(tuple, scene_spans(scenes, videos).collect()), key=str)
-    assert got == sorted([("v", 25, 50), ("w", 5, None), ("v", None, 50), ("x", None, 5), ("v", None, 60)], key=str)
+    # the id 9 refers to no video, the name "x" does
+    assert got == sorted([("v", 25, 50), ("w", 5, None), ("v", None, 50), ("x", 10, 5), ("v", None, 60)], key=str)
 
 
 def test_spread_helpers_equal_plain_windows(spark):
