@@ -1,12 +1,16 @@
 """The most similar vectors of every vector: NN-descent on a neighbour graph, and greedy search in that graph.
 
-The graph starts from an overlapping partition of the space: every vector goes to its nearest cell and, near a border,
-to the next one, and is compared with all vectors of its cells. NN-descent then repairs what the borders cut: the graph
-is joined with itself, neighbours of neighbours that never shared a cell are compared, and the lists take the better
-ones, round by round until few lists change. Only vectors of such pairs travel again.
-
-Cell centres are fitted on a bounded sample (``MAX_SAMPLE`` vectors); every row is indexed. Vectors are moved as 4 bytes
-a value; similarities are computed from them in double precision.
+NN-descent joins the neighbours of neighbours, round by round, until few lists change. The join is laid out by regions
+of about ``REGION_ROWS`` vectors. Where both ends of a pair share a region they are joined in the task that holds its
+vectors, so a round moves nothing: lists start from small cells around random pivots, and in each round a sample of every
+point's new neighbours, forward and reverse, is paired with its new and old ones. A vector near a border is in two
+regions, so the graphs of the regions hang together; across regions Spark joins the graph with itself by id, scores the
+pairs that no region has compared, and merges them into the lists, until few lists change. Only vectors of such pairs
+travel again.
+
+Region centres are fitted on a bounded sample (``MAX_SAMPLE`` vectors); every row is indexed. A centre whose share of the
+sample means more than ``REGION_ROWS`` rows is cut further by hyperplanes, so regions do not grow with the data. Vectors
+are moved as 4 bytes a value; similarities in the result are computed from them in double precision.
 """
 
 from __future__ import annotations
@@ -15,22 +19,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.session import checkpointed
+from framewright.session import checkpointed, discard, written
 
 DIM, K = 64, 5
-#: Rows for each cell, the sample for the centres (at least, at most), and its rows for each centre.
-CELL_ROWS, MIN_SAMPLE, MAX_SAMPLE, SAMPLE_PER_CELL = 64, 20_000, 200_000, 7
-#: A vector also visits its second nearest cell if that centre is less similar by at most this.
+#: Rows of a region, and of a cell whose points open a search.
+REGION_ROWS, SEARCH_ROWS = 4096, 64
+#: The sample for the centres (at least, at most), and its rows for each centre of a region and of a cell.
+MIN_SAMPLE, MAX_SAMPLE, SAMPLE_PER_REGION, SAMPLE_PER_CELL = 20_000, 200_000, 32, 7
+#: A vector also visits its second nearest region if that centre is less similar by at most this.
 BORDER = 0.08
-#: Up to so many cells a vector is compared with every centre; beyond, with about so many, under its nearest coarse ones.
-FLAT_CELLS, PROBED_CELLS = 8192, 3000
+#: Within regions: entries of a list, sampled new and old neighbours each way, rows of a starting cell, pivot draws.
+LIST, SAMPLED, START_ROWS, STARTS = 12, 6, 12, 3
 #: Rows of one block of similarities.
 BLOCK = 2048
-#: NN-descent ends after so many rounds, or when fewer than this share of the lists' entries changed.
-ROUNDS, SETTLED = 2, 0.001
+#: Descent ends when fewer than this share of the lists' entries changed; the number of rounds is only a safeguard.
+SETTLED, MOST_ROUNDS = 0.001, 30
 #: Bits of the filter that keeps vectors nobody asked for from being shuffled (1 MB, whatever the data).
 FILTER_BITS = 1 << 23
 SALTS = 16
@@ -50,43 +56,56 @@ def _centres(x: np.ndarray, n: int, rounds: int = 6, seed: int = 7) -> np.ndarra
 
 
 class Cells:
-    """A partition of the unit sphere into cells; many cells lie under coarse centres, so a vector meets a bounded number."""
-
-    def __init__(self, sample: np.ndarray, cells: int):
-        cells = max(1, min(cells, len(sample) // SAMPLE_PER_CELL))
-        self.coarse = _centres(sample, 1 if cells <= FLAT_CELLS else round(cells**0.5))
-        near = np.argmax(sample @ self.coarse.T, axis=1)
-        fine, start = [], [0]
-        for g in range(len(self.coarse)):
-            own = sample[near == g]
-            fine.append(_centres(own, max(1, round(cells * len(own) / len(sample)))) if len(own) else self.coarse[g : g + 1])
-            start.append(start[-1] + len(fine[-1]))
-        self.fine, self.start = np.concatenate(fine), np.array(start)
+    """A partition of the unit sphere: about ``rows`` of ``n`` vectors in each cell, whatever ``n`` is.
+
+    There are as many centres as the sample carries (``per`` of its rows each); a centre with more rows is cut by
+    hyperplanes at the sample's medians, one for each doubling.
+    """
+
+    def __init__(self, sample: np.ndarray, n: int, rows: int, per: int):
+        self.centres = _centres(sample, max(1, min(n // rows, len(sample) // per)))
+        near = np.concatenate([np.argmax(sample[i : i + 8192] @ self.centres.T, axis=1) for i in range(0, len(sample), 8192)])
+        held = np.bincount(near, minlength=len(self.centres))
+        times = held / len(sample) * n / rows
+        self.bits = np.where(times > 2, np.ceil(np.log2(np.maximum(times, 1))), 0).astype(np.int64)
+        self.planes = np.random.default_rng(5).standard_normal((int(self.bits.max()), sample.shape[1])).astype(np.float32)
+        self.planes /= np.linalg.norm(self.planes, axis=1, keepdims=True)
+        self.cuts = np.zeros((len(self.centres), len(self.planes)), np.float32)
+        for c in np.flatnonzero(self.bits):
+            self.cuts[c] = np.median(sample[near == c] @ self.planes.T, axis=0)
+        self.first = np.r_[0, np.cumsum(1 << self.bits)].astype(np.int64)
+
+    def _place(self, x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of vectors under their centres, and the cells beyond the nearest hyperplane (-1: none near)."""
+        cell, over = self.first[centre].copy(), np.full(len(centre), -1, np.int64)
+        cut = np.flatnonzero(self.bits[centre])
+        if len(cut):
+            bits = self.bits[centre[cut]]
+            away = x[cut] @ self.planes.T - self.cuts[centre[cut]]
+            unused = np.arange(len(self.planes)) >= bits[:, None]
+            side = ((away > 0) & ~unused) @ (1 << np.arange(len(self.planes), dtype=np.int64))
+            cell[cut] += side
+            away = np.where(unused, 9.0, np.abs(away))
+            j = np.argmin(away, axis=1)
+            over[cut] = np.where(away[np.arange(len(cut)), j] <= BORDER / 2, self.first[centre[cut]] + (side ^ (1 << j)), -1)
+        return cell, over
 
     def assign(self, x: np.ndarray, border: float = BORDER) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest cell of each unit vector, and the next one if the border is near (else -1)."""
-        n = len(x)
-        best, which = np.full((n, 2), -2.0, np.float32), np.full((n, 2), -1, np.int32)
-        per_group = len(self.fine) / len(self.coarse)
-        probes = min(len(self.coarse), max(4, round(PROBED_CELLS / per_group)))
-        to = x @ self.coarse.T
-        groups = np.argpartition(-to, probes - 1, axis=1)[:, :probes]
-        for g in np.unique(groups):
-            of_g = np.flatnonzero((groups == g).any(axis=1))
-            for at in range(0, len(of_g), BLOCK):
-                rows = of_g[at : at + BLOCK]
-                sims = x[rows] @ self.fine[self.start[g] : self.start[g + 1]].T
-                for _ in range(min(2, sims.shape[1])):
-                    j = np.argmax(sims, axis=1)
-                    s = sims[np.arange(len(rows)), j]
-                    sims[np.arange(len(rows)), j] = -3
-                    first = s > best[rows, 0]
-                    second = (s > best[rows, 1]) & ~first
-                    down, only = rows[first], rows[second]
-                    best[down, 1], which[down, 1] = best[down, 0], which[down, 0]
-                    best[down, 0], which[down, 0] = s[first], j[first] + self.start[g]
-                    best[only, 1], which[only, 1] = s[second], j[second] + self.start[g]
-        return which[:, 0], np.where(best[:, 1] >= best[:, 0] - border, which[:, 1], -1)
+        """The cell of each unit vector, and the next one if a border is near (else -1)."""
+        home, other = np.zeros(len(x), np.int64), np.full(len(x), -1, np.int64)
+        for at in range(0, len(x), BLOCK):
+            part = x[at : at + BLOCK]
+            rows = np.arange(len(part))
+            sims = part @ self.centres.T
+            first = np.argmax(sims, axis=1)
+            best = sims[rows, first]
+            home[at : at + BLOCK], over = self._place(part, first)
+            if len(self.centres) > 1:
+                sims[rows, first] = -9
+                second = np.argmax(sims, axis=1)
+                over = np.where(sims[rows, second] >= best - border, self._place(part, second)[0], over)
+            other[at : at + BLOCK] = over
+        return home, other
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -118,12 +137,14 @@ def _sized(vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def _sample(rows: DataFrame, n: int, dim: int) -> np.ndarray:
+    """Unit vectors for fitting centres, drawn by the hash of the id; never fewer than one if a row is usable."""
     want = max(MIN_SAMPLE, min(MAX_SAMPLE, n // 8))
     share = min(1.0, want / max(n, 1))
-    part = rows.where(F.pmod(F.xxhash64("point_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
+    # 2^53 classes of the hash: a share stays above 0 at any number of rows
+    part = rows.where(F.pmod(F.xxhash64("point_id"), F.lit(1 << 53)) < int(share * (1 << 53))) if share < 1 else rows
     got = part.select("vector").limit(MAX_SAMPLE + MAX_SAMPLE // 10).toArrow()["vector"].combine_chunks()
     x, good = _unit(_matrix(got, dim))
-    return x[good].astype(np.float32)
+    return x[good].astype(np.float32) if good.any() else np.eye(1, dim, dtype=np.float32)
 
 
 def _first_of_copies(ids: np.ndarray, keys: np.ndarray, keep: int) -> np.ndarray:
@@ -159,7 +180,7 @@ def _to_cells(cells: Cells, dim: int, keep: int):
             away = np.flatnonzero(next_to >= 0)
             pick = np.r_[np.arange(len(rows)), away]
             cell = np.r_[home, next_to[away]]
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(ids[rows][pick], pa.int64()), pa.array(home[pick], pa.int32()), pa.array(next_to[pick], pa.int32()), _bytes(x[rows][pick])], ["cell", "point_id", "c1", "c2", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(ids[rows][pick], pa.int64()), pa.array(home[pick]), pa.array(next_to[pick]), _bytes(x[rows][pick])], ["cell", "point_id", "c1", "c2", "vec"])
 
     return run
 
@@ -173,46 +194,137 @@ def _ranked(row: np.ndarray, sims: np.ndarray, ids: np.ndarray, k: int) -> np.nd
     return order[rank < k]
 
 
-def _in_cell(dim: int, k: int):
-    """The ``k`` most similar vectors within one cell, of each of its vectors; ties by id, on 6 decimals."""
+def _ranks(groups: np.ndarray) -> np.ndarray:
+    """The position of each element within its run of equal numbers."""
+    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else np.zeros(0, int)
+    return np.arange(len(groups)) - np.repeat(starts, np.diff(np.r_[starts, len(groups)]))
+
+
+def _starting_pairs(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Pairs (2 rows of indices) within small cells: every vector goes to the nearest of some vectors drawn as pivots.
+
+    Cells of many vectors are cut into runs by similarity to the pivot.
+    """
+    n, out = len(x), []
+    for _ in range(STARTS):
+        pivots = x[rng.choice(n, max(1, n // START_ROWS), replace=False)]
+        cell, like = np.empty(n, np.int64), np.empty(n, np.float32)
+        for at in range(0, n, BLOCK):
+            sims = x[at : at + BLOCK] @ pivots.T
+            cell[at : at + BLOCK], like[at : at + BLOCK] = sims.argmax(axis=1), sims.max(axis=1)
+        order = np.lexsort((-like, cell))
+        run = cell[order] * n + _ranks(cell[order]) // (2 * START_ROWS)
+        place = _ranks(run)
+        table = np.full((np.count_nonzero(place == 0), 2 * START_ROWS), -1)
+        table[np.cumsum(place == 0) - 1, place] = order
+        for i in range(1, table.shape[1]):
+            for j in range(i):
+                held = table[:, i] >= 0
+                out.append(table[held][:, [j, i]].T)
+    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+
+
+class _Lists:
+    """The neighbour lists of one region while it descends: similarity falls along a row; -1 is an empty place."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray):
+        self.x, self.ids, n = x, ids, len(x)
+        self.near, self.sim, self.new = np.full((n, LIST), -1), np.full((n, LIST), -2, np.float32), np.zeros((n, LIST), bool)
+
+    def offer(self, pairs: np.ndarray) -> int:
+        """Compares pairs, and takes those that are better than a list's last; gives the number of new entries."""
+        n = len(self.x)
+        both = np.unique(np.minimum(pairs[0], pairs[1]) * n + np.maximum(pairs[0], pairs[1]))
+        a, b = both // n, both % n
+        apart = self.ids[a] != self.ids[b]
+        a, b = a[apart], b[apart]
+        s = np.concatenate([np.einsum("ij,ij->i", self.x[a[i : i + 65536]], self.x[b[i : i + 65536]]) for i in range(0, len(a), 65536)]) if len(a) else np.zeros(0, np.float32)
+        row, to, s = np.r_[a, b], np.r_[b, a], np.r_[s, s]
+        good = s >= self.sim[row, -1]
+        row, to, s = row[good], to[good], s[good]
+        fresh = ~(self.near[row] == to[:, None]).any(axis=1)
+        row, to, s = row[fresh], to[fresh], s[fresh]
+        touched = np.unique(row)
+        if not len(touched):
+            return 0
+        r = np.r_[np.repeat(touched, LIST), row]
+        c, v = np.r_[self.near[touched].ravel(), to], np.r_[self.sim[touched].ravel(), s]
+        new = np.r_[self.new[touched].ravel(), np.ones(len(row), bool)]
+        arrived = np.r_[np.zeros(len(touched) * LIST, bool), np.ones(len(row), bool)]
+        order = np.lexsort((self.ids[c], -v, r))
+        place = _ranks(r[order])
+        order, place = order[place < LIST], place[place < LIST]
+        at = (r[order], place)
+        self.near[at], self.sim[at], self.new[at] = c[order], v[order], new[order]
+        return int(arrived[order].sum())
+
+    def join(self, rng: np.random.Generator) -> np.ndarray:
+        """Pairs of neighbours of one point, forward or reverse, sampled, of which at least one is new."""
+        r, p = np.nonzero(self.near >= 0)
+        c, new = self.near[r, p], self.new[r, p]
+
+        def sampled(edges: np.ndarray) -> np.ndarray:
+            at, to, edge = np.r_[r[edges], c[edges]], np.r_[c[edges], r[edges]], np.r_[edges, edges]
+            order = np.lexsort((rng.random(len(at)), at))
+            place = _ranks(at[order])
+            order, place = order[place < SAMPLED], place[place < SAMPLED]
+            table = np.full((len(self.x), SAMPLED), -1)
+            table[at[order], place] = to[order]
+            self.new[r[edge[order]], p[edge[order]]] = False
+            return table
+
+        fresh, old = sampled(np.flatnonzero(new)), sampled(np.flatnonzero(~new))
+        out = []
+        for i in range(SAMPLED):
+            for other in [*fresh.T[i + 1 :], *old.T]:
+                held = (fresh[:, i] >= 0) & (other >= 0) & (fresh[:, i] != other)
+                out.append(np.stack([fresh[held, i], other[held]]))
+        return np.concatenate(out, axis=1)
+
+
+def _descended(x: np.ndarray, ids: np.ndarray, seed: int, rounds: int = MOST_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, neighbour) of the lists of one region after NN-descent."""
+    rng, lists = np.random.default_rng(seed), _Lists(x, ids)
+    lists.offer(_starting_pairs(x, rng))
+    for _ in range(rounds):
+        if lists.offer(lists.join(rng)) <= SETTLED * LIST * len(x):
+            break
+    r, p = np.nonzero(lists.near >= 0)
+    return r, lists.near[r, p]
+
+
+def _in_region(dim: int, k: int):
+    """The ``k`` most similar vectors within one region, of each of its vectors; ties by id, on 6 decimals."""
 
     def run(table: pa.Table) -> pa.Table:
         x = _floats(table["vec"], dim)
         ids = table["point_id"].to_numpy()
         c1, c2 = table["c1"].to_numpy(), table["c2"].to_numpy()
-        keep = _first_of_copies(ids, _copy_keys(x), k + 1)
-        x, ids, c1, c2 = x[keep], ids[keep], c1[keep], c2[keep]
+        keep = _first_of_copies(ids, _copy_keys(x), k)
+        x, ids, c1, c2, n = x[keep], ids[keep], c1[keep], c2[keep], len(keep)
         unit = _unit(x)[0]
-        # of vectors of one direction (scaled copies) only the smallest ids can be anyone's neighbours
-        cols = _first_of_copies(ids, _copy_keys(np.rint(unit * 1e5).astype(np.float32)), k + 1)
-        short = unit.astype(np.float32)
-        near, n, kk = short[cols].T, len(ids), min(k + 1, len(cols))  # an id may come in two versions
-        out = []
-        for at in range(0, n, BLOCK):
-            sims = short[at : at + BLOCK] @ near
-            sims[ids[at : at + BLOCK, None] == ids[None, cols]] = -2
-            least = -np.partition(-sims, kk - 1, axis=1)[:, kk - 1] - 4e-6
-            r, c = np.nonzero((sims >= least[:, None]) & (sims > -1.5))
-            c = cols[c]
-            exact = np.rint(np.einsum("ij,ij->i", unit[at + r], unit[c]) * 1e6).astype(np.int64)
-            best = _ranked(r, exact, ids[c], k)
-            out.append((at + r[best], c[best], exact[best]))
-        r, c, s = (np.concatenate(p) for p in zip(*out))
-        lengths = np.bincount(r, minlength=n)
-        offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
-        entry = pa.StructArray.from_arrays([pa.array(-s, pa.int32()), pa.array(ids[c], pa.int64()), pa.array(c1[c], pa.int32()), pa.array(c2[c], pa.int32())], ["far", "id", "c1", "c2"])
-        return pa.table([pa.array(ids, pa.int64()), pa.array(c1, pa.int32()), pa.array(c2, pa.int32()), pa.ListArray.from_arrays(offsets, entry)], names=["point_id", "c1", "c2", "near"])
+        r, c = _descended(unit.astype(np.float32), ids, int(table["cell"][0].as_py()) & 0xFFFFFFFF)
+        exact = np.rint(np.einsum("ij,ij->i", unit[r], unit[c]) * 1e6).astype(np.int64)
+        # of two versions of an id the more similar one
+        order = np.lexsort((-exact, ids[c], r))
+        order = order[np.r_[True, (r[order][1:] != r[order][:-1]) | (ids[c[order]][1:] != ids[c[order]][:-1])]] if len(order) else order
+        r, c, s = r[order], c[order], exact[order]
+        best = _ranked(r, s, ids[c], k) if len(r) else order
+        r, c, s = r[best], c[best], s[best]
+        offsets = pa.array(np.r_[0, np.cumsum(np.bincount(r, minlength=n))].astype(np.int32))
+        entry = pa.StructArray.from_arrays([pa.array(-s, pa.int32()), pa.array(ids[c], pa.int64()), pa.array(c1[c]), pa.array(c2[c]), pa.array(np.ones(len(c), bool))], ["far", "id", "c1", "c2", "new"])
+        return pa.table([pa.array(ids, pa.int64()), pa.array(c1), pa.array(c2), pa.ListArray.from_arrays(offsets, entry)], names=["point_id", "c1", "c2", "near"])
 
     return run
 
 
-_ENTRY = "struct<far:int,id:long,c1:int,c2:int>"
+_ENTRY = "struct<far:int,id:long,c1:long,c2:long,new:boolean>"
 
 
-def _first(lists: str, k: int):
-    """The ``k`` nearest distinct entries of an array of entries; of two versions of an id the more similar one."""
-    ordered = F.array_sort(F.array_distinct(F.flatten(lists)))
-    return F.slice(ordered, 1, k)
+def _nearest(entries: Column, k: int) -> Column:
+    """The ``k`` nearest distinct ids of an array of entries; of two entries of an id the nearer, then the older one."""
+    ordered = F.array_sort(entries)
+    return F.slice(F.filter(ordered, lambda e, i: F.array_position(F.transform(ordered, lambda x: x["id"]), e["id"]) == i + 1), 1, k)
 
 
 def _asked(pairs: DataFrame) -> np.ndarray:
@@ -250,14 +362,16 @@ def _pair_similarity(dim: int):
     return run
 
 
-def _descend(graph: DataFrame, rows: DataFrame, dim: int, k: int) -> DataFrame:
-    """One round of NN-descent: compares neighbours of neighbours that never shared a cell.
+def _descend(graph: DataFrame, rows: DataFrame, dim: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """One round of NN-descent over all regions: the graph is joined with itself by id, and neighbours of neighbours that
+    no region has compared are, if one of the two edges is new.
 
-    Adds ``changed`` to the graph: how many of a list's first entries are new.
+    Returns the graph with its entries marked as new or not, and the pairs, which are to be unpersisted with it.
     """
-    hop = graph.select("point_id", "c1", "c2", F.explode(F.slice("near", 1, k)).alias("m")).select(F.col("point_id").alias("a"), F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("m.id").alias("m"))
-    apart = lambda x: (x["id"] != F.col("a")) & (x["c1"] != F.col("a1")) & (x["c1"] != F.col("a2")) & ((x["c2"] < 0) | ((x["c2"] != F.col("a1")) & (x["c2"] != F.col("a2"))))
-    met = hop.join(graph.select(F.col("point_id").alias("m"), F.slice("near", 1, k).alias("via")), "m").select("a", "a1", "a2", F.filter("via", apart).alias("far_off")).where(F.size("far_off") > 0)
+    first = F.slice("near", 1, k)
+    hop = graph.select("point_id", "c1", "c2", F.explode(first).alias("m")).select(F.col("point_id").alias("a"), F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("m.id").alias("m"), F.col("m.new").alias("fresh"))
+    apart = lambda x: (F.col("fresh") | x["new"]) & (x["id"] != F.col("a")) & (x["c1"] != F.col("a1")) & (x["c1"] != F.col("a2")) & ((x["c2"] < 0) | ((x["c2"] != F.col("a1")) & (x["c2"] != F.col("a2"))))
+    met = hop.join(graph.select(F.col("point_id").alias("m"), first.alias("via")), "m").select("a", "a1", "a2", F.filter("via", apart).alias("far_off")).where(F.size("far_off") > 0)
     found = met.select("a", "a1", "a2", F.explode("far_off").alias("x")).select(F.struct(F.col("a").alias("id"), F.col("a1").alias("c1"), F.col("a2").alias("c2")).alias("p"), F.struct("x.id", "x.c1", "x.c2").alias("q"))
     pairs = found.groupBy(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).agg(F.first(F.when(F.col("p.id") < F.col("q.id"), F.struct("p", "q")).otherwise(F.struct(F.col("q").alias("p"), F.col("p").alias("q")))).alias("pq"))
     pairs = pairs.select("a", "b", F.col("pq.p.c1").alias("a1"), F.col("pq.p.c2").alias("a2"), F.col("pq.q.c1").alias("b1"), F.col("pq.q.c2").alias("b2")).persist()
@@ -267,37 +381,37 @@ def _descend(graph: DataFrame, rows: DataFrame, dim: int, k: int) -> DataFrame:
     two = one.join(vectors.select(F.col("point_id").alias("b"), F.col("vec").alias("vb")), "b").select("a", "b", "va", "vb")
     scored = two.mapInArrow(_pair_similarity(dim), "a long, b long, far int").where("far < 2000000")
     best = scored.groupBy("a", "b").agg(F.min("far").alias("far")).join(pairs, ["a", "b"])
-    entry = lambda far, i, x, y: F.struct(F.col(far).alias("far"), F.col(i).alias("id"), F.col(x).alias("c1"), F.col(y).alias("c2"))
-    both = best.select(F.explode(F.array(F.struct(F.col("a").alias("point_id"), entry("far", "b", "b1", "b2").alias("e")), F.struct(F.col("b").alias("point_id"), entry("far", "a", "a1", "a2").alias("e")))).alias("x")).select("x.*")
+    entry = lambda i, x, y: F.struct(F.col("far").alias("far"), F.col(i).alias("id"), F.col(x).alias("c1"), F.col(y).alias("c2"), F.lit(True).alias("new"))
+    both = best.select(F.explode(F.array(F.struct(F.col("a").alias("point_id"), entry("b", "b1", "b2").alias("e")), F.struct(F.col("b").alias("point_id"), entry("a", "a1", "a2").alias("e")))).alias("x")).select("x.*")
     news = both.groupBy("point_id").agg(F.collect_list("e").alias("news"))
-    merged = graph.join(news, "point_id", "left").withColumn("after", F.when(F.col("news").isNull(), F.col("near")).otherwise(F.slice(F.array_sort(F.array_union("near", "news")), 1, k + 1)))
-    return merged.select("point_id", "c1", "c2", F.col("after").alias("near"), F.when(F.col("news").isNull(), 0).otherwise(F.size(F.array_except(F.slice("after", 1, k), F.col("near")))).alias("changed"))
+    seen = F.transform("near", lambda e: F.struct(e["far"].alias("far"), e["id"].alias("id"), e["c1"].alias("c1"), e["c2"].alias("c2"), F.lit(False).alias("new")))
+    merged = graph.join(news, "point_id", "left").select("point_id", "c1", "c2", F.when(F.col("news").isNull(), seen).otherwise(_nearest(F.concat(seen, "news"), k + 1)).alias("near"))
+    return merged, pairs
 
 
-def neighbour_graph(vectors: DataFrame, k: int = K, dim: int = DIM, rounds: int = ROUNDS, cell_rows: int = CELL_ROWS) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, k: int = K, dim: int = DIM, rounds: int = MOST_ROUNDS, region_rows: int = REGION_ROWS) -> DataFrame:
     """point_id and ``near``: the k + 1 most similar points, nearest first, as entries (far: minus millionths, id, ...).
 
     ``vectors`` has point_id and vector; rows with a null id, or whose vector is null, has not ``dim`` values, a null,
     NaN or infinite value, or is all zero are left out. A point that comes again counts once; if it comes with other
     values, each version is searchable and the most similar version counts. Of more than k + 1 equal vectors, only those
     of the smallest ids need be in the graph, for no other can be among anyone's first k; see ``with_copies``.
-    Fewer points than k + 1 give shorter lists; an empty table gives no rows.
+    Fewer points than k + 1 give shorter lists; an empty table gives no rows. ``rounds`` across regions end when few
+    lists change; the graph is a table in the checkpoint folder.
     """
     rows = _sized(vectors, dim)
     n = rows.count()
-    sample = _sample(rows, n, dim)
-    if not len(sample):
-        sample = np.eye(1, dim, dtype=np.float32)
-    cells = Cells(sample, n // cell_rows)
-    spread = rows.mapInArrow(_to_cells(cells, dim, k + 1), "cell int, point_id long, c1 int, c2 int, vec binary")
-    lists = spread.groupBy("cell").applyInArrow(_in_cell(dim, k + 1), f"point_id long, c1 int, c2 int, near array<{_ENTRY}>")
-    graph = lists.groupBy("point_id").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2"), _first(F.collect_list("near"), k + 1).alias("near")).persist()
-    for done in range(1, rounds + 1):
-        after = _descend(graph, rows, dim, k)
-        if done < rounds:
-            after = checkpointed(after)
-        graph = after.drop("changed")
-        if done < rounds and (after.agg(F.sum("changed")).first()[0] or 0) < SETTLED * k * max(n, 1):
+    cells = Cells(_sample(rows, n, dim), n, region_rows, SAMPLE_PER_REGION)
+    spread = rows.mapInArrow(_to_cells(cells, dim, k + 1), "cell long, point_id long, c1 long, c2 long, vec binary")
+    lists = spread.groupBy("cell").applyInArrow(_in_region(dim, k + 1), f"point_id long, c1 long, c2 long, near array<{_ENTRY}>")
+    graph, path = written(lists.groupBy("point_id").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2"), _nearest(F.flatten(F.collect_list("near")), k + 1).alias("near")))
+    for _ in range(rounds):
+        merged, pairs = _descend(graph, rows, dim, k)
+        before, (graph, path) = path, written(merged)
+        pairs.unpersist()
+        discard(graph.sparkSession, before)
+        changed = graph.agg(F.sum(F.size(F.filter(F.slice("near", 1, k), lambda e: e["new"])))).first()[0] or 0
+        if changed <= SETTLED * k * n:
             break
     return graph
 
@@ -339,11 +453,10 @@ def graph_search(vectors: DataFrame, queries: DataFrame, k: int = K, dim: int =
     rows, asked = _sized(vectors, dim), _sized(queries.select(F.col("query_id").alias("point_id"), "vector"), dim)
     graph = checkpointed(neighbour_graph(vectors, k, dim) if graph is None else graph).select("point_id", "near")
     n = rows.count()
-    sample = _sample(rows, n, dim)
-    cells = Cells(sample if len(sample) else np.eye(1, dim, dtype=np.float32), n // CELL_ROWS)
-    located = rows.mapInArrow(_packed(cells, dim, False), "point_id long, cell int, vec binary").dropDuplicates(["point_id"])
+    cells = Cells(_sample(rows, n, dim), n, SEARCH_ROWS, SAMPLE_PER_CELL)
+    located = rows.mapInArrow(_packed(cells, dim, False), "point_id long, cell long, vec binary").dropDuplicates(["point_id"])
     points = checkpointed(located.join(graph.select("point_id"), "point_id", "left_semi"))
-    started = checkpointed(asked.mapInArrow(_packed(cells, dim, True), "point_id long, cell int, vec binary").dropDuplicates(["point_id", "cell"])).withColumnRenamed("point_id", "query_id")
+    started = checkpointed(asked.mapInArrow(_packed(cells, dim, True), "point_id long, cell long, vec binary").dropDuplicates(["point_id", "cell"])).withColumnRenamed("point_id", "query_id")
     searches = started.groupBy("query_id").agg(F.first("vec").alias("qv"))
     edges = graph.select("point_id", F.explode("near.id").alias("id"))
     edges = checkpointed(edges.unionByName(edges.select(F.col("id").alias("point_id"), F.col("point_id").alias("id"))).distinct())
@@ -383,6 +496,6 @@ def _packed(cells: Cells, dim: int, both: bool):
             home, other = cells.assign(unit[rows].astype(np.float32), 9.0 if both else BORDER)
             cell = np.r_[home, other[other >= 0]] if both else home
             rows = np.r_[rows, rows[other >= 0]] if both else rows
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(cell, pa.int32()), _bytes(x[rows])], ["point_id", "cell", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(cell), _bytes(x[rows])], ["point_id", "cell", "vec"])
 
     return run

@@ -68,13 +68,33 @@ def test_empty_and_tiny(spark):
     assert pairs(table(spark, [1, 1], [[1.0] * D, [2.0] * D])) == set()
 
 
-def test_more_rounds_do_not_hurt(spark):
+def recall(x, r, c, k=5):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -2)
+    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    got = set(zip(r.tolist(), c.tolist()))
+    return np.mean([(i, j) in got for i in range(len(x)) for j in best[i].tolist()])
+
+
+def test_descent_within_a_region_makes_the_lists(monkeypatch):
+    x = clusters(2000, 6, 20)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(K, "STARTS", 2)
+    start, end = (recall(x, *K._descended(x, np.arange(2000), 1, rounds)) for rounds in (0, 30))
+    assert end > 0.97 and end - start > 0.05
+
+
+def test_rounds_across_regions_mend_the_borders(spark, monkeypatch):
     x = clusters(900, 8)
     df = table(spark, range(900), x)
     want = brute(range(900), x)
-    g = K.with_copies(K.neighbour_graph(df, 5, D, rounds=3), df, 5, D)
-    got = {(min(r.point_id, r.id), max(r.point_id, r.id)) for r in g.collect()}
-    assert len(got & want) >= 0.97 * len(want)
+    monkeypatch.setattr(K, "BORDER", 0.02)
+    got = []
+    for rounds in (0, 30):
+        g = K.with_copies(K.neighbour_graph(df, 5, D, rounds, 60), df, 5, D)
+        got.append(len({(min(r.point_id, r.id), max(r.point_id, r.id)) for r in g.collect()} & want) / len(want))
+    assert got[1] > got[0] and got[1] >= 0.95
 
 
 def test_graph_search(spark):
@@ -92,12 +112,19 @@ def test_graph_search(spark):
     assert K.graph_search(df, q.limit(0), 5, D).count() == 0
 
 
-@pytest.mark.parametrize(("cells", "flat"), [(1, 9), (7, 9), (40, 99), (40, 9)])
-def test_cells_find_the_nearest_centre(monkeypatch, cells, flat):
+@pytest.mark.parametrize(("n", "rows"), [(800, 900), (800, 100), (800_000, 100)])
+def test_cells_keep_their_size_at_any_number_of_rows(n, rows):
     x = clusters(800, 4)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    monkeypatch.setattr(K, "FLAT_CELLS", flat)
-    c = K.Cells(x, cells)
+    c = K.Cells(x, n, rows, 32)
     home, other = c.assign(x)
-    best = np.argmax(x @ c.fine.T, axis=1)
-    assert (home == best).mean() > 0.9 and ((other == -1) | (other != home)).all() and home.max() < len(c.fine)
+    assert ((other == -1) | (other != home)).all() and home.max() < c.first[-1] and c.first[-1] >= n / rows / 2
+    if not c.bits.any():
+        assert (home == np.argmax(x @ c.centres.T, axis=1)).all()
+    largest = np.bincount(home).max() * n / 800
+    assert largest <= max(8 * rows, n / 800 * 30)
+
+
+def test_sample_is_never_empty(spark):
+    df = table(spark, range(50), clusters(50))
+    assert len(K._sample(df.select("point_id", "vector"), 10**13, D)) >= 1
