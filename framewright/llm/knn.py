@@ -8,8 +8,8 @@ regions, so the graphs of the regions hang together; across regions Spark joins
 pairs that no region has compared, and merges them into the lists, until few lists change. Only vectors of such pairs
 travel again.
 
-Region centres are fitted on a bounded sample (``MAX_SAMPLE`` vectors); every row is indexed. A centre whose share of the
-sample means more than ``REGION_ROWS`` rows is cut further by hyperplanes, so regions do not grow with the data. Vectors
+Centres are fitted on a bounded sample (``MAX_SAMPLE`` vectors); every row is indexed. A centre whose share of the sample
+means more than ``REGION_ROWS`` rows is cut further by hyperplanes, so regions do not grow with the data. Vectors
 are moved as 4 bytes a value; similarities in the result are computed from them in double precision.
 """
 
@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.session import checkpointed, discard, written
+from framewright.session import checkpointed, written
 
 DIM, K = 64, 5
-#: Rows of a region, and of a cell whose points open a search.
-REGION_ROWS, SEARCH_ROWS = 4096, 64
-#: The sample for the centres (at least, at most), and its rows for each centre of a region and of a cell.
-MIN_SAMPLE, MAX_SAMPLE, SAMPLE_PER_REGION, SAMPLE_PER_CELL = 20_000, 200_000, 32, 7
+#: Rows of a region, and of a fine centre's cell.
+REGION_ROWS, CELL_ROWS = 4096, 64
+#: The sample for the centres (at least, at most), and its rows for each fine centre.
+MIN_SAMPLE, MAX_SAMPLE, SAMPLE_PER_CELL = 20_000, 200_000, 7
+#: So many fine centres, about, are compared with a vector: those under its nearest coarse centres.
+PROBED_CELLS = 3000
 #: A vector also visits its second nearest region if that centre is less similar by at most this.
 BORDER = 0.08
 #: Within regions: entries of a list, sampled new and old neighbours each way, rows of a starting cell, pivot draws.
@@ -40,6 +42,8 @@ SETTLED, MOST_ROUNDS = 0.001, 30
 #: Bits of the filter that keeps vectors nobody asked for from being shuffled (1 MB, whatever the data).
 FILTER_BITS = 1 << 23
 SALTS = 16
+#: Rows of a partition of the graph, and the rounds after which its lineage is cut.
+PART_ROWS, CUT = 250_000, 5
 
 
 def _centres(x: np.ndarray, n: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
@@ -56,33 +60,68 @@ def _centres(x: np.ndarray, n: int, rounds: int = 6, seed: int = 7) -> np.ndarra
 
 
 class Cells:
-    """A partition of the unit sphere: about ``rows`` of ``n`` vectors in each cell, whatever ``n`` is.
+    """A partition of the unit sphere into regions of about ``rows`` of ``n`` vectors each, whatever ``n`` is.
 
-    There are as many centres as the sample carries (``per`` of its rows each); a centre with more rows is cut by
-    hyperplanes at the sample's medians, one for each doubling.
+    A vector belongs to the nearest of many fine centres (about ``fine_rows`` vectors each, as far as the sample carries
+    them with ``SAMPLE_PER_CELL`` of its rows); centres near each other make a region, so tight groups stay together.
+    A centre with more than a region's rows is cut by hyperplanes at the sample's medians, one for each doubling.
+    Centres lie under coarse ones, of which a vector meets those nearest to it, about ``PROBED_CELLS`` centres.
     """
 
-    def __init__(self, sample: np.ndarray, n: int, rows: int, per: int):
-        self.centres = _centres(sample, max(1, min(n // rows, len(sample) // per)))
-        near = np.concatenate([np.argmax(sample[i : i + 8192] @ self.centres.T, axis=1) for i in range(0, len(sample), 8192)])
-        held = np.bincount(near, minlength=len(self.centres))
-        times = held / len(sample) * n / rows
+    def __init__(self, sample: np.ndarray, n: int, rows: int, fine_rows: int = CELL_ROWS):
+        cells = max(1, min(n // fine_rows, len(sample) // SAMPLE_PER_CELL))
+        self.coarse = _centres(sample, round(cells**0.5))
+        near = np.argmax(sample @ self.coarse.T, axis=1)
+        fine, start = [], [0]
+        for g in range(len(self.coarse)):
+            own = sample[near == g]
+            fine.append(_centres(own, max(1, round(cells * len(own) / len(sample)))) if len(own) else self.coarse[g : g + 1])
+            start.append(start[-1] + len(fine[-1]))
+        self.fine, self.start = np.concatenate(fine), np.array(start)
+        near = self._two_nearest(sample)[1][:, 0]
+        regions = max(1, min(n // rows, len(self.fine)))
+        region = np.arange(regions) if regions == len(self.fine) else np.argmax(self.fine @ _centres(self.fine, regions).T, axis=1)
+        times = np.bincount(near, minlength=len(self.fine)) / len(sample) * n / rows
         self.bits = np.where(times > 2, np.ceil(np.log2(np.maximum(times, 1))), 0).astype(np.int64)
         self.planes = np.random.default_rng(5).standard_normal((int(self.bits.max()), sample.shape[1])).astype(np.float32)
         self.planes /= np.linalg.norm(self.planes, axis=1, keepdims=True)
-        self.cuts = np.zeros((len(self.centres), len(self.planes)), np.float32)
+        self.cuts = np.zeros((len(self.fine), len(self.planes)), np.float32)
         for c in np.flatnonzero(self.bits):
             self.cuts[c] = np.median(sample[near == c] @ self.planes.T, axis=0)
-        self.first = np.r_[0, np.cumsum(1 << self.bits)].astype(np.int64)
+        own = np.where(self.bits > 0, 1 << self.bits, 0)
+        self.first = np.where(self.bits > 0, regions + np.cumsum(own) - own, region).astype(np.int64)
+        self.size = regions + int(own.sum())
+
+    def _two_nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Similarities and numbers of the two nearest fine centres (-1: there is no second)."""
+        n = len(x)
+        best, which = np.full((n, 2), -2.0, np.float32), np.full((n, 2), -1, np.int64)
+        probes = min(len(self.coarse), max(4, round(PROBED_CELLS * len(self.coarse) / len(self.fine))))
+        groups = np.argpartition(-(x @ self.coarse.T), probes - 1, axis=1)[:, :probes]
+        for g in np.unique(groups):
+            of_g = np.flatnonzero((groups == g).any(axis=1))
+            for at in range(0, len(of_g), BLOCK):
+                rows = of_g[at : at + BLOCK]
+                sims = x[rows] @ self.fine[self.start[g] : self.start[g + 1]].T
+                for _ in range(min(2, sims.shape[1])):
+                    j = np.argmax(sims, axis=1)
+                    s = sims[np.arange(len(rows)), j]
+                    sims[np.arange(len(rows)), j] = -3
+                    first = s > best[rows, 0]
+                    second = (s > best[rows, 1]) & ~first
+                    down, only = rows[first], rows[second]
+                    best[down, 1], which[down, 1] = best[down, 0], which[down, 0]
+                    best[down, 0], which[down, 0] = s[first], j[first] + self.start[g]
+                    best[only, 1], which[only, 1] = s[second], j[second] + self.start[g]
+        return best, which
 
     def _place(self, x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The cells of vectors under their centres, and the cells beyond the nearest hyperplane (-1: none near)."""
+        """The regions of vectors under their centres, and the regions beyond the nearest hyperplane (-1: none near)."""
         cell, over = self.first[centre].copy(), np.full(len(centre), -1, np.int64)
         cut = np.flatnonzero(self.bits[centre])
         if len(cut):
-            bits = self.bits[centre[cut]]
+            unused = np.arange(len(self.planes)) >= self.bits[centre[cut]][:, None]
             away = x[cut] @ self.planes.T - self.cuts[centre[cut]]
-            unused = np.arange(len(self.planes)) >= bits[:, None]
             side = ((away > 0) & ~unused) @ (1 << np.arange(len(self.planes), dtype=np.int64))
             cell[cut] += side
             away = np.where(unused, 9.0, np.abs(away))
@@ -91,20 +130,12 @@ class Cells:
         return cell, over
 
     def assign(self, x: np.ndarray, border: float = BORDER) -> tuple[np.ndarray, np.ndarray]:
-        """The cell of each unit vector, and the next one if a border is near (else -1)."""
-        home, other = np.zeros(len(x), np.int64), np.full(len(x), -1, np.int64)
-        for at in range(0, len(x), BLOCK):
-            part = x[at : at + BLOCK]
-            rows = np.arange(len(part))
-            sims = part @ self.centres.T
-            first = np.argmax(sims, axis=1)
-            best = sims[rows, first]
-            home[at : at + BLOCK], over = self._place(part, first)
-            if len(self.centres) > 1:
-                sims[rows, first] = -9
-                second = np.argmax(sims, axis=1)
-                over = np.where(sims[rows, second] >= best - border, self._place(part, second)[0], over)
-            other[at : at + BLOCK] = over
+        """The region of each unit vector, and the next one if its border is near (else -1)."""
+        best, which = self._two_nearest(x)
+        home, other = self._place(x, which[:, 0])
+        near = np.flatnonzero((which[:, 1] >= 0) & (best[:, 1] >= best[:, 0] - border))
+        beyond = self._place(x[near], which[near, 1])[0]
+        other[near] = np.where(beyond != home[near], beyond, other[near])
         return home, other
 
 
@@ -323,8 +354,11 @@ _ENTRY = "struct<far:int,id:long,c1:long,c2:long,new:boolean>"
 
 def _nearest(entries: Column, k: int) -> Column:
     """The ``k`` nearest distinct ids of an array of entries; of two entries of an id the nearer, then the older one."""
-    ordered = F.array_sort(entries)
-    return F.slice(F.filter(ordered, lambda e, i: F.array_position(F.transform(ordered, lambda x: x["id"]), e["id"]) == i + 1), 1, k)
+    ordered = F.array_sort(F.array_distinct(entries))
+    ids = F.transform(ordered, lambda x: x["id"])
+    first = F.filter(ordered, lambda e, i: F.array_position(ids, e["id"]) == i + 1)
+    # few lists hold an id twice; only those pay for the search of first places
+    return F.slice(F.when(F.size(F.array_distinct(ids)) == F.size(ordered), ordered).otherwise(first), 1, k)
 
 
 def _asked(pairs: DataFrame) -> np.ndarray:
@@ -362,16 +396,20 @@ def _pair_similarity(dim: int):
     return run
 
 
-def _descend(graph: DataFrame, rows: DataFrame, dim: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """One round of NN-descent over all regions: the graph is joined with itself by id, and neighbours of neighbours that
-    no region has compared are, if one of the two edges is new.
+def _descend(graph: DataFrame, rows: DataFrame, dim: int, k: int, begun: bool) -> tuple[DataFrame, DataFrame]:
+    """One round of NN-descent over all regions: the new edges, in both directions, are joined by id with the lists of
+    the points they lead to, and neighbours of neighbours that no region has compared are.
 
-    Returns the graph with its entries marked as new or not, and the pairs, which are to be unpersisted with it.
+    At first all edges are new and lie within regions, where only points of two regions lead out of one. Returns the
+    graph with its entries marked as new or not, and the pairs, which are to be unpersisted with it.
     """
-    first = F.slice("near", 1, k)
-    hop = graph.select("point_id", "c1", "c2", F.explode(first).alias("m")).select(F.col("point_id").alias("a"), F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("m.id").alias("m"), F.col("m.new").alias("fresh"))
-    apart = lambda x: (F.col("fresh") | x["new"]) & (x["id"] != F.col("a")) & (x["c1"] != F.col("a1")) & (x["c1"] != F.col("a2")) & ((x["c2"] < 0) | ((x["c2"] != F.col("a1")) & (x["c2"] != F.col("a2"))))
-    met = hop.join(graph.select(F.col("point_id").alias("m"), first.alias("via")), "m").select("a", "a1", "a2", F.filter("via", apart).alias("far_off")).where(F.size("far_off") > 0)
+    near = F.filter(F.slice("near", 1, k), lambda e: e["new"] & (F.lit(begun) | (e["c2"] >= 0) | (F.col("c2") >= 0)))
+    edge = graph.select("point_id", "c1", "c2", F.explode(near).alias("m"))
+    way = lambda i, x, y, m, two: F.struct(F.col(i).alias("a"), F.col(x).alias("a1"), F.col(y).alias("a2"), F.col(m).alias("m"), F.col(two).alias("two"))
+    both_ways = F.array(way("point_id", "c1", "c2", "m.id", "m.c2"), way("m.id", "m.c1", "m.c2", "point_id", "c2"))
+    hop = edge.select(F.explode(both_ways).alias("h")).select("h.*").where(F.lit(begun) | (F.col("two") >= 0)).drop("two")
+    apart = lambda x: (x["id"] != F.col("a")) & (x["c1"] != F.col("a1")) & (x["c1"] != F.col("a2")) & ((x["c2"] < 0) | ((x["c2"] != F.col("a1")) & (x["c2"] != F.col("a2"))))
+    met = graph.select(F.col("point_id").alias("m"), F.slice("near", 1, k).alias("via")).join(hop, "m").select("a", "a1", "a2", F.filter("via", apart).alias("far_off")).where(F.size("far_off") > 0)
     found = met.select("a", "a1", "a2", F.explode("far_off").alias("x")).select(F.struct(F.col("a").alias("id"), F.col("a1").alias("c1"), F.col("a2").alias("c2")).alias("p"), F.struct("x.id", "x.c1", "x.c2").alias("q"))
     pairs = found.groupBy(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).agg(F.first(F.when(F.col("p.id") < F.col("q.id"), F.struct("p", "q")).otherwise(F.struct(F.col("q").alias("p"), F.col("p").alias("q")))).alias("pq"))
     pairs = pairs.select("a", "b", F.col("pq.p.c1").alias("a1"), F.col("pq.p.c2").alias("a2"), F.col("pq.q.c1").alias("b1"), F.col("pq.q.c2").alias("b2")).persist()
@@ -401,19 +439,26 @@ def neighbour_graph(vectors: DataFrame, k: int = K, dim: int = DIM, rounds: int
     """
     rows = _sized(vectors, dim)
     n = rows.count()
-    cells = Cells(_sample(rows, n, dim), n, region_rows, SAMPLE_PER_REGION)
+    cells = Cells(_sample(rows, n, dim), n, region_rows)
     spread = rows.mapInArrow(_to_cells(cells, dim, k + 1), "cell long, point_id long, c1 long, c2 long, vec binary")
     lists = spread.groupBy("cell").applyInArrow(_in_region(dim, k + 1), f"point_id long, c1 long, c2 long, near array<{_ENTRY}>")
-    graph, path = written(lists.groupBy("point_id").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2"), _nearest(F.flatten(F.collect_list("near")), k + 1).alias("near")))
-    for _ in range(rounds):
-        merged, pairs = _descend(graph, rows, dim, k)
-        before, (graph, path) = path, written(merged)
-        pairs.unpersist()
-        discard(graph.sparkSession, before)
+    # the graph keeps its partitions by id, so that in a round only new edges and pairs move
+    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // PART_ROWS)
+    graph = lists.repartition(parts, "point_id").groupBy("point_id").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2"), _nearest(F.flatten(F.collect_list("near")), k + 1).alias("near")).persist()
+    for done in range(rounds):
+        merged, pairs = _descend(graph, rows, dim, k, done > 0)
+        before, graph = graph, merged.persist()
         changed = graph.agg(F.sum(F.size(F.filter(F.slice("near", 1, k), lambda e: e["new"])))).first()[0] or 0
+        if done % CUT == CUT - 1:
+            held, graph = graph, checkpointed(graph).repartition(parts, "point_id").persist()
+            held.unpersist()
+        before.unpersist()
+        pairs.unpersist()
         if changed <= SETTLED * k * n:
             break
-    return graph
+    out, _ = written(graph)
+    graph.unpersist()
+    return out
 
 
 def with_copies(graph: DataFrame, vectors: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
@@ -453,7 +498,7 @@ def graph_search(vectors: DataFrame, queries: DataFrame, k: int = K, dim: int =
     rows, asked = _sized(vectors, dim), _sized(queries.select(F.col("query_id").alias("point_id"), "vector"), dim)
     graph = checkpointed(neighbour_graph(vectors, k, dim) if graph is None else graph).select("point_id", "near")
     n = rows.count()
-    cells = Cells(_sample(rows, n, dim), n, SEARCH_ROWS, SAMPLE_PER_CELL)
+    cells = Cells(_sample(rows, n, dim), n, CELL_ROWS)
     located = rows.mapInArrow(_packed(cells, dim, False), "point_id long, cell long, vec binary").dropDuplicates(["point_id"])
     points = checkpointed(located.join(graph.select("point_id"), "point_id", "left_semi"))
     started = checkpointed(asked.mapInArrow(_packed(cells, dim, True), "point_id long, cell long, vec binary").dropDuplicates(["point_id", "cell"])).withColumnRenamed("point_id", "query_id")
