@@ -49,6 +49,25 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bucketed(df: DataFrame, key: str, parts: int) -> tuple[DataFrame, str]:
+    """``df`` as a table of ``parts`` buckets by ``key`` in the shared checkpoint folder, and its name for ``drop_bucketed``.
+
+    Later joins and sums by ``key`` find the rows where they are and shuffle only their other side. ``df`` should be
+    hash-partitioned by ``key`` into ``parts`` already, so that each task writes one file.
+    """
+    spark = df.sparkSession
+    name = f"framewright_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    df.write.option("path", path).bucketBy(parts, key).sortBy(key).format("parquet").saveAsTable(name)
+    return spark.table(name), name
+
+
+def drop_bucketed(spark: SparkSession, name: str) -> None:
+    """Drops a table of ``bucketed`` that nothing reads any more, with its files."""
+    spark.sql(f"drop table if exists {name}")
+    discard(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}")
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a table of ``written`` that nothing reads any more."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
