@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.session import checkpointed, written
+from framewright.session import bucketed, checkpointed, drop_bucketed
 
 DIM, K = 64, 5
 #: Rows of a region, and of a fine centre's cell.
@@ -42,8 +42,8 @@ SETTLED, MOST_ROUNDS = 0.001, 30
 #: Bits of the filter that keeps vectors nobody asked for from being shuffled (1 MB, whatever the data).
 FILTER_BITS = 1 << 23
 SALTS = 16
-#: Rows of a partition of the graph, and the rounds after which its lineage is cut.
-PART_ROWS, CUT = 250_000, 5
+#: Rows of a bucket of the graph.
+PART_ROWS = 250_000
 
 
 def _centres(x: np.ndarray, n: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
@@ -442,23 +442,19 @@ def neighbour_graph(vectors: DataFrame, k: int = K, dim: int = DIM, rounds: int
     cells = Cells(_sample(rows, n, dim), n, region_rows)
     spread = rows.mapInArrow(_to_cells(cells, dim, k + 1), "cell long, point_id long, c1 long, c2 long, vec binary")
     lists = spread.groupBy("cell").applyInArrow(_in_region(dim, k + 1), f"point_id long, c1 long, c2 long, near array<{_ENTRY}>")
-    # the graph keeps its partitions by id, so that in a round only new edges and pairs move
+    # the graph is a table of buckets by id, so in a round only new edges, pairs and their vectors move
     parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // PART_ROWS)
-    graph = lists.repartition(parts, "point_id").groupBy("point_id").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2"), _nearest(F.flatten(F.collect_list("near")), k + 1).alias("near")).persist()
+    first = lists.repartition(parts, "point_id").groupBy("point_id").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2"), _nearest(F.flatten(F.collect_list("near")), k + 1).alias("near"))
+    graph, name = bucketed(first, "point_id", parts)
     for done in range(rounds):
         merged, pairs = _descend(graph, rows, dim, k, done > 0)
-        before, graph = graph, merged.persist()
-        changed = graph.agg(F.sum(F.size(F.filter(F.slice("near", 1, k), lambda e: e["new"])))).first()[0] or 0
-        if done % CUT == CUT - 1:
-            held, graph = graph, checkpointed(graph).repartition(parts, "point_id").persist()
-            held.unpersist()
-        before.unpersist()
+        before, (graph, name) = name, bucketed(merged, "point_id", parts)
         pairs.unpersist()
+        drop_bucketed(graph.sparkSession, before)
+        changed = graph.agg(F.sum(F.size(F.filter(F.slice("near", 1, k), lambda e: e["new"])))).first()[0] or 0
         if changed <= SETTLED * k * n:
             break
-    out, _ = written(graph)
-    graph.unpersist()
-    return out
+    return graph
 
 
 def with_copies(graph: DataFrame, vectors: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
