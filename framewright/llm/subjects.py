@@ -1,16 +1,16 @@
 """Subject areas of documents: classifier chains over term, source and structure features, decoded by beam search.
 
-A term model (multinomial logistic regression over words and pairs of them) gives every sentence its subject; a boundary model
-finds the sentences of texts without punctuation. From the sentences come a document's features: how many deal with
-each subject, how surely, how many sentences there are, which kind of text it is, and how often its source writes about
-the subject. A chain of 13 classifiers, each given the decisions before it, turns them into label combinations, so it
-knows which subjects go together; beam search takes the most probable combination.
-
-Labelled rows are bounded samples drawn by hash (``MAX_EXAMPLES``, ``MAX_SEGMENTS``). Whatever describes the corpus is
-counted over all documents: how common terms, greetings and the subjects of a source are, which subjects go together,
-the sentences that teach further terms, and the documents the chain is fitted on. Only the boundary model
-(``MAX_MARKED``) and the sentences that composed documents are drawn from (``MAX_DOCUMENTS``) come from a draw of
-documents by hash. The model that is sent to the executors is bounded by ``MAX_TERMS``.
+A term model (multinomial logistic regression over words and pairs of them) gives every sentence its subject; a boundary
+model finds the sentences of texts without punctuation. From the sentences come a document's features: how many deal with
+each subject, how surely, how many sentences there are, whether they were punctuated, and how often its source writes
+about the subject. A chain of classifiers, each given the decisions before it, turns them into label combinations, so it
+knows which subjects go together; it is fitted on documents composed of labelled sentences, whose subjects are known, and
+calibrated on others of them; beam search takes the most probable combination.
+
+Only labelled rows are bounded draws by hash: examples (``MAX_EXAMPLES``), segments (``MAX_SEGMENTS``), and punctuated
+documents as labels of the boundary model (``MAX_MARKED``). Whatever describes the corpus is counted over all documents
+by Spark: how common terms are, words that speakers put in, greetings, the subjects of a source, which subjects go
+together, and the subjects in whose sentences a term is that no label shows (at most ``MAX_TERMS``, the commonest).
 """
 
 from __future__ import annotations
@@ -25,29 +25,29 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.mojibake import repaired_text
-from framewright.session import checkpointed
+from framewright.session import checkpointed, written
 
-MAX_EXAMPLES, MAX_SEGMENTS, MAX_DOCUMENTS, MAX_MARKED, MAX_TERMS = 5_000, 6_000, 6_000, 2_500, 200_000
-#: All unlabelled documents together weigh as so many in a fit, so that the labels still count in a large corpus.
-CORPUS_WEIGHT = 6_000
+MAX_EXAMPLES, MAX_SEGMENTS, MAX_MARKED, MAX_TERMS = 5_000, 6_000, 2_500, 200_000
+#: All taught terms together weigh as if they came from so many documents, so that the labels still count.
+CORPUS_WEIGHT, TERM_WEIGHT = 6_000, 0.05
 #: A term that more than this share of a language's sentences has says nothing.
 FRAME_SHARE = 0.12
-#: A sentence below the first probability of its best subject deals with none; from the second on it teaches.
-SURE, VERY_SURE = 0.15, 0.8
+#: A sentence below the first probability of its best subject deals with none; from the second on it does so firmly, and
+#: from the third on it teaches.
+SURE, FIRM, VERY_SURE = 0.15, 0.35, 0.8
 #: A sentence that comes word for word in this share of the documents, and so often, says nothing: a greeting.
 GREETING_SHARE, GREETING_TIMES = 0.002, 4
+#: A word is put in by speakers if it has this share of the words of texts without punctuation, and so many times less elsewhere.
+FILLER_SHARE, FILLER_TIMES = 0.001, 20
 SHARE = 0.2
-BEAM, COMPOSED, SEED = 6, 4_000, 11
-LONG_PIECE, PIECE = 13, 1 << 17
-#: Entries of a block's counts before they are handed on, and partial sums that reach the driver at once.
-BLOCK, PARTIAL = 300_000, 16
-#: Words that speakers put in between; they are dropped before terms are built (fixed values).
-FILLERS = frozenset("ờ à vâng dạ thì ừ uh um well so er euh ben alors hein".split())
+BEAM, COMPOSED, SEED = 6, 6_000, 11
+LONG_PIECE, PIECE, BLOCK = 13, 1 << 17, 300_000
+#: Where the slope of a share's effect may change.
+KNOTS = (0.05, 0.1, 0.14, 0.17, 0.185, 0.21, 0.24, 0.3)
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”’»\s]+(?=\S)|\n+")
 _MARKED = re.compile(r"[.!?…]")
@@ -60,7 +60,7 @@ def plain(text: str) -> str:
 
 
 def words(text: str) -> list[str]:
-    return [w for w in _WORD.findall(text.lower().replace("you know", " ")) if w not in FILLERS]
+    return _WORD.findall(text.lower())
 
 
 def terms(ws: list[str]) -> set[str]:
@@ -68,12 +68,17 @@ def terms(ws: list[str]) -> set[str]:
     return {*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:]))}
 
 
-def gap_features(ws: list[str], i: int) -> list[str]:
-    """What the words around a gap say about a sentence beginning at ``ws[i]``."""
-    n = len(ws)
-    b2, b1 = ws[i - 2] if i > 1 else "", ws[i - 1] if i else ""
-    a0, a1, a2 = ws[i] if i < n else "", ws[i + 1] if i + 1 < n else "", ws[i + 2] if i + 2 < n else ""
-    return [f">{a0}", f">{a0} {a1}", f">{a0} {a1} {a2}", f"<{b1}", f"<{b2} {b1}", f"{b1}|{a0}"]
+def sentences(text: str) -> list[list[str]]:
+    """The sentences of a plain text by its marks, as words. A short first line before a blank one is a title."""
+    head, blank, rest = text.partition("\n\n")
+    if blank and rest.strip() and len(words(head)) <= 8 and not _MARKED.search(head):
+        text = rest
+    return [ws for part in _SENTENCE.split(text) if (ws := words(part))]
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(axis=-1, keepdims=True))
+    return p / p.sum(axis=-1, keepdims=True)
 
 
 def _pieces(starts: np.ndarray, total: int) -> Iterator[tuple[int, int, int, int]]:
@@ -87,8 +92,8 @@ def _pieces(starts: np.ndarray, total: int) -> Iterator[tuple[int, int, int, int
 class Logistic:
     """Multinomial logistic regression over sparse named features, by full-batch AdaGrad."""
 
-    def __init__(self, index: dict[str, int], value: np.ndarray, weights: np.ndarray, normed: bool):
-        self.index, self.value, self.weights, self.normed = index, value, weights, normed
+    def __init__(self, index: dict[str, int], value: np.ndarray, weights: np.ndarray):
+        self.index, self.value, self.weights = index, value, weights
 
     @classmethod
     def fit(cls, rows: Iterable[Iterable[str]], labels: list[int], weight: list[float], classes: int, value=None, normed: bool = True, epochs: int = 25, rate: float = 0.5, l2: float = 1e-5) -> Logistic:
@@ -102,9 +107,8 @@ class Logistic:
         names = list(index)
         v = np.array([value(f) for f in names] if value else np.ones(len(names)), np.float32)
         w = np.zeros((len(names), classes), np.float32)
-        model = cls(index, v, w, normed)
         if not c:
-            return model
+            return cls(index, v, w)
         r, c = np.frombuffer(r, np.int32), np.frombuffer(c, np.int32)
         x = v[c]
         if normed:
@@ -131,351 +135,333 @@ class Logistic:
             g += l2 * n * w
             seen += g * g
             w -= rate * g / np.sqrt(seen)
-        return model
-
-    def scores(self, rows: list[Iterable[str]]) -> np.ndarray:
-        """A row of scores for each row of features; zeros where none is known."""
-        index = self.index
-        found = [[index[f] for f in row if f in index] for row in rows]
-        out = np.zeros((len(rows), self.weights.shape[1]), np.float32)
-        sizes = np.array([len(j) for j in found])
-        held = np.flatnonzero(sizes)
-        if len(held):
-            flat = np.array([i for j in found for i in j])
-            first = np.r_[0, np.cumsum(sizes[held])[:-1]]
-            v = self.value[flat]
-            if self.normed:
-                v = v / np.repeat(np.sqrt(np.add.reduceat(v * v, first)) + 1e-9, sizes[held])
-            out[held] = np.add.reduceat(v[:, None] * self.weights[flat], first, axis=0)
+        return cls(index, v, w)
+
+    def strongest(self, most: int) -> np.ndarray:
+        """The numbers of the ``most`` features that say most."""
+        says = self.value * np.abs(self.weights - self.weights.mean(axis=1, keepdims=True)).max(axis=1, initial=0.0)
+        return np.argsort(-says, kind="stable")[: min(most, int((says > 0.02).sum()))]
+
+
+class TermModel:
+    """The scores of sentences by their words and pairs of words, for many sentences at once."""
+
+    def __init__(self, fitted: Logistic, classes: int):
+        keep = fitted.strongest(MAX_TERMS)
+        names = list(fitted.index)
+        split = [names[k].split(" ") for k in keep]
+        self.value, self.weights, self.classes = fitted.value[keep], fitted.weights[keep], classes
+        self.words = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
+        self.single = np.full(len(self.words) + 1, -1)
+        for i, ws in enumerate(split):
+            if len(ws) == 1:
+                self.single[self.words[ws[0]]] = i
+        two = [(self.words[ws[0]] * len(self.words) + self.words[ws[1]], i) for i, ws in enumerate(split) if len(ws) == 2]
+        self.pairs, self.pair_of = (np.array(x, np.int64) for x in zip(*sorted(two))) if two else (np.zeros(0, np.int64),) * 2
+
+    def scores(self, pieces: list[list[str]]) -> np.ndarray:
+        """A row of scores for each sentence; zeros where no term is known."""
+        out = np.zeros((len(pieces), self.classes), np.float32)
+        if not self.words or not pieces:
+            return out
+        get, none = self.words.get, len(self.words)
+        ids = np.array([get(w, none) for ws in pieces for w in ws], np.int64)
+        row = np.repeat(np.arange(len(pieces)), [len(ws) for ws in pieces])
+        key = np.where((ids[:-1] < none) & (ids[1:] < none) & (row[:-1] == row[1:]), ids[:-1] * none + ids[1:], -1)
+        at = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
+        hit = np.flatnonzero(self.pairs[at] == key) if len(self.pairs) else np.zeros(0, int)
+        one = np.flatnonzero(self.single[ids] >= 0)
+        feature = np.r_[self.single[ids[one]], self.pair_of[at[hit]]]
+        cells = np.unique(np.r_[row[one], row[hit]] * len(self.value) + feature)
+        row, feature = cells // len(self.value), cells % len(self.value)
+        if len(cells):
+            v = self.value[feature]
+            norm = np.sqrt(np.bincount(row, v * v, minlength=len(pieces))) + 1e-9
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            out[row[first]] = np.add.reduceat((v / norm[row])[:, None] * self.weights[feature], first, axis=0)
         return out
 
-    def margins(self) -> dict[str, float]:
-        """Of two classes: how much each feature speaks for the second."""
-        return dict(zip(self.index, (self.value * (self.weights[:, 1] - self.weights[:, 0])).tolist()))
 
-    def pruned(self, most: int) -> Logistic:
-        """Only the ``most`` features that say most."""
-        says = self.value * np.abs(self.weights - self.weights.mean(axis=1, keepdims=True)).max(axis=1)
-        keep = np.argsort(-says, kind="stable")[: min(most, int((says > 0.02).sum()))]
-        names = list(self.index)
-        return Logistic({names[k]: i for i, k in enumerate(keep)}, self.value[keep], self.weights[keep], self.normed)
+def gap_features(ws: list[str], i: int) -> list[tuple[str, ...]]:
+    """What the words around a gap say about a sentence beginning at ``ws[i]``: a kind and up to three words."""
+    n = len(ws)
+    b2, b1 = ws[i - 2] if i > 1 else "", ws[i - 1] if i else ""
+    a0, a1, a2 = ws[i] if i < n else "", ws[i + 1] if i + 1 < n else "", ws[i + 2] if i + 2 < n else ""
+    return [("0", a0), ("1", a0, a1), ("2", a0, a1, a2), ("3", b1), ("4", b2, b1), ("5", b1, a0)]
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    p = np.exp(z - z.max(axis=-1, keepdims=True))
-    return p / p.sum(axis=-1, keepdims=True)
+class GapModel:
+    """Where a sentence begins in words without marks, for many texts at once."""
+
+    def __init__(self, fitted: Logistic):
+        keep = fitted.strongest(MAX_TERMS)
+        names = list(fitted.index)
+        margin = fitted.value * (fitted.weights[:, 1] - fitted.weights[:, 0])
+        # 0: no word there, 1: a word that no feature has
+        self.words = {"": 0} | {w: i + 2 for i, w in enumerate(dict.fromkeys(w for k in keep for w in names[k][1:] if w))}
+        self.base = len(self.words) + 2
+        self.keys = np.array([self._key(int(names[k][0]), *(self.words[w] for w in names[k][1:])) for k in keep], np.int64)
+        order = np.argsort(self.keys)
+        self.keys, self.margin = self.keys[order], margin[keep][order]
+
+    def _key(self, kind, a, b=0, c=0):
+        return ((kind * self.base + a) * self.base + b) * self.base + c
+
+    def margins(self, pieces: list[list[str]]) -> np.ndarray:
+        """For each word of each piece, one after the other: how much speaks for a sentence beginning there."""
+        get = self.words.get
+        pad = [0, 0]
+        ids = np.array([i for ws in pieces for i in (*pad, *(get(w, 1) for w in ws), *pad)], np.int64)
+        inner = np.concatenate([np.arange(len(ws)) + at for ws, at in zip(pieces, np.cumsum([2] + [len(ws) + 4 for ws in pieces[:-1]]))])
+        b2, b1, a0, a1, a2 = (ids[inner + k] for k in (-2, -1, 0, 1, 2))
+        total = np.zeros(len(inner))
+        for key in (self._key(0, a0), self._key(1, a0, a1), self._key(2, a0, a1, a2), self._key(3, b1), self._key(4, b2, b1), self._key(5, b1, a0)):
+            at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+            total += np.where(self.keys[at] == key, self.margin[at], 0.0) if len(self.keys) else 0.0
+        return total
+
+
+_STATE = "n int, unsure boolean, marked boolean, counts array<int>, firm array<int>, best array<float>"
 
 
 class SubjectModel:
     """The fitted models; ``label`` gives the subjects of one text."""
 
     subjects: list[str]
-    term_model: Logistic
-    gap_margin: dict[str, float] | None = None
+    term_model: TermModel
+    gaps: GapModel | None = None
+    fillers: frozenset[str] = frozenset()
     greetings: frozenset[str] = frozenset()
     source_rate: dict[str, np.ndarray]
     chain: list[np.ndarray]
     order: list[int]
 
-    def pieces(self, text: str) -> list[list[str]]:
-        """The sentences of a plain text, as words. A short first line before a blank one is a title, not a sentence."""
-        head, blank, rest = text.partition("\n\n")
-        if blank and rest.strip() and len(words(head)) <= 8 and not _MARKED.search(head):
-            text = rest
-        out = []
-        for part in _SENTENCE.split(text):
-            ws = words(part)
-            if not ws:
-                continue
-            if self.gap_margin is None or len(ws) < LONG_PIECE:
-                out.append(ws)
-                continue
-            at, margin = 0, self.gap_margin
-            for i in range(3, len(ws) - 2):
-                if i - at >= 4 and sum([margin.get(f, 0.0) for f in gap_features(ws, i)]) > 0:
-                    out.append(ws[at:i])
-                    at = i
-            out.append(ws[at:])
-        return out
-
-    def sentence_probabilities(self, pieces: list[list[str]]) -> np.ndarray:
-        return softmax(self.term_model.scores([() if " ".join(ws) in self.greetings else terms(ws) for ws in pieces]))
-
-    def summary(self, probabilities: np.ndarray) -> tuple[int, bool, np.ndarray, np.ndarray, np.ndarray]:
-        """Sentences, whether one says nothing, and for each subject: sentences that deal with it, mean and best probability."""
-        sure = probabilities.max(axis=1) >= SURE
-        counts = np.bincount(probabilities.argmax(axis=1)[sure], minlength=probabilities.shape[1])
-        return len(probabilities), not sure.all(), counts, probabilities.mean(axis=0), probabilities.max(axis=0)
+    def cut(self, documents: list[list[list[str]]]) -> list[list[list[str]]]:
+        """The sentences of documents without the words that speakers put in; long ones are cut where others begin."""
+        fillers = self.fillers
+        documents = [[kept for ws in pieces if (kept := [w for w in ws if w not in fillers] if fillers else ws)] for pieces in documents]
+        long = [ws for pieces in documents for ws in pieces if len(ws) >= LONG_PIECE] if self.gaps else []
+        if not long:
+            return documents
+        margins, at = self.gaps.margins(long), 0
+        parts = {}
+        for ws in long:
+            begun, out = 0, []
+            for i in np.flatnonzero(margins[at : at + len(ws)] > 0).tolist():
+                if 3 <= i < len(ws) - 2 and i - begun >= 4:
+                    out.append(ws[begun:i])
+                    begun = i
+            parts[id(ws)] = [*out, ws[begun:]]
+            at += len(ws)
+        return [[p for ws in pieces for p in parts.get(id(ws), (ws,))] for pieces in documents]
 
-    def rows(self, n: np.ndarray, unsure: np.ndarray, counts: np.ndarray, soft: np.ndarray, best: np.ndarray, marked: np.ndarray, sources: Iterable[str | None]) -> np.ndarray:
-        """The features of documents, given what ``summary`` tells of each: documents by subjects by features."""
-        hard = counts / np.asarray(n)[:, None]
+    def pieces(self, text: str) -> list[list[str]]:
+        """The sentences of a plain text, as words."""
+        return self.cut([sentences(text)])[0]
+
+    def probabilities(self, pieces: list[list[str]]) -> np.ndarray:
+        """A row of the subjects' probabilities for each sentence; greetings deal with none."""
+        z = self.term_model.scores(pieces)
+        if self.greetings:
+            z[[i for i, ws in enumerate(pieces) if " ".join(ws) in self.greetings]] = 0
+        return softmax(z)
+
+    def summary(self, documents: list[list[list[str]]]) -> tuple[np.ndarray, ...]:
+        """Of documents with sentences: their number, whether one says nothing, and for each subject: the sentences that
+        deal with it, at all and firmly, and its best probability."""
+        n = np.array([len(pieces) for pieces in documents])
+        p = self.probabilities([ws for pieces in documents for ws in pieces])
+        first, doc, k = np.r_[0, np.cumsum(n)[:-1]], np.repeat(np.arange(len(n)), n), p.shape[1]
+        top = p.max(axis=1)
+        of = doc * k + p.argmax(axis=1)
+        counts, firm = (np.bincount(of[top >= t], minlength=len(n) * k).reshape(len(n), k) for t in (SURE, FIRM))
+        return n, np.bincount(doc[top < SURE], minlength=len(n)) > 0, counts, firm, np.maximum.reduceat(p, first, axis=0)
+
+    def rows(self, n: np.ndarray, unsure: np.ndarray, counts: np.ndarray, firm: np.ndarray, best: np.ndarray, marked: np.ndarray, sources: Iterable[str | None]) -> np.ndarray:
+        """The features of documents, given what ``summary`` tells of each: documents by subjects by features.
+
+        The share of a subject's sentences acts by a slope that may change at ``KNOTS``, on its own for punctuated texts;
+        a subject without a firm sentence is weak.
+        """
+        n, marked = np.asarray(n, float), np.asarray(marked, float)
+        hard = counts / n[:, None]
         none = np.zeros(hard.shape[1])
         odds = np.array([self.source_rate.get(source or "", none) for source in sources]).reshape(hard.shape)
         wide = lambda v: np.repeat(np.asarray(v, float)[:, None], hard.shape[1], axis=1)
-        steps = [hard >= t for t in (0.01, 0.12, 0.15, 0.18, SHARE - 1e-9, 0.23, 0.26, 0.34)]
-        cols = [np.ones_like(hard), hard, soft, best, *steps, wide(unsure), wide(np.log1p(n) / 3), wide(marked), wide(np.asarray(n) <= 2), odds]
-        return np.stack(cols, axis=2)
-
-    def features(self, probabilities: np.ndarray, marked: bool, source: str | None) -> np.ndarray:
-        """One row for each subject."""
-        n, unsure, counts, soft, best = self.summary(probabilities)
-        return self.rows(np.array([n]), np.array([unsure]), counts[None], soft[None], best[None], np.array([marked]), [source])[0]
+        slopes = [hard * 5, *(np.clip(hard - t, 0, 0.1) * 50 for t in KNOTS)]
+        own = [s * m[:, None] for m in (marked, 1 - marked) for s in slopes]
+        weak = np.where((counts > 0) & (firm == 0), 1.0, 0.0)
+        return np.stack([np.ones_like(hard), *own, weak * best, weak, wide(unsure), wide(np.log1p(n) / 3), wide(marked), wide(1 / n), odds], axis=2)
+
+    def decode_many(self, x: np.ndarray) -> np.ndarray:
+        """The most probable label combinations of documents under the chain, by beam search: documents by subjects."""
+        docs, width, k = len(x), x.shape[2], len(self.order)
+        score, chosen = np.zeros((docs, 1)), np.zeros((docs, 1, k))
+        for step, j in enumerate(self.order):
+            z = (x[:, j] @ self.chain[j][:width])[:, None] + chosen @ self.chain[j][width:]
+            soft = np.log1p(np.exp(-np.abs(z)))
+            both = np.concatenate([score - soft - np.maximum(z, 0), score - soft - np.maximum(-z, 0)], axis=1)
+            yes = chosen.copy()
+            yes[:, :, step] = 1
+            every = np.concatenate([chosen, yes], axis=1)
+            top = np.argsort(-both, axis=1, kind="stable")[:, :BEAM]
+            score, chosen = np.take_along_axis(both, top, axis=1), np.take_along_axis(every, top[:, :, None], axis=1)
+        out = np.zeros((docs, k), bool)
+        out[:, self.order] = chosen[:, 0] > 0
+        return out
 
     def decode(self, x: np.ndarray) -> list[int]:
-        """The most probable label combination under the chain, by beam search."""
-        width = x.shape[1]
-        base = [float(x[j] @ self.chain[j][:width]) for j in self.order]
-        before = [self.chain[j][width:].tolist() for j in self.order]
-        beams: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]  # with the steps that were decided for
-        for step in range(len(self.order)):
-            after = []
-            for score, chosen in beams:
-                z = base[step] + sum([before[step][k] for k in chosen])
-                soft = math.log1p(math.exp(-abs(z)))
-                after.append((score - soft - max(-z, 0.0), (*chosen, step)))
-                after.append((score - soft - max(z, 0.0), chosen))
-            after.sort(reverse=True)
-            beams = after[:BEAM]
-        return [self.order[k] for k in beams[0][1]]
+        """``decode_many`` of one document."""
+        return np.flatnonzero(self.decode_many(x[None])[0]).tolist()
 
     def label(self, text: str | None, source: str | None) -> list[str]:
         """The subjects of a text; none for null, blank and wordless texts."""
         pieces = self.pieces(plain(text)) if text and self.subjects else []
         if not pieces:
             return []
-        x = self.features(self.sentence_probabilities(pieces), bool(_MARKED.search(text)), source)
-        return [self.subjects[j] for j in self.decode(x)]
-
+        x = self.rows(*self.summary([pieces]), np.array([bool(_MARKED.search(text))]), [source])
+        return [self.subjects[j] for j in self.decode(x[0])]
 
-def _languages(examples: list[tuple[str, str, int]]) -> dict[str, Counter]:
-    out: dict[str, Counter] = {}
-    for text, lang, _ in examples:
-        out.setdefault(lang or "", Counter()).update(words(text))
-    return out
 
+def prepared(documents: DataFrame) -> DataFrame:
+    """doc_id (as text), source, lang, marked, pieces: the sentences of every document with words, words parted by blanks.
 
-def _fit_gaps(marked: list[list[list[str]]]) -> Logistic:
-    flat = [[w for s in sentences for w in s] for sentences in marked]
-    labels: list[int] = []
-    for sentences, ws in zip(marked, flat):
-        starts = set(np.cumsum([len(s) for s in sentences])[:-1].tolist())
-        labels += [int(i in starts) for i in range(1, len(ws))]
-    return Logistic.fit((gap_features(ws, i) for ws in flat for i in range(1, len(ws))), labels, [1.0] * len(labels), 2, normed=False)
-
+    Texts are read, repaired and split here and only here.
+    """
 
-def _word_logs(speech: dict[str, Counter]) -> tuple[list[str], dict[str, list[float]], list[float]]:
-    """The languages, and for each word, and for unknown ones, how likely it is in each of them."""
-    size = {lang: sum(c.values()) + 1 for lang, c in speech.items()}
-    log = lambda w: [math.log((speech[lang][w] + 0.1) / size[lang]) for lang in speech]
-    return list(speech), {w: log(w) for w in set().union(*speech.values())}, log("")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for doc, text, source, lang in zip(part["doc_id"], part["text"], part["source"], part["lang"]):
+                text = plain(text) if text and text.strip() else ""
+                if pieces := sentences(text):
+                    rows.append((doc, source, lang, bool(_MARKED.search(text)), [" ".join(ws) for ws in pieces]))
+            yield pd.DataFrame(rows, columns=["doc_id", "source", "lang", "marked", "pieces"], dtype=object)
 
+    # ids go through Python as text: pandas would make floats of a column with nulls
+    lang = F.lower(F.trim("lang")) if "lang" in documents.columns else F.lit("")
+    cut = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.coalesce(lang, F.lit("")).alias("lang"))
+    return cut.mapInPandas(run, "doc_id string, source string, lang string, marked boolean, pieces array<string>")
 
-def corpus_counts(documents: DataFrame, speech: dict[str, Counter]) -> DataFrame:
-    """kind, lang, name, n over all documents: 'documents' with words, 'sentences' of each language, in how many of them
-    each 'term' is, and how many punctuated documents have each 'sentence'. Each block is counted before the shuffle."""
-    langs, logs, unknown = _word_logs(speech)
 
-    def block(c: Counter) -> pd.DataFrame:
-        return pd.DataFrame([(*k, n) for k, n in c.items()], columns=["kind", "lang", "name", "n"])
+def corpus_counts(texts: DataFrame) -> DataFrame:
+    """kind, lang, name, n over all ``prepared`` documents: 'documents', 'sentences' of each language, in how many of them
+    each 'term' is, how often each word is in texts 'with' and 'without' marks, and in how many with marks each 'sentence'
+    is. Each block is counted before the shuffle."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, c = SubjectModel(), Counter()
+        c: Counter = Counter()
+        block = lambda: pd.DataFrame([(*k, n) for k, n in c.items()], columns=["kind", "lang", "name", "n"])
         for part in parts:
-            for text in part["text"]:
-                text = plain(text) if text and text.strip() else ""
-                pieces = model.pieces(text)
-                if not pieces:
-                    continue
+            for lang, marked, pieces in zip(part["lang"], part["marked"], part["pieces"]):
                 c["documents", "", ""] += 1
-                if _MARKED.search(text):
-                    c.update(("sentence", "", s) for s in {" ".join(ws) for ws in pieces})
-                for ws in pieces if langs else []:
-                    each = [sum(x) for x in zip(*(logs.get(w, unknown) for w in ws))]
-                    lang = langs[each.index(max(each))]
-                    c["sentences", lang, ""] += 1
-                    c.update(("term", lang, t) for t in terms(ws))
+                c["sentences", lang, ""] += len(pieces)
+                if marked:
+                    c.update([("sentence", "", s) for s in set(pieces)])
+                side = "with" if marked else "without"
+                for s in pieces:
+                    ws = s.split(" ")
+                    c.update([("term", lang, t) for t in terms(ws)])
+                    c.update([(side, lang, w) for w in ws])
                 if len(c) > BLOCK:
-                    yield block(c)
-                    c = Counter()
-        yield block(c)
+                    yield block()
+                    c.clear()
+        yield block()
 
-    counted = documents.select("text").mapInPandas(run, "kind string, lang string, name string, n long")
+    counted = texts.select("lang", "marked", "pieces").mapInPandas(run, "kind string, lang string, name string, n long")
     return counted.groupBy("kind", "lang", "name").agg(F.sum("n").alias("n"))
 
 
-def corpus_statistics(documents: DataFrame, speech: dict[str, Counter]) -> tuple[int, frozenset[str], dict[str, float]]:
-    """Of all documents: how many have words, the greetings, and in which share of a language's sentences a term is.
+def corpus_statistics(texts: DataFrame) -> tuple[int, frozenset[str], frozenset[str], dict[str, float]]:
+    """Of all documents: how many there are, greetings, fillers, and in which share of a language's sentences a term is.
 
     Terms so rare that they have full value are left out, so at most some hundred times a sentence's terms are collected.
+    Sentences of texts without marks are not told apart yet; their language's rates come from the other texts.
     """
-    counts = checkpointed(corpus_counts(documents, speech))
+    counts = checkpointed(corpus_counts(texts))
     total = {(r.kind, r.lang): r.n for r in counts.where("kind in ('documents', 'sentences')").collect()}
     n = total.get(("documents", ""), 0)
     greetings = frozenset(r.name for r in counts.where((F.col("kind") == "sentence") & (F.col("n") >= max(GREETING_TIMES, GREETING_SHARE * n))).select("name").collect())
+    said = {(r.kind, r.lang): r.n for r in counts.where("kind in ('with', 'without')").groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
+    fillers = set()
+    for (kind, lang), size in said.items():
+        if kind == "without" and (other := said.get(("with", lang))):
+            spoken = counts.where((F.col("kind") == kind) & (F.col("lang") == lang) & (F.col("n") >= max(FILLER_TIMES, FILLER_SHARE * size)))
+            both = spoken.select("name", "n").join(counts.where((F.col("kind") == "with") & (F.col("lang") == lang)).select("name", F.col("n").alias("m")), "name", "left")
+            fillers.update(r.name for r in both.collect() if r.n > FILLER_TIMES * size / other * (r.m or 0))
     rate: dict[str, float] = {}
     for (kind, lang), size in total.items():
         if kind == "sentences":
             often = (F.col("kind") == "term") & (F.col("lang") == lang) & (F.col("n") >= FRAME_SHARE * math.exp(-3) * 0.99 * (size + 50))
             for r in counts.where(often).select("name", "n").collect():
                 rate[r.name] = max(rate.get(r.name, 0.0), r.n / (size + 50))
-    return n, greetings, rate
+    return n, greetings, frozenset(fillers), rate
 
 
-def taught_sentences(documents: DataFrame, model: SubjectModel) -> DataFrame:
-    """sentence, label, n: the sentences of all punctuated documents whose subject is beyond doubt."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+def taught_terms(texts: DataFrame, model: SubjectModel, known: frozenset[str]) -> DataFrame:
+    """term, label, n: in how many sentences of all punctuated documents, whose subject is beyond doubt, a term is that no
+    label shows. Each block is counted before the shuffle."""
+    shared = texts.sparkSession.sparkContext.broadcast((model, known))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, c = shared.value, Counter()
-        block = lambda c: pd.DataFrame([(*k, n) for k, n in c.items()], columns=["sentence", "label", "n"])
+        (model, known), c = shared.value, Counter()
+        block = lambda: pd.DataFrame([(*k, n) for k, n in c.items()], columns=["term", "label", "n"])
         for part in parts:
-            for text in part["text"]:
-                text = plain(text) if text and text.strip() else ""
-                pieces = model.pieces(text) if _MARKED.search(text) else []
-                if 2 <= len(pieces) <= 30:
-                    p = model.sentence_probabilities(pieces)
-                    q = p * (p.mean(axis=0) + 0.02)
-                    q /= q.sum(axis=1, keepdims=True)
-                    c.update((" ".join(ws), int(s.argmax())) for ws, s in zip(pieces, q) if s.max() > VERY_SURE)
-                if len(c) > BLOCK:
-                    yield block(c)
-                    c = Counter()
-        yield block(c)
-
-    taught = documents.select("text").mapInPandas(run, "sentence string, label int, n long")
-    return taught.groupBy("sentence", "label").agg(F.sum("n").alias("n"))
-
+            documents = model.cut([[s.split(" ") for s in pieces] for pieces in part["pieces"] if len(pieces) > 1])
+            documents = [d for d in documents if d]
+            if documents:
+                flat = [ws for pieces in documents for ws in pieces]
+                n = np.array([len(pieces) for pieces in documents])
+                p = model.probabilities(flat)
+                # a sentence is judged beside the others of its document
+                mean = np.add.reduceat(p, np.r_[0, np.cumsum(n)[:-1]], axis=0) / n[:, None]
+                q = p * (np.repeat(mean, n, axis=0) + 0.02)
+                q /= q.sum(axis=1, keepdims=True)
+                for i in np.flatnonzero(q.max(axis=1) > VERY_SURE).tolist():
+                    label = int(q[i].argmax())
+                    c.update([(t, label) for t in terms(flat[i]) if t not in known])
+            if len(c) > BLOCK:
+                yield block()
+                c.clear()
+        yield block()
 
-def _common_terms(taught: DataFrame, known: dict[str, int]) -> list[str]:
-    """The terms that no label shows and at least two taught sentences have; the ``MAX_TERMS`` commonest."""
-    shared = taught.sparkSession.sparkContext.broadcast(known.keys() | set())
+    return texts.where("marked").select("pieces").mapInPandas(run, "term string, label int, n long").groupBy("term", "label").agg(F.sum("n").alias("n"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, c = shared.value, Counter()
-        block = lambda c: pd.DataFrame(list(c.items()), columns=["term", "n"])
-        for part in parts:
-            for sentence, n in zip(part["sentence"], part["n"]):
-                for t in terms(sentence.split(" ")) - known:
-                    c[t] += int(n)
-            if len(c) > BLOCK:
-                yield block(c)
-                c = Counter()
-        yield block(c)
-
-    counts = taught.select("sentence", "n").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return [r.term for r in counts.where("n >= 2").orderBy(F.desc("n"), "term").limit(MAX_TERMS).collect()]
-
-
-def _gradient(w: np.ndarray, v: np.ndarray, c: np.ndarray, sizes: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The gradient of the weighted loss of normed rows; ``c`` has the features of the rows, ``sizes`` how many each has."""
-    out = np.zeros(w.shape)
-    held = sizes > 0
-    sizes, label, weight = sizes[held], label[held], weight[held]
-    ends = np.cumsum(sizes)
-    for a, b, lo, hi in _pieces(ends - sizes, len(c)) if len(c) else ():
-        cells, row = c[lo:hi], np.repeat(np.arange(b - a), sizes[a:b])
-        first = (ends - sizes)[a:b] - lo
-        x = v[cells]
-        x = x / (np.sqrt(np.add.reduceat(x * x, first)) + 1e-9)[row]
-        error = softmax(np.add.reduceat(x[:, None] * w[cells], first, axis=0))
-        error[np.arange(b - a), label[a:b]] -= 1
-        error *= weight[a:b, None]
-        for k in range(w.shape[1]):
-            out[:, k] += np.bincount(cells, x * error[row, k], minlength=len(w))
-    return out
-
-
-def fit_spread(rows: list[list[str]], labels: list[int], weight: list[float], taught: DataFrame, each: float, classes: int, value, names: list[str], epochs: int = 25, rate: float = 0.5, l2: float = 1e-5) -> Logistic:
-    """``Logistic.fit`` on labelled rows of the driver and all ``taught`` sentences, of which each occurrence weighs ``each``.
-
-    Equal sentences are one row of their number. Every epoch sums the gradient where the sentences are; what comes back
-    is at most ``PARTIAL`` sums of the terms that the sentences there have.
-    """
-    index = {t: i for i, t in enumerate(names)}
-    spark = taught.sparkSession
-    shared = spark.sparkContext.broadcast(index)
 
-    def numbered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
-        for part in parts:
-            part["ids"] = [sorted(index[t] for t in terms(s.split(" ")) if t in index) for s in part.pop("sentence")]
-            yield part[["ids", "label", "n"]]
-
-    coded = checkpointed(taught.mapInPandas(numbered, "ids array<int>, label int, n long").coalesce(PARTIAL))
-    own = [[index[t] for t in terms(ws) if t in index] for ws in rows]
-    c, sizes = np.array([i for ids in own for i in ids], np.int64), np.array([len(ids) for ids in own], np.int64)
-    total = len(rows) + each / 0.5 * (coded.agg(F.sum("n").alias("n")).first().n or 0)
-    v = np.array([value(t) for t in names], np.float32)
-    w = np.zeros((len(names), classes), np.float32)
-    seen = np.full(w.shape, 1e-8, np.float32)
-    y, wt = np.array(labels, np.int64), np.array(weight)
-    for _ in range(epochs if names else 0):
-        sent = spark.sparkContext.broadcast((w, v))
-
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w, v = sent.value  # noqa: B023
-            out = np.zeros(w.shape)
-            for part in parts:
-                ids = part.column("ids")
-                out += _gradient(w, v, ids.flatten().to_numpy(), ids.value_lengths().to_numpy(), part.column("label").to_numpy(), each * part.column("n").to_numpy())
-            at = np.flatnonzero(out.any(axis=1)).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"at": pa.array([at.tobytes()], pa.binary()), "g": pa.array([out[at].astype(np.float32).tobytes()], pa.binary())})
-
-        g = _gradient(w, v, c, sizes, y, wt)
-        sums = coded.mapInArrow(run, "at binary, g binary").toArrow()
-        for at, own in zip(sums["at"], sums["g"]):
-            g[np.frombuffer(at.as_buffer(), np.int32)] += np.frombuffer(own.as_buffer(), np.float32).reshape(-1, classes)
-        del sums
-        sent.destroy()
-        g = (g + l2 * total * w).astype(np.float32)
-        seen += g * g
-        w = w - rate * g / np.sqrt(seen)
-    return Logistic(index, v, w, True)
-
-
-_SCORES = "doc_id string, source string, n int, unsure boolean, marked boolean, counts array<int>, soft array<float>, best array<float>"
-
-
-def document_scores(documents: DataFrame, model: SubjectModel) -> DataFrame:
-    """What ``summary`` tells of every document with words; ids as text. The whole text is read here and only here."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+def document_scores(texts: DataFrame, model: SubjectModel) -> DataFrame:
+    """What ``summary`` tells of every ``prepared`` document; all sentences of a batch are scored at once."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for part in parts:
-            rows = []
-            for doc, text, source in zip(part["doc_id"], part["text"], part["source"]):
-                pieces = model.pieces(plain(text)) if text and model.subjects else []
-                if pieces:
-                    n, unsure, counts, soft, best = model.summary(model.sentence_probabilities(pieces))
-                    rows.append((doc, source, n, unsure, bool(_MARKED.search(text)), counts, soft, best))
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "n", "unsure", "marked", "counts", "soft", "best"], dtype=object)
-
-    # ids go through Python as text: pandas would make floats of a column with nulls
-    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "source").mapInPandas(run, _SCORES)
+            cut = model.cut([[s.split(" ") for s in pieces] for pieces in part["pieces"]]) if model.subjects else [[]] * len(part)
+            held = np.array([bool(pieces) for pieces in cut], bool)
+            own = part[held]
+            if len(own):
+                n, unsure, counts, firm, best = model.summary([pieces for pieces in cut if pieces])
+                yield pd.DataFrame({"doc_id": own["doc_id"], "source": own["source"], "n": n, "unsure": unsure, "marked": own["marked"].astype(bool), "counts": list(counts), "firm": list(firm), "best": list(best)})
 
+    return texts.select("doc_id", "source", "marked", "pieces").mapInPandas(run, f"doc_id string, source string, {_STATE}")
 
-def _dealt(n: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """1 for the subjects with which enough sentences deal."""
-    return (counts / np.asarray(n)[:, None] >= SHARE - 1e-9).astype(float)
 
-
-def _features_of(part: pd.DataFrame, model: SubjectModel) -> tuple[np.ndarray, np.ndarray]:
-    """Features, and subjects by share, of scored documents."""
-    n, counts = part["n"].to_numpy(), np.stack(part["counts"].tolist())
+def _features_of(part: pd.DataFrame, model: SubjectModel) -> np.ndarray:
+    """The features of scored documents."""
     sources = [s if isinstance(s, str) else None for s in part["source"]]
-    return model.rows(n, part["unsure"].to_numpy(), counts, np.stack(part["soft"].tolist()), np.stack(part["best"].tolist()), part["marked"].to_numpy(), sources), _dealt(n, counts)
+    return model.rows(part["n"].to_numpy(), part["unsure"].to_numpy(), np.stack(part["counts"].tolist()), np.stack(part["firm"].tolist()), np.stack(part["best"].tolist()), part["marked"].to_numpy(), sources)
 
 
 def source_counts(scored: DataFrame, subjects: int) -> tuple[Counter, dict[str, np.ndarray], np.ndarray]:
-    """Of all scored documents: how many each source has, how many of them deal with each subject, and with each two."""
+    """Of all scored documents: how many each source has, how many of them deal with each subject, and with each two.
+
+    The lists of sources and subjects are short; every batch is counted before the shuffle.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
         for part in parts:
             if len(part):
-                y = _dealt(part["n"].to_numpy(), np.stack(part["counts"].tolist()))
+                y = (np.stack(part["counts"].tolist()) / part["n"].to_numpy()[:, None] >= SHARE - 1e-9).astype(float)
                 source = part["source"].fillna("").to_numpy()
                 for s in np.unique(source):
                     own = y[source == s]
@@ -497,51 +483,6 @@ def source_counts(scored: DataFrame, subjects: int) -> tuple[Counter, dict[str,
     return seen, rates, together.reshape(subjects, subjects)
 
 
-def _step_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, order: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hessian and gradient sums of each classifier of the chain, padded with zeros."""
-    width, n = x.shape[2], y.shape[1]
-    h, g = np.zeros((n, width + n, width + n)), np.zeros((n, width + n))
-    for step, j in enumerate(order):
-        to = width + step
-        own = np.concatenate([x[:, j], y[:, order[:step]]], axis=1)
-        p = 1 / (1 + np.exp(-np.clip(own @ w[step, :to], -30, 30)))
-        h[step, :to, :to] = (own * (p * (1 - p))[:, None]).T @ own
-        g[step, :to] = own.T @ (p - y[:, j])
-    return h, g
-
-
-def _newton(x: np.ndarray, y: np.ndarray, scored: DataFrame | None, each: float, n: int, model: SubjectModel, l2: float = 1e-3, steps: int = 30) -> np.ndarray:
-    """Logistic regressions of the chain by Newton steps, which leaves calibrated probabilities.
-
-    Rows are the composed documents ``x``, ``y`` and all ``n`` scored ones, of which each weighs ``each``; only sums move.
-    """
-    width, k, order = x.shape[2], y.shape[1], model.order
-    w = np.zeros((k, width + k))
-    total = max(len(x) + each * n, 1)
-    for _ in range(steps):
-        h, g = _step_sums(x, y, w, order)
-        if scored is not None:
-            sent = scored.sparkSession.sparkContext.broadcast((model.source_rate, w, order))
-
-            def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                own = SubjectModel()
-                own.source_rate, w, order = sent.value  # noqa: B023
-                sums = np.zeros(k * (width + k) * (width + k + 1))
-                for part in parts:
-                    if len(part):
-                        sums += np.concatenate([m.ravel() for m in _step_sums(*_features_of(part, own), w, order)])
-                yield pd.DataFrame({"cell": np.arange(len(sums)), "v": sums})
-
-            found = scored.mapInPandas(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas().sort_values("cell")["v"].to_numpy()
-            sent.destroy()
-            h, g = h + each * found[: h.size].reshape(h.shape), g + each * found[h.size :].reshape(g.shape)
-        step = np.linalg.solve(h / total + l2 * np.eye(width + k), (g / total + l2 * w)[:, :, None])[:, :, 0]
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
-
-
 def fit(subjects: list[str], examples: list[tuple[str, str, int]], segments: list[tuple[str, list[str], int]], documents: DataFrame | None) -> SubjectModel:
     """The models from labelled examples (text, lang, subject), labelled segments (summary, keywords, subject) and
     all unlabelled documents (doc_id, text, source), if there are any."""
@@ -550,91 +491,157 @@ def fit(subjects: list[str], examples: list[tuple[str, str, int]], segments: lis
 
 def fit_scored(subjects: list[str], examples: list[tuple[str, str, int]], segments: list[tuple[str, list[str], int]], documents: DataFrame | None) -> tuple[SubjectModel, DataFrame | None]:
     """``fit``, with the ``document_scores`` of all documents that it needed, written once."""
-    rng = np.random.default_rng(SEED)
-    model = SubjectModel()
-    model.subjects, model.source_rate, model.order = subjects, {}, list(range(len(subjects)))
-    n = len(subjects)
+    model, n = SubjectModel(), len(subjects)
+    model.subjects, model.source_rate, model.order = subjects, {}, list(range(n))
     if not n:
         return model, None
-    corpus = documents if isinstance(documents, DataFrame) else None
+    texts = written(prepared(documents))[0] if isinstance(documents, DataFrame) else None
     size, rate = 0, {}
-    if corpus is not None:
-        size, model.greetings, rate = corpus_statistics(corpus, _languages(examples))
-    each = min(1.0, CORPUS_WEIGHT / max(size, 1))
+    if texts is not None:
+        size, model.greetings, model.fillers, rate = corpus_statistics(texts)
     # how much of a language's sentences a term is in: the frames of sentences are in many
     value = lambda t: min(3.0, max(0.0, math.log(FRAME_SHARE / max(rate.get(t, 1e-4), 1e-4)))) / 3
     rows, labels, weight = [], [], []
 
-    def add(text: str, label: int, w: float) -> None:
-        for ws in model.pieces(unicodedata.normalize("NFC", html.unescape(text))) if text else []:
-            rows.append(ws)
-            labels.append(label)
-            weight.append(w)
+    def add(text: str, label: int, w: float) -> int:
+        own = model.cut([sentences(plain(text))])[0] if text else []
+        rows.extend(own)
+        labels.extend([label] * len(own))
+        weight.extend([w] * len(own))
+        return len(own)
 
     for text, _, label in examples:
         add(text, label, 1.0)
-    for summary, keywords, label in segments:
+    for summary, _, label in segments:
         add(summary, label, 1.0)
+    whole = len(rows)
+    for _, keywords, label in segments:
         for k in dict.fromkeys(keywords or []):
             add(k, label, 0.5)
-    model.term_model = Logistic.fit(map(terms, rows), labels, weight, n, value)
-    if corpus is None:
-        model.term_model = model.term_model.pruned(MAX_TERMS)
-        _fit_chain(model, None, 0, each, [], rng)
-        return model, None
-    # once again with the sentences of documents whose subject is beyond doubt, to learn terms that no label shows
-    taught = checkpointed(taught_sentences(corpus, model))
-    known = model.term_model.index
-    model.term_model = fit_spread(rows, labels, weight, taught, 0.5 * each, n, value, [*known, *_common_terms(taught, known)]).pruned(MAX_TERMS)
-    drawn = [plain(r.text) for r in _hashed(corpus, ["doc_id"], MAX_DOCUMENTS).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").collect() if r.text and r.text.strip()]
-    marked = [p for t in drawn if _MARKED.search(t) and (p := model.pieces(t))]
-    punctuated = [p for p in marked if 2 <= len(p) <= 60][:MAX_MARKED]
-    if punctuated:
-        model.gap_margin = _fit_gaps(punctuated).pruned(MAX_TERMS).margins()
-    scored = checkpointed(document_scores(corpus, model))
-    _fit_chain(model, scored, size, each, marked, rng)
+    # a fifth of the labelled sentences is kept from the models that the chain learns on, so that it meets their errors
+    held = np.array([i < whole and i % 5 == 4 for i in range(len(rows))], bool)
+    features = [terms(ws) for ws in rows]
+
+    def term_model(kept: np.ndarray, extra: pd.DataFrame | None = None) -> TermModel:
+        at = np.flatnonzero(kept)
+        more = [] if extra is None else [(t,) for t in extra["term"]]
+        labelled = [labels[i] for i in at] + ([] if extra is None else extra["label"].tolist())
+        weights = [weight[i] for i in at] + ([] if extra is None else (each * extra["n"]).tolist())
+        fitted = Logistic.fit([features[i] for i in at] + more, labelled, weights, n, value)
+        return TermModel(fitted, n)
+
+    each, new, scored = TERM_WEIGHT * min(1.0, CORPUS_WEIGHT / max(size, 1)), None, None
+    model.term_model = term_model(~held)
+    if texts is not None:
+        # once again with terms that no label shows: each is a row for every subject it was taught for
+        taught = checkpointed(taught_terms(texts, model, frozenset(t for row in features for t in row)))
+        common = taught.groupBy("term").agg(F.sum("n").alias("all")).where("all >= 2").orderBy(F.desc("all"), "term").limit(MAX_TERMS)
+        new = taught.join(common, "term").orderBy("term", "label").select("term", "label", "n").toPandas()
+        model.term_model = term_model(~held, new)
+        drawn = [[s.split(" ") for s in r.pieces] for r in _hashed(texts.where("marked and size(pieces) between 2 and 60"), ["doc_id"], MAX_MARKED).orderBy("doc_id").select("pieces").collect()]
+        drawn = [d for d in model.cut(drawn) if len(d) > 1]
+        if drawn:
+            model.gaps = _fit_gaps(drawn)
+    learner, model.term_model = model.term_model, term_model(np.ones(len(rows), bool), new) if held.any() else model.term_model
+    if texts is not None:
+        scored = written(document_scores(texts, model))[0]
+    at = np.flatnonzero(held)
+    _fit_chain(model, learner, scored, [rows[i] for i in at], [labels[i] for i in at])
     return model, scored
 
 
-def _fit_chain(model: SubjectModel, scored: DataFrame | None, size: int, each: float, marked: list[list[list[str]]], rng: np.random.Generator) -> None:
-    """The chain, on documents composed of sentences of known subjects and on all ``size`` scored documents."""
-    n = len(model.subjects)
-    seen, rates, together = source_counts(scored, n) if scored is not None else (Counter(), {}, np.zeros((n, n)))
-    total = sum(seen.values())
-    overall = sum(rates.values()) / total if total else np.full(n, 1 / n)
-    model.source_rate = {s: np.log((r + 20 * overall + 0.1) / (seen[s] + 20.2) / (overall + 0.01)) for s, r in rates.items()}
-    model.order = [int(j) for j in np.argsort(-overall, kind="stable")]
-    together = together + 1
-    pool: list[list[list[str]]] = [[] for _ in range(n)]
-    unsure: list[list[str]] = []
-    for pieces in marked:
-        for ws, q in zip(pieces, model.sentence_probabilities(pieces)):
-            if q.max() > 0.9:
-                pool[int(q.argmax())].append(ws)
-            elif " ".join(ws) in model.greetings:
-                unsure.append(ws)
-    usable = [j for j in range(n) if pool[j]]
-    xs, ys = [], []
-    for _ in range(COMPOSED if len(usable) > 1 else 0):
-        count = int(rng.integers(1, 15))
-        main = int(rng.choice(usable))
-        pull = together[main][usable] + together[main][usable].mean()
+def _fit_gaps(marked: list[list[list[str]]]) -> GapModel:
+    """The boundary model, from sentences whose ends are known by their marks."""
+    flat = [[w for s in pieces for w in s] for pieces in marked]
+    labels: list[int] = []
+    for pieces, ws in zip(marked, flat):
+        starts = set(np.cumsum([len(s) for s in pieces])[:-1].tolist())
+        labels += [int(i in starts) for i in range(1, len(ws))]
+    return GapModel(Logistic.fit((gap_features(ws, i) for ws in flat for i in range(1, len(ws))), labels, [1.0] * len(labels), 2, normed=False))
+
+
+def composed_documents(model: SubjectModel, rows: list[list[str]], labels: list[int], seen: Counter, rates: dict[str, np.ndarray], together: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and true subjects of ``n`` documents made of labelled sentences.
+
+    Sources, their subjects and which subjects go together are drawn as often as the corpus has them; some documents lose
+    their marks and are cut by the boundary model.
+    """
+    rng, k = np.random.default_rng(SEED), len(model.subjects)
+    pool: list[list[list[str]]] = [[] for _ in range(k)]
+    for ws, label in zip(rows, labels):
+        pool[label].append(ws)
+    usable = np.array([j for j in range(k) if pool[j]])
+    greetings = [g.split(" ") for g in sorted(model.greetings)]
+    sources = sorted(seen) or [""]
+    share = np.array([max(seen[s], 1) for s in sources], float)
+    documents, marked, names, truth = [], [], [], []
+    for _ in range(n if len(usable) > 1 else 0):
+        source = sources[int(rng.choice(len(sources), p=share / share.sum()))]
+        often = rates.get(source, np.zeros(k))[usable] + together.diagonal()[usable] / max(together.trace(), 1) * 5 + 0.1
+        main = int(rng.choice(usable, p=often / often.sum()))
+        pull = together[main][usable] + together[main][usable].mean() + 0.1
         second = int(rng.choice(usable, p=pull / pull.sum()))
+        count = int(rng.integers(1, 18))
         kinds = rng.random(count)
-        picked = [main if k < 0.62 else second if k < 0.86 else int(rng.choice(usable)) if k < 0.94 or not unsure else -1 for k in kinds]
-        sentences = [unsure[int(rng.integers(len(unsure)))] if j < 0 else pool[j][int(rng.integers(len(pool[j])))] for j in picked]
-        y = (np.bincount([j for j in picked if j >= 0], minlength=n) / count >= SHARE - 1e-9).astype(float)
-        dots = bool(rng.random() < 0.6)
-        pieces = sentences if dots else model.pieces(" ".join(w for s in sentences for w in s))
-        xs.append(model.features(model.sentence_probabilities(pieces), dots, None))
-        ys.append(y)
-    if not xs:
-        xs, ys = [np.zeros_like(model.features(np.full((1, n), 1 / n), True, None))], [np.zeros(n)]
-    w = _newton(np.array(xs), np.array(ys), scored if total else None, each, total, model)
-    width = w.shape[1] - n
-    model.chain = [np.zeros(width + n)] * n
+        lead = rng.uniform(0.5, 0.95)
+        picked = [main if x < lead else second if x < lead + (1 - lead) * 0.8 else -1 if greetings and x > 0.98 else int(rng.choice(usable)) for x in kinds]
+        text = [greetings[int(rng.integers(len(greetings)))] if j < 0 else pool[j][int(rng.integers(len(pool[j])))] for j in picked]
+        truth.append(np.bincount([j for j in picked if j >= 0], minlength=k) / count >= SHARE - 1e-9)
+        marked.append(bool(rng.random() < 0.6))
+        documents.append(text if marked[-1] else [[w for ws in text for w in ws]])
+        names.append(source)
+    if not documents:
+        return np.zeros((0, k, 1)), np.zeros((0, k))
+    x = model.rows(*model.summary(model.cut(documents)), np.array(marked), names)
+    return x, np.array(truth, float)
+
+
+def _newton(x: np.ndarray, y: np.ndarray, start: np.ndarray, offset: np.ndarray, l2: float, steps: int = 40) -> np.ndarray:
+    """Logistic regression of ``y`` on ``x`` by Newton steps; ``offset`` is added to the score."""
+    w = start.copy()
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w + offset, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x / len(x) + l2 * np.eye(x.shape[1])
+        step = np.linalg.solve(h, x.T @ (p - y) / len(x) + l2 * (w - start))
+        w -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def fit_chain(model: SubjectModel, x: np.ndarray, y: np.ndarray, l2: float = 1e-4) -> list[np.ndarray]:
+    """The classifiers of the chain, each with the decisions before it, fitted on four fifths of the documents; on the
+    last fifth their scores are scaled and shifted, so that they are calibrated."""
+    k = len(model.subjects)
+    chain = [np.zeros(x.shape[2] + k)] * k
+    held = np.arange(len(x)) % 5 == 4
     for step, j in enumerate(model.order):
-        model.chain[j] = np.r_[w[step, : width + step], np.zeros(n - step)]
+        own = np.concatenate([x[:, j], y[:, model.order[:step]]], axis=1)
+        w = _newton(own[~held], y[~held, j], np.zeros(own.shape[1]), 0.0, l2)
+        score = own[held] @ w
+        shift, scale = _newton(np.stack([np.ones(held.sum()), score], axis=1), y[held, j], np.array([0.0, 1.0]), 0.0, 1e-3)
+        w = w * max(scale, 0.1)
+        w[0] += shift
+        chain[j] = np.r_[w, np.zeros(k - step)]
+    return chain
+
+
+def _fit_chain(model: SubjectModel, learner: TermModel, scored: DataFrame | None, rows: list[list[str]], labels: list[int]) -> None:
+    """Source rates and co-occurrence over all ``scored`` documents, and the chain on composed ones, as ``learner`` sees them."""
+    k = len(model.subjects)
+    seen, rates, together = source_counts(scored, k) if scored is not None else (Counter(), {}, np.zeros((k, k)))
+    total = sum(seen.values())
+    overall = sum(rates.values()) / total if total else np.full(k, 1 / k)
+    model.source_rate = {s: np.log((r + 20 * overall + 0.1) / (seen[s] + 20.2) / (overall + 0.01)) for s, r in rates.items()}
+    model.order = [int(j) for j in np.argsort(-overall, kind="stable")]
+    final, model.term_model = model.term_model, learner
+    x, y = composed_documents(model, rows, labels, seen, rates, together + 1, COMPOSED)
+    model.term_model = final
+    if len(x):
+        model.chain = fit_chain(model, x, y)
+    else:
+        width = model.rows(np.ones(1), np.zeros(1), *(np.zeros((1, k)) for _ in range(3)), np.zeros(1), [None]).shape[2]
+        model.chain = [np.zeros(width + k)] * k
 
 
 def subject_key(name: str) -> str:
@@ -643,10 +650,9 @@ def subject_key(name: str) -> str:
 
 
 def _hashed(df: DataFrame, key: list[str], most: int) -> DataFrame:
-    """About ``most`` rows at the most, drawn by the hash of ``key``."""
-    n = df.count()
-    share = min(1.0, most / max(n, 1))
-    return (df if share >= 1 else df.where(F.pmod(F.xxhash64(*key), F.lit(1_000_000)) < int(share * 1_000_000))).limit(most + most // 10)
+    """About ``most`` rows at the most, drawn by the hash of ``key``; the same rows however they are partitioned."""
+    share = min(1.0, most / max(df.count(), 1))
+    return df if share >= 1 else df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 53)) < int(share * (1 << 53)))
 
 
 def fit_tables(domains: DataFrame, examples: DataFrame, segments: DataFrame, documents: DataFrame) -> SubjectModel:
@@ -670,10 +676,11 @@ def scored_subjects(scored: DataFrame, model: SubjectModel, id_type: str) -> Dat
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
+        names = np.array(model.subjects, object)
         for part in parts:
-            x = _features_of(part, model)[0] if len(part) else []
-            rows = [(doc, model.subjects[j]) for doc, own in zip(part["doc_id"], x) for j in model.decode(own)]
-            yield pd.DataFrame({"doc_id": [r[0] for r in rows], "domain_id": [r[1] for r in rows]}, dtype="object")
+            if len(part):
+                doc, subject = np.nonzero(model.decode_many(_features_of(part, model)))
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(object)[doc], "domain_id": names[subject]}, dtype="object")
 
     labelled = scored.mapInPandas(run, "doc_id string, domain_id string")
     return labelled.select(F.col("doc_id").cast(id_type).alias("doc_id"), "domain_id").distinct()
@@ -686,7 +693,7 @@ def document_subjects(documents: DataFrame, model: SubjectModel, scored: DataFra
     Documents with the same text and source have the same subjects; a repeated doc_id is labelled row by row and its
     rows are kept once. ``scored`` are the documents' scores if the fit has them already.
     """
-    return scored_subjects(document_scores(documents, model) if scored is None else scored, model, dict(documents.dtypes)["doc_id"])
+    return scored_subjects(document_scores(prepared(documents), model) if scored is None else scored, model, dict(documents.dtypes)["doc_id"])
 
 
 def subject_composition(labels: DataFrame, documents: DataFrame) -> DataFrame:

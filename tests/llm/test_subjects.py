@@ -83,29 +83,55 @@ def test_no_live_subjects(spark):
 
 
 def test_corpus_is_counted_whole(spark, data, monkeypatch):
-    """However few documents are drawn, greetings, source rates and taught sentences come from all of them."""
-    monkeypatch.setattr(S, "MAX_DOCUMENTS", 10)
+    """However few documents are drawn, greetings, source rates and fillers come from all of them."""
+    monkeypatch.setattr(S, "MAX_MARKED", 10)
     t = lambda n: spark.read.parquet(f"{data}/{n}.parquet")
     greeting = "welcome back to this channel dear friends."
     more = spark.createDataFrame([(10**6 + i, f"{greeting} number {i} is a text.", f"source{i}") for i in range(8)], "doc_id long, text string, source string")
+    more = more.union(spark.createDataFrame([(10**7 + i, f"zzfiller and then number {i} zzfiller goes on without marks", "s") for i in range(60)], more.schema))
     documents = t("documents").select("doc_id", "text", "source").union(more)
     model = S.fit_tables(t("domains"), t("subject_examples"), t("domain_segments"), documents)
     texts = [(S.plain(r.text), r.source) for r in documents.collect() if r.text and r.text.strip()]
-    pieces = [(S.SubjectModel().pieces(x), x, s) for x, s in texts]
-    kept = [(p, x, s) for p, x, s in pieces if p]
+    kept = [(p, x, s) for x, s in texts if (p := S.sentences(x))]
     assert set(model.source_rate) == {s or "" for _, _, s in kept}
     times = {}
     for p, x, _ in kept:
         for ws in {" ".join(ws) for ws in p} if S._MARKED.search(x) else ():
             times[ws] = times.get(ws, 0) + 1
     assert model.greetings == {w for w, k in times.items() if k >= max(S.GREETING_TIMES, S.GREETING_SHARE * len(kept))} and greeting[:-1] in model.greetings
+    assert "zzfiller" in model.fillers and "number" not in model.fillers
 
 
-def test_spread_fit_equals_the_fit_on_one_machine(spark):
-    rng = np.random.default_rng(1)
-    rows = [[f"w{k}" for k in rng.integers(0, 30, 5)] for _ in range(60)]
-    labels = [int(k) for k in rng.integers(0, 3, 60)]
-    taught = spark.createDataFrame([(" ".join(ws), k, 2) for ws, k in zip(rows[40:], labels[40:])], "sentence string, label int, n long").repartition(3)
-    alone = S.Logistic.fit(map(S.terms, [*rows, *rows[40:]]), labels + labels[40:], [1.0] * 40 + [0.5] * 40, 3)
-    spread = S.fit_spread(rows[:40], labels[:40], [1.0] * 40, taught, 0.5, 3, lambda t: 1.0, list(alone.index))
-    assert spread.weights == pytest.approx(alone.weights, abs=2e-3)
+def test_scores_equal_the_plain_sums():
+    rows = [["a", "b", "c"], ["b", "c", "a"], ["d", "a"], ["c", "c"]]
+    fitted = S.Logistic.fit(map(S.terms, rows), [0, 1, 2, 1], [1.0] * 4, 3, lambda t: 1.0 if " " in t else 0.5)
+    asked = [["a", "b", "x", "c", "a"], [], ["x"], ["c", "c", "c"], ["b"], ["c"]]
+    want = []
+    for ws in asked:
+        ids = [fitted.index[t] for t in S.terms(ws) if t in fitted.index]
+        v = fitted.value[ids]
+        want.append((v[:, None] * fitted.weights[ids]).sum(axis=0) / np.sqrt((v * v).sum()) if ids else np.zeros(3))
+    assert S.TermModel(fitted, 3).scores(asked) == pytest.approx(np.array(want), abs=1e-5)
+
+
+def test_gaps_are_found_for_many_texts_at_once():
+    rng = np.random.default_rng(0)
+    sentence = lambda: ["then", *[f"w{i}" for i in rng.integers(0, 40, 8)], "end"]
+    model = S.SubjectModel()
+    model.gaps = S._fit_gaps([[sentence() for _ in range(4)] for _ in range(80)])
+    texts = [[sentence() for _ in range(3)] for _ in range(20)]
+    got = model.cut([[[w for s in text for w in s]] for text in texts])
+    assert np.mean([g == t for g, t in zip(got, texts)]) > 0.9
+
+
+def test_the_chain_uses_the_decisions_before():
+    """Two subjects that are never together: the weaker one is dropped where the first is taken."""
+    rng = np.random.default_rng(2)
+    model = S.SubjectModel()
+    model.subjects, model.order = ["a", "b"], [0, 1]
+    first = rng.random(3000) < 0.5
+    x = np.ones((3000, 2, 2))
+    x[:, 0, 1], x[:, 1, 1] = np.where(first, 3, -3), rng.standard_normal(3000) + 1
+    y = np.stack([first, ~first], axis=1).astype(float)
+    model.chain = S.fit_chain(model, x, y)
+    assert (model.decode_many(x) == y).mean() > 0.99
