@@ -32,8 +32,9 @@ from framewright.llm.mojibake import repaired_text
 from framewright.session import checkpointed, written
 
 MAX_EXAMPLES, MAX_SEGMENTS, MAX_MARKED, MAX_TERMS = 5_000, 6_000, 2_500, 200_000
-#: All taught terms together weigh as if they came from so many documents, so that the labels still count.
-CORPUS_WEIGHT, TERM_WEIGHT = 6_000, 0.05
+#: All taught terms together weigh as if they came from so many documents, so that the labels still count; each
+#: occurrence weighs so much of a labelled sentence; and so many times is taught.
+CORPUS_WEIGHT, TERM_WEIGHT, LESSONS = 6_000, 0.2, 1
 #: A term that more than this share of a language's sentences has says nothing.
 FRAME_SHARE = 0.12
 #: A sentence below the first probability of its best subject deals with none; from the second on it does so firmly, and
@@ -124,6 +125,7 @@ class Logistic:
         y = np.zeros((n, classes), np.float32)
         y[np.arange(n), labels] = 1
         wt = np.array(weight, np.float32)[:, None]
+        shrink = l2 * float(wt.sum())  # many light rows pull no more than their weight
         seen = np.full_like(w, 1e-8)
         z, g = np.zeros((n, classes), np.float32), np.zeros_like(w)
         for _ in range(epochs):
@@ -132,7 +134,7 @@ class Logistic:
             error = (softmax(z) - y) * wt
             for a, b, lo, hi in by_column:
                 g[a:b] = np.add.reduceat(xo[lo:hi] * error[ro[lo:hi]], col[a:b] - lo, axis=0)
-            g += l2 * n * w
+            g += shrink * w
             seen += g * g
             w -= rate * g / np.sqrt(seen)
         return cls(index, v, w)
@@ -533,11 +535,14 @@ def fit_scored(subjects: list[str], examples: list[tuple[str, str, int]], segmen
     each, new, scored = TERM_WEIGHT * min(1.0, CORPUS_WEIGHT / max(size, 1)), None, None
     model.term_model = term_model(~held)
     if texts is not None:
-        # once again with terms that no label shows: each is a row for every subject it was taught for
-        taught = checkpointed(taught_terms(texts, model, frozenset(t for row in features for t in row)))
-        common = taught.groupBy("term").agg(F.sum("n").alias("all")).where("all >= 2").orderBy(F.desc("all"), "term").limit(MAX_TERMS)
-        new = taught.join(common, "term").orderBy("term", "label").select("term", "label", "n").toPandas()
-        model.term_model = term_model(~held, new)
+        # again with terms that no label shows, each a row for every subject it was taught for; what it teaches the model
+        # lets it judge more sentences, above all in languages with few labels
+        known = frozenset(t for row in features for t in row)
+        for _ in range(LESSONS):
+            taught = checkpointed(taught_terms(texts, model, known))
+            common = taught.groupBy("term").agg(F.sum("n").alias("all")).where("all >= 2").orderBy(F.desc("all"), "term").limit(MAX_TERMS)
+            new = taught.join(common, "term").orderBy("term", "label").select("term", "label", "n").toPandas()
+            model.term_model = term_model(~held, new)
         drawn = [[s.split(" ") for s in r.pieces] for r in _hashed(texts.where("marked and size(pieces) between 2 and 60"), ["doc_id"], MAX_MARKED).orderBy("doc_id").select("pieces").collect()]
         drawn = [d for d in model.cut(drawn) if len(d) > 1]
         if drawn:
