@@ -7,6 +7,7 @@ garbled; its tokens are put back word by word, and the rest of its suspicious to
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,8 +31,12 @@ TCVN3 = (
 )
 _QUOTES = "“”‘’«»…–—•"
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A closing guillemet that no blank parts from a word is a byte read wrongly.
+_TAIL = re.compile(r"\w»")
 _SPLIT = r"[ \t\n\r\x0B\f]+"
 SALTS = 16
+#: Verified tokens around a token that tell the chain of its passage.
+NEARBY = 5
 
 
 @lru_cache(maxsize=1)
@@ -50,7 +55,7 @@ def is_clean(token: str) -> bool:
     token = unicodedata.normalize("NFC", token)
     if not set(token) <= _alphabet():
         return False
-    if set(token.strip(_STRIP + _QUOTES)) & set(_QUOTES) - {"’"}:
+    if set(token.strip(_STRIP + _QUOTES)) & set(_QUOTES) - {"’"} or _TAIL.search(token):
         return False
     for part in token.replace("’", "-").replace("'", "-").split("-"):
         core = part.strip(_STRIP + _QUOTES)
@@ -200,7 +205,9 @@ def garbled_tokens(documents: DataFrame) -> DataFrame:
     # ids go through Python as text: pandas would make floats of a column with nulls
     scanned = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_scan, "doc_id string, token string, n long")
     seen = checkpointed(scanned.withColumn("doc_id", F.col("doc_id").cast(dict(documents.dtypes)["doc_id"])))
-    words = seen.where("n > 0").groupBy("token").agg(F.sum("n").alias("n"))
+    # each word makes some dozens of forms, so the words are spread over all tasks whatever their bytes
+    spread = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), documents.sparkSession.sparkContext.defaultParallelism)
+    words = seen.where("n > 0").groupBy("token").agg(F.sum("n").alias("n")).repartition(spread, "token")
     odd = seen.where("n = 0").select("doc_id", "token")
     distinct = odd.select("token").distinct()
     forms = words.mapInPandas(_forms, "token string, word string, n long, chain string")
@@ -239,56 +246,79 @@ def _encodable(token: str, codec: str) -> bool:
     return True
 
 
-def _restore(text: str | None, tokens: list, chain: str | None) -> str | None:
-    """``text`` with its garbled tokens put back.
+def _put_back(core: str, sure: object, own: str | None) -> str | None:
+    """The text of a garbled token: by its passage's chain if that is another than the verified one, else the verified word.
 
-    A token that looks clean is garbled too if the chain can have made it and the nearest such token before or after
-    it, ASCII aside, is garbled: the wrong reading of one legacy encoding may look like French.
+    The word is verified whatever its case is; undoing keeps the case where it gives that word.
     """
-    if text is None or chain is None:
+    undone = undo(core, own) if own else None
+    if sure is None or (undone and sure["chain"] != own):
+        return undone
+    exact = undo(core, sure["chain"])
+    return exact if exact and exact.lower() == unicodedata.normalize("NFC", sure["word"]).lower() else sure["word"]
+
+
+def _restore(text: str | None, tokens: list, chain: str | None = None) -> str | None:
+    """``text`` with its garbled tokens put back: verified ones by their words, others by the chain of their passage.
+
+    ``tokens`` are the verified ones (token, word, chain). The chain of a passage is the commonest of the ``NEARBY`` nearest
+    verified tokens (ties: the nearest one's), so passages that were garbled in different ways do not mix; without any it
+    is ``chain``. A verified token whose own chain is another than its passage's is undone by the passage's if that loses
+    nothing: its word may come from another garbled text.
+    A token that looks clean is garbled too if its chain can have made it and the nearest such token before or after it,
+    ASCII aside, is garbled: the wrong reading of one legacy encoding may look like French.
+    """
+    if text is None or (chain is None and not tokens):
         return text
-    word = {t["token"]: t["word"] for t in tokens}
-    read = chain.split(">")[-1]
-    lines = []
-    for line in text.split("\n"):
-        cells = line.split(" ")
-        cores = [(i, c.strip(_STRIP)) for i, c in enumerate(cells) if not c.isascii()]
-        bad = [not is_clean(c) for _, c in cores]
-        if chain.startswith("utf-8"):  # clean bytes are hardly ever valid UTF-8, so what can be undone is garbled
-            bad = [b or undo(c, chain) not in (None, c) for b, (_, c) in zip(bad, cores)]
-        else:
-            for order in (range(1, len(cores)), range(len(cores) - 2, -1, -1)):
-                for k in order:
-                    near = k - 1 if order.step > 0 else k + 1
-                    bad[k] = bad[k] or (bad[near] and _encodable(cores[k][1], read))
-        for (i, core), garbled in zip(cores, bad):
-            if garbled and core:
-                put = undo(core, chain) or word.get(core)
-                cells[i] = cells[i].replace(core, put) if put else cells[i]
-        lines.append(" ".join(cells))
-    return "\n".join(lines)
+    known = {t["token"]: t for t in tokens}
+    lines = [line.split(" ") for line in text.split("\n")]
+    at = [(n, i) for n, cells in enumerate(lines) for i, c in enumerate(cells) if not c.isascii()]
+    cores = [lines[n][i].strip(_STRIP) for n, i in at]
+    sure = [k for k, c in enumerate(cores) if c in known]
+    chains, j = [], 0
+    for k in range(len(cores)):
+        while j + 1 < len(sure) and abs(sure[j + 1] - k) < abs(sure[j] - k):
+            j += 1
+        near = sorted(sure[max(j - NEARBY, 0) : j + NEARBY + 1], key=lambda at: abs(at - k))[:NEARBY]
+        votes = [known[cores[at]]["chain"] for at in near]
+        chains.append(max(votes, key=votes.count) if votes else chain)
+    bad = [c in known or not is_clean(c) for c in cores]
+    # clean bytes are hardly ever valid UTF-8, so what can be undone is garbled
+    bad = [b or (h is not None and h.startswith("utf-8") and undo(c, h) not in (None, c)) for b, c, h in zip(bad, cores, chains)]
+    for order in (range(1, len(cores)), range(len(cores) - 2, -1, -1)):
+        for k in order:
+            if not bad[k] and chains[k] is not None and not chains[k].startswith("utf-8"):
+                near = k - 1 if order.step > 0 else k + 1
+                bad[k] = bad[near] and at[near][0] == at[k][0] and _encodable(cores[k], chains[k].split(">")[-1])
+    for (n, i), core, garbled, own in zip(at, cores, bad, chains):
+        if garbled and core:
+            put = _put_back(core, known.get(core), own)
+            lines[n][i] = lines[n][i].replace(core, put) if put else lines[n][i]
+    return "\n".join(" ".join(cells) for cells in lines)
 
 
 def restored_documents(documents: DataFrame) -> DataFrame:
     """doc_id, chain, text, restored, left_over for every garbled document.
 
-    ``chain`` is the one that most of its garbled tokens have. Tokens are undone by it where that loses nothing, else
-    replaced by their verified words; ``left_over`` says whether suspicious tokens remain (lost bytes, foreign words).
-    Documents with a repeated doc_id are restored text by text.
+    ``chain`` is the one that most of its garbled tokens have; every passage is undone by its own. Verified tokens become
+    their words, the others around them are undone where that loses nothing; ``left_over`` says whether suspicious tokens
+    remain (lost bytes, foreign words). Documents with a repeated doc_id are restored text by text; rows with a null
+    doc_id are found but have no text to join, and are left out.
     """
     found = garbled_tokens(documents)
-    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("token", "word")).alias("tokens"), F.mode("chain", True).alias("chain"))
+    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("token", "word", "chain")).alias("tokens"), F.mode("chain", True).alias("chain"))
 
     @F.pandas_udf("string")
-    def put_back(text: pd.Series, tokens: pd.Series, chain: pd.Series) -> pd.Series:
-        return pd.Series([_restore(t, k, c) for t, k, c in zip(text, tokens, chain)], dtype=object)
+    def put_back(text: pd.Series, tokens: pd.Series) -> pd.Series:
+        return pd.Series([_restore(t, list(k)) for t, k in zip(text, tokens)], dtype=object)
 
     @F.pandas_udf("boolean")
     def odd_left(text: pd.Series) -> pd.Series:
         return pd.Series([any(not is_clean(t) for t in _tokens(x or "")) for x in text])
 
+    # garbled texts are few; AQE sends the short side's ids where that is cheaper than moving texts
     joined = documents.select("doc_id", "text").join(per_doc, "doc_id")
-    fixed = joined.withColumn("restored", put_back("text", "tokens", "chain"))
+    fixed = joined.withColumn("restored", put_back("text", "tokens"))
     return fixed.select("doc_id", "chain", "text", "restored", odd_left("restored").alias("left_over"))
 
 

@@ -1,6 +1,6 @@
 import pytest
 
-from framewright.llm.mojibake import _legacy_bytes, garbled_documents, garbled_forms, is_clean, repaired_text, restored_documents, undo
+from framewright.llm.mojibake import _legacy_bytes, _restore, garbled_documents, garbled_forms, is_clean, repaired_text, restored_documents, undo
 
 CLEAN = "Kế hoạch về lễ hội đua ghe sẽ hoàn thành sau 18 tuần nữa – nhất là ở Rạch Cò. “Thủ môn là chuyện lâu dài”, đại diện nói. D’après la mairie, l’été a été très bref…"
 READ = ["cp1252", "latin-1", "mac_roman", "cp437", "cp1251", "cp1250", "gbk", "iso8859-15", "cp850"]
@@ -56,3 +56,18 @@ def test_clean_words():
 
 def test_repair_without_a_lexicon():
     assert repaired_text(broken(CLEAN, "cp1252")) == CLEAN and repaired_text("Ærø Ålesby") == "Ærø Ålesby" and repaired_text("") == ""
+
+
+def test_each_passage_is_undone_by_its_own_chain(spark):
+    words = "Kế hoạch về lễ hội đua ghe sẽ hoàn thành sau đó".split()
+    one, two = broken("lễ hội đua ghe", "cp1252"), broken("sẽ hoàn thành", "mac_roman")
+    text = " ".join([*words[:3], one, "rồi", two, "sau đó"])
+    got, df = found(spark, [CLEAN, " ".join(words), text])
+    assert got == {2}
+    row = restored_documents(df).collect()[0]
+    assert row.restored == "Kế hoạch về lễ hội đua ghe rồi sẽ hoàn thành sau đó" and not row.left_over
+
+
+def test_verified_words_go_before_a_chain():
+    tokens = [{"token": "xÃ³", "word": "xó", "chain": "utf-8>cp1252"}, {"token": "zÃ", "word": "zà", "chain": "utf-8>cp1252"}]
+    assert _restore("xÃ³ zÃ cÃ³", tokens) == "xó zà có" and _restore("plain", []) == "plain" and _restore(None, tokens) is None
