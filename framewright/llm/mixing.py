@@ -26,14 +26,19 @@ def shuffled_prefix(documents: DataFrame, seed: int = SEED) -> DataFrame:
     return spread_prefix_sum(checkpointed(once), ["source"], F.shiftright("key", 64 - BUCKET_BITS), ["key", "doc_id"], "tokens", "upto")
 
 
-def budgets(targets: DataFrame, stock: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """What each source of each mix gives: mix_name, source, target_share, max_repeats, available, budget.
+def budgets(targets: DataFrame, stock: DataFrame, total_tokens: int | str | None = None) -> DataFrame:
+    """What each source of each mix gives: mix_name, source, target_share, max_repeats, available, budget, limit_kind.
 
     ``stock`` has source and available (its tokens). A mix's weights are relative; null, zero, negative and NaN weights
     ask for nothing, a null max_repeats is 1, and a (mix_name, source) that comes twice has its weights added and its
     smallest max_repeats. A source without documents keeps its target_share in the report, and its part is spread over
-    the others by weight. The mix is to have ``total_tokens``, or else as many tokens as the sources it draws from have;
-    a source that cannot fill its share of them at max_repeats gives what it can, and the report shows it.
+    the others by weight.
+
+    The mix has the largest total at which every source that can take part has its share: the least of
+    max_repeats * available / share. ``total_tokens`` may instead be a number, or "stock": as many tokens as the sources
+    have. A source that cannot fill its share of such a total gives what it can. ``limit_kind`` says so: 'short' (gives
+    less than its share), 'sets the size' (it would be the first to run short), 'absent' (it has no documents, or asks
+    for nothing), or null.
     """
     clean = F.when(F.col("weight").isNull() | F.isnan("weight") | (F.col("weight") < 0), 0.0).otherwise(F.col("weight"))
     wanted = targets.where("mix_name is not null and source is not null").groupBy("mix_name", "source").agg(F.sum(clean).alias("weight"), F.min(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).cast("long").alias("max_repeats"))
@@ -43,9 +48,17 @@ def budgets(targets: DataFrame, stock: DataFrame, total_tokens: int | None = Non
     # try_divide: a mix that asks for nothing has no shares
     shares = held.withColumn("target_share", F.coalesce(F.try_divide("weight", F.sum("weight").over(mix)), F.lit(0.0))).withColumn("share", F.coalesce(F.when(can, F.try_divide("weight", F.sum(F.when(can, F.col("weight"))).over(mix))), F.lit(0.0)))
     most = F.col("max_repeats") * F.col("available")
-    total = F.lit(float(total_tokens)) if total_tokens is not None else F.sum(F.when(F.col("share") > 0, F.col("available"))).over(mix).cast("double")
+    reach = F.when(F.col("share") > 0, most / F.col("share"))
+    if total_tokens is None:
+        total = F.min(reach).over(mix)
+    elif total_tokens == "stock":
+        total = F.sum(F.when(F.col("share") > 0, F.col("available"))).over(mix).cast("double")
+    else:
+        total = F.lit(float(total_tokens))
+    sized = shares.withColumn("total", total).withColumn("reach", reach)
     exact = F.floor(F.round(F.col("share") * F.coalesce("total", F.lit(0.0)), 3)).cast("long")
-    return shares.withColumn("total", total).select("mix_name", "source", "target_share", "max_repeats", "available", F.least(exact, most).alias("budget"))
+    kind = F.when(F.col("share") <= 0, "absent").when(exact > most, "short").when(F.col("reach") <= F.col("total") * (1 + 1e-12), "sets the size")
+    return sized.select("mix_name", "source", "target_share", "max_repeats", "available", F.least(exact, most).alias("budget"), kind.alias("limit_kind"))
 
 
 def _drawn(prefix: DataFrame, plan: DataFrame) -> DataFrame:
@@ -55,13 +68,13 @@ def _drawn(prefix: DataFrame, plan: DataFrame) -> DataFrame:
     return prefix.join(plan.where("budget > 0"), "source").withColumn("takes", takes).where("takes > 0")
 
 
-def draw_mixes(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def draw_mixes(documents: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The drawn documents (mix_name, source, doc_id, tokens, takes) and the report of the shares.
 
     A source whose budget is its whole stock r times and a rest is taken r times whole, and then its random order up to
     the rest; the document that would pass the budget is not taken, so a source is below its budget by less than that
     document. ``takes`` never passes max_repeats. The report has a row for each (mix_name, source), also where nothing
-    is drawn: target_share, max_repeats, available, budget, docs, tokens, actual_share (of the tokens of the mix).
+    is drawn: target_share, max_repeats, available, budget, limit_kind, docs, tokens, actual_share (of the tokens of the mix).
     Empty tables give empty results.
     """
     prefix = checkpointed(shuffled_prefix(documents, seed))

@@ -18,7 +18,7 @@ def test_budgets_are_met_to_the_document(spark):
     drawn, shares = run(spark, docs, targets)
     size = {d: len(encoder(f"{TOKENIZERS}/{VOCABULARY}").encode(t)) for d, t, _ in docs if t}
     stock = {s: sum(size[d] for d in {d for d, t, x in docs if x == s and t}) for s in ("big", "hot", "tiny")}
-    total = sum(stock.values())
+    total = 4 * stock["tiny"] / 0.25  # the share of the source that runs short first
     for (mix, source), r in shares.items():
         took = [x for x in drawn if (x.mix_name, x.source) == (mix, source)]
         assert len({x.doc_id for x in took}) == len(took) == r.docs and all(0 < x.takes <= r.max_repeats and x.tokens == size[x.doc_id] for x in took)
@@ -27,10 +27,13 @@ def test_budgets_are_met_to_the_document(spark):
             assert r.budget - r.tokens < max(size.values()) and r.available == stock[source]
     m = {s: shares["m", s] for s in ("big", "hot", "tiny", "none")}
     assert m["none"].tokens == 0 and abs(m["none"].target_share - 0.2) < 1e-12
-    assert m["big"].budget == min(2 * stock["big"], round(total / 4, 3) // 1) and m["tiny"].tokens == 4 * stock["tiny"]
+    assert m["big"].budget == total // 4 and m["hot"].budget == total // 2 and m["tiny"].tokens == 4 * stock["tiny"]
+    assert (m["tiny"].limit_kind, m["none"].limit_kind, m["big"].limit_kind) == ("sets the size", "absent", None)
     assert all(x.takes == 4 for x in drawn if x.source == "tiny")
     assert abs(sum(r.actual_share for (mix, _), r in shares.items() if mix == "m") - 1) < 1e-9
     assert {x.source for x in drawn if x.mix_name == "n"} == {"big"} and shares["n", "big"].tokens == stock["big"]
+    _, whole = run(spark, docs, targets, total_tokens="stock")
+    assert whole["m", "tiny"].limit_kind == "short" and whole["m", "hot"].budget == sum(stock.values()) // 2
     again, _ = run(spark, docs[::-1], targets)
     assert sorted(map(tuple, again)) == sorted(map(tuple, drawn))
 
