@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,11 +46,11 @@ def matrix_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return x[good], held[good]
 
 
-def cosine_to(df: DataFrame, vector: str, query: np.ndarray, out: str = "score") -> DataFrame:
+def cosine_to(df: DataFrame, vector: str, query: np.ndarray, out: str = "score", then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """The rows of ``df`` with a usable vector, and their cosine with ``query`` to 6 decimals; the vector column is dropped.
 
     One matrix product per Arrow batch; nothing is shuffled. Rows whose vector is null, has another size, holds a null,
-    NaN or infinite value, or is all zero are left out.
+    NaN or infinite value, or is all zero are left out. ``then`` goes over the scored batches of each task, in the same pass.
     """
     q = np.asarray(query, np.float64)
     q = q / max(float(np.linalg.norm(q)), 1e-12)
@@ -63,7 +64,8 @@ def cosine_to(df: DataFrame, vector: str, query: np.ndarray, out: str = "score")
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(rest))), pa.array(score)], [*rest, out])
 
     plain = df.select(*rest, vector)
-    return plain.mapInArrow(run, plain.select(*rest, F.lit(0.0).alias(out)).schema)
+    both = run if then is None else lambda batches: then(run(batches))
+    return plain.mapInArrow(both, plain.select(*rest, F.lit(0.0).alias(out)).schema)
 
 
 def usable(df: DataFrame, vector: str = "vector", dim: int = 64) -> DataFrame:
@@ -127,10 +129,23 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).split()))
 
 
+def keyword_form(keyword: str | None) -> str:
+    """NFC, trimmed, single blanks, case-folded; empty for null."""
+    return " ".join(unicodedata.normalize("NFC", keyword).split()).casefold() if keyword else ""
+
+
 def normalize_keywords(keywords: Column, most: int = 4) -> Column:
-    """Trimmed, single blanks, lower case, without empty ones, each once in order of first use, ``most`` of them."""
-    clean = F.transform(keywords, lambda k: F.lower(F.trim(F.regexp_replace(k, r"\s+", " "))))
-    return F.slice(F.array_distinct(F.filter(clean, lambda k: k.isNotNull() & (k != ""))), 1, most)
+    """The ``keyword_form`` of each keyword, without empty ones, each once in order of first use, ``most`` of them.
+
+    A null array stays null. Spark has no expression for NFC, so an Arrow batch at a time goes through Python.
+    """
+
+    @F.pandas_udf("array<string>")
+    def run(arrays: pd.Series) -> pd.Series:
+        form = lru_cache(1 << 16)(keyword_form)
+        return pd.Series([None if a is None else list(dict.fromkeys(f for k in a if (f := form(k))))[:most] for a in arrays], dtype=object)
+
+    return run(keywords)
 
 
 def to_seconds(value: Column) -> Column:
@@ -142,9 +157,9 @@ def to_seconds(value: Column) -> Column:
 
 
 def natural_key(text: Column, width: int = 12) -> Column:
-    """A key that sorts runs of digits by value: each run padded to ``width``."""
+    """A key that sorts runs of digits by value: each run padded to ``width``; longer runs stay whole."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, width, "0")).otherwise(x)), "")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, F.greatest(F.length(x), F.lit(width)), F.lit("0"))).otherwise(x)), "")
 
 
 def frame_of_key(key: Column) -> Column:
@@ -179,6 +194,23 @@ def json_tags(text: Column, most: int = 5) -> Column:
     return F.coalesce(F.slice(F.array_distinct(whole), 1, most), F.array().cast("array<int>"))
 
 
+def speech_segments(answer: Column, plain: Column | None = None) -> Column:
+    """array<struct(start, end, text)> in seconds of a recogniser's answer, which is a JSON list or ``plain`` text.
+
+    A segment has text or decode, start, and perhaps end (else its start); segments without text are dropped. Plain text is
+    one segment without times.
+    """
+    listed = F.from_json(answer, "array<struct<start:string,end:string,text:string,decode:string>>")
+    text = lambda x: F.trim(F.coalesce(F.nullif(x["text"], F.lit("")), x["decode"], F.lit("")))
+    at = lambda x: F.coalesce(to_seconds(x), F.lit(0.0))
+    whole = F.transform(listed, lambda x: F.struct(at(x["start"]).alias("start"), at(F.coalesce(x["end"], x["start"])).alias("end"), text(x).alias("text")))
+    kept = F.coalesce(F.filter(whole, lambda x: x["text"] != ""), F.array().cast("array<struct<start:double,end:double,text:string>>"))
+    if plain is None:
+        return kept
+    one = F.array(F.struct(F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), F.trim(plain).alias("text")))
+    return F.when(plain.isNotNull(), one).otherwise(kept)
+
+
 def prune_json(text: Column, drop: tuple[str, ...] = ("title", "default")) -> Column:
     """JSON text without the keys in ``drop`` at any depth; broken JSON gives null."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.functions.expr import normalize_keywords
+from framewright.functions.expr import keyword_form, normalize_keywords
 from framewright.operators.orphans import first_loaded, same_key
 
 
@@ -94,7 +94,7 @@ def active_mappings(mapped: DataFrame) -> DataFrame:
 
 def find_by_keyword(active: DataFrame, keyword: str) -> DataFrame:
     """Active mappings with the keyword, compared after normalisation."""
-    return active.where(F.array_contains(normalize_keywords(F.col("keywords"), 1_000_000), " ".join(keyword.lower().split())))
+    return active.where(F.array_contains(normalize_keywords(F.col("keywords"), 1_000_000), keyword_form(keyword)))
 
 
 def find_by_topic(active: DataFrame, topic: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """JSON record files whose layout drifts: one consistent table of all records, and a report of every change.
 
 The layouts are matched to the wanted fields by similarity flooding. Spark reduces the records to the distinct layouts
-and their counts; only what is known about the schema (paths, kinds, which paths occur together) reaches the driver,
-and its size depends on the number of distinct JSON paths, not on the number of records (``MAX_PATHS`` is checked).
+and these to counts of paths, shapes and pairs of paths; only those reach the driver, and their number depends on the
+distinct JSON paths, not on the records or layouts (``MAX_PATHS`` is checked before).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import json
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -198,45 +198,79 @@ def correspondences(layouts: list[tuple[str, int]], fields: dict[str, str]) -> d
     better one is taken, so no record has two values for a field.
     """
     shapes: dict[str, Counter] = defaultdict(Counter)
-    count, together = Counter(), Counter()
+    beside_own, paths = Counter(), []
     for layout, n in layouts:
         held = [line.split("\t") for line in layout.split("\n") if line]
+        paths.append((sorted({h[0] for h in held}), n))
         for p, _, s in held:
-            count[p] += n
             shapes[p][s] += n
-        for p, _, _ in held:
             for q in fields:
-                together[p, q] += n * any(q == h[0] for h in held)
-    if len(count) > MAX_PATHS:
-        raise ValueError(f"{len(count)} distinct paths; the schema graph holds {MAX_PATHS} at most")
+                beside_own[p, q] += n * any(q == h[0] for h in held)
+
+    def pairs(wanted: list[str]) -> Counter:
+        out = Counter()
+        for held, n in paths:
+            out.update({(a, b): n for i, a in enumerate(held) for b in held[i + 1 :] if a in wanted and b in wanted})
+        return out
+
+    return _matched(shapes, beside_own, pairs, fields)
+
+
+def _matched(shapes: dict[str, Counter], beside_own: Counter, pairs: Callable[[list[str]], Counter], fields: dict[str, str]) -> dict[str, str]:
+    """``correspondences`` from what is counted of the schema.
+
+    ``shapes`` has how often each path has each shape, ``beside_own`` how often it occurs with each field's own name, and
+    ``pairs`` gives how often each two of some paths occur together (keys in order).
+    """
+    count = {p: sum(c.values()) for p, c in shapes.items()}
+    shapes = {p: Counter(c) for p, c in shapes.items()}
     named = [f for f in fields if f in count]
     for f in fields:
-        shapes[f] += Counter({fields[f]: 1})
+        shapes.setdefault(f, Counter())[fields[f]] += 1
     fits = lambda p, f: sum(shapes[p][s] for s in CLASSES[fields[f]]) > 0.5 * count[p]
-    beside = lambda p, q: together[p, q] > BESIDE * min(count[p], count[q] or 1) or not fits(p, q)
+    beside = lambda p, q: beside_own[p, q] > BESIDE * min(count[p], count.get(q, 0) or 1) or not fits(p, q)
     rest = [p for p in count if p not in fields and not all(beside(p, f) for f in fields)]
     score = flood(list(fields), shapes, rest)
     tells = lambda p, f: f in named and shapes[p].most_common(1)[0][0] in ("series", "length")
-    taken = {f: f for f in named}
-    pairs = Counter()
-    for layout, n in layouts:
-        here = sorted({line.split("\t")[0] for line in layout.split("\n")} & set(rest))
-        for i, a in enumerate(here):
-            for b in here[i + 1 :]:
-                pairs[a, b] += n
+    taken, together = {f: f for f in named}, pairs(rest)
     for p, f in sorted(((p, f) for p in rest for f in fields), key=lambda x: (-score[x[1], x[0]], x)):
         if p in taken or beside(p, f) or (name_similarity(f, p) < LIKE and not tells(p, f)) or score[f, p] < max(score[g, p] for g in fields if not beside(p, g)):
             continue
-        if all(pairs[min(p, q), max(p, q)] <= BESIDE * min(count[p], count[q]) for q, g in taken.items() if g == f):
+        if all(together[min(p, q), max(p, q)] <= BESIDE * min(count[p], count[q]) for q, g in taken.items() if g == f):
             taken[p] = f
     return taken
 
 
 def match_fields(counts: DataFrame, fields: dict[str, str]) -> dict[str, str]:
-    """``correspondences`` of the layouts in ``shard_layouts``, told apart by paths and shapes only, not by kinds."""
-    bare = F.regexp_replace("layout", "\t[^\t\n]*\t", "\t-\t").alias("layout")
-    rows = counts.where("layout is not null").select(bare, "n").groupBy("layout").agg(F.sum("n").alias("n")).collect()
-    return correspondences([(r.layout, r.n) for r in rows], fields)
+    """``correspondences`` of the layouts in ``shard_layouts``.
+
+    Spark counts the shapes of each path and which paths occur together; what reaches the driver is a row for each path
+    and shape, and for each two candidate paths. The number of paths is checked before anything is collected.
+    """
+    spark = counts.sparkSession
+    line = F.col("lines")
+    # layouts that differ in kinds only are one
+    bare = F.regexp_replace("layout", "\t[^\t\n]*\t", "\t")
+    sets = counts.where("layout <> ''").groupBy(bare.alias("layout")).agg(F.sum("n").alias("n")).select("layout", "n", F.split("layout", "\n").alias("lines"))
+    begins = lambda f: F.exists(line, lambda x: F.startswith(x, F.lit(f + "\t"))).cast("long")
+    own = [begins(f) for f in fields]
+    lines = checkpointed(sets.select("layout", "n", F.array(*own).alias("own"), F.explode("lines").alias("x")).select("layout", "n", "own", F.split_part("x", F.lit("\t"), F.lit(1)).alias("path"), F.split_part("x", F.lit("\t"), F.lit(2)).alias("shape")))
+    if (found := lines.select("path").distinct().count()) > MAX_PATHS:
+        raise ValueError(f"{found} distinct paths; the schema graph holds {MAX_PATHS} at most")
+    shapes: dict[str, Counter] = defaultdict(Counter)
+    beside_own = Counter()
+    beside = [F.sum(F.col("n") * F.col("own")[i]).alias(f"own{i}") for i in range(len(fields))]
+    for r in lines.groupBy("path", "shape").agg(F.sum("n").alias("n"), *beside).collect():
+        shapes[r.path][r["shape"]] = r.n
+        for i, f in enumerate(fields):
+            beside_own[r.path, f] += r[f"own{i}"]
+
+    def pairs(wanted: list[str]) -> Counter:
+        held = lines.join(spark.createDataFrame([(p,) for p in wanted], "path string"), "path", "left_semi").groupBy("layout", "n").agg(F.sort_array(F.collect_set("path")).alias("p"))
+        two = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+        return Counter({(r.a, r.b): r.n for r in held.select("n", F.explode(two).alias("t")).groupBy("t.a", "t.b").agg(F.sum("n").alias("n")).collect()})
+
+    return _matched(shapes, beside_own, pairs, fields)
 
 
 def schema_changes(records: DataFrame, fields: dict[str, str]) -> DataFrame:

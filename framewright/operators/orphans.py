@@ -32,8 +32,8 @@ def orphan_references(refs: DataFrame, targets: DataFrame, keys: Mapping[str, st
     first loaded; of several targets with one key a live one wins, and of the live ones the first to arrive.
 
     Keys are resolved once for each distinct key; the few keys that have orphans are then joined to the references
-    with a salt, so a key that holds a third of all references is spread over tasks. Null row ids are rows of their
-    own kind and count as one. Columns: row_id, orphan_kind ('missing', 'deleted', 'late'), loaded.
+    with a salt, so a key that holds a third of all references is spread over tasks. Rows without a row id cannot be
+    told to be repeated; each counts. Columns: row_id, orphan_kind ('missing', 'deleted', 'late'), loaded.
     """
     if match not in ("simple", "partial", "full"):
         raise ValueError(f"unknown match semantics: {match}")
@@ -41,7 +41,8 @@ def orphan_references(refs: DataFrame, targets: DataFrame, keys: Mapping[str, st
     text = {c: dict(refs.dtypes)[c] == "string" for c in columns}
     names = [f"k{i}" for i in range(len(columns))]
     flat = refs.select(F.col(row_id).alias("row_id"), F.col(loaded).alias("loaded"), *[same_key(c, text[c]).alias(n) for c, n in zip(columns, names)])
-    flat = first_loaded(flat, ["row_id"], "loaded", ["loaded", *names])
+    unnamed = flat.where("row_id is null")
+    flat = first_loaded(flat.where("row_id is not null"), ["row_id"], "loaded", ["loaded", *names]).select(*flat.columns).unionByName(unnamed)
     there = targets.select(F.col(arrived).alias("arrived"), (F.col(deleted).isNotNull() if deleted else F.lit(False)).alias("deleted"), *[same_key(t, text[c]).alias(n) for n, (c, t) in zip(names, keys.items())])
     out = None
     for mask in product((True, False), repeat=len(names)):
@@ -60,7 +61,7 @@ def orphan_references(refs: DataFrame, targets: DataFrame, keys: Mapping[str, st
             state = ours.join(known, held, "left").where("gone is null or gone or since > first")
             salted = state.select(*held, "gone", "since", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
             kind = F.when(F.col("gone").isNull(), "missing").when(F.col("gone"), "deleted").when(F.col("since") > F.col("loaded"), "late")
-            bad = group.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).join(salted, [*held, "salt"]).select("row_id", kind.alias("orphan_kind"), "loaded").where("orphan_kind is not null")
+            bad = group.withColumn("salt", F.pmod(F.xxhash64("row_id", "loaded"), F.lit(SALTS)).cast("int")).join(salted, [*held, "salt"]).select("row_id", kind.alias("orphan_kind"), "loaded").where("orphan_kind is not null")
         out = bad if out is None else out.unionByName(bad)
     return out
 

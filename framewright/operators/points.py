@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators.ordered import spread_prefix_sum
+from framewright.session import checkpointed
+
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], version: str) -> DataFrame:
     """All rows of both tables, one for each key: the one with the largest version (ties: the new table's).
@@ -19,14 +22,14 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], version: str) ->
 
 
 def assign_ids(known: DataFrame, names: DataFrame, name: str, id_: str) -> DataFrame:
-    """``known`` (id, name) with every new name given the next id, in order of the names.
+    """``known`` (id, name) with every new name given the next id, in order of the names; null names get none.
 
-    Ids follow the sorted partitions: each partition numbers its own names from the count of those before it.
+    The new names are cut into sampled ranges of equal size, whatever they begin with, and written once; each range
+    numbers its own names from the count of those before it.
     """
-    from framewright.operators.ordered import spread_prefix_sum
-
-    fresh = names.select(name).where(F.col(name).isNotNull()).distinct().join(known, name, "left_anti")
-    numbered = spread_prefix_sum(fresh.withColumn("__one", F.lit(1).cast("long")).withColumn("__g", F.lit(0)), ["__g"], F.substring(name, 1, 2), [name], "__one", "__n")
+    fresh = names.select(name).where(F.col(name).isNotNull()).distinct().join(known, name, "left_anti").select(name)
+    ranged = checkpointed(fresh.repartitionByRange(name).withColumn("__range", F.spark_partition_id()))
+    numbered = spread_prefix_sum(ranged.withColumn("__one", F.lit(1).cast("long")).withColumn("__all", F.lit(0)), ["__all"], F.col("__range"), [name], "__one", "__n")
     top = known.agg(F.coalesce(F.max(id_), F.lit(0)).alias("__m"))
     return known.select(id_, name).unionByName(numbered.crossJoin(F.broadcast(top)).select((F.col("__n") + F.col("__m")).cast("long").alias(id_), name))  # top: one row
 
@@ -70,8 +73,13 @@ def toggle(selected: DataFrame, clicked: DataFrame, key: str) -> DataFrame:
     return in_both_or_one(selected, clicked, key).where("side <> 'both'").select(key)
 
 
-def work_shard(df: DataFrame, key: Column, shards: int, shard: int) -> DataFrame:
-    """The rows of one of ``shards`` parts of the work, by the hash of a key."""
+def shard_of(key: Column, shards: int, hashed: bool = True) -> Column:
+    """Which of ``shards`` parts of the work a key belongs to: by its hash, or as it is if it is an even number already."""
+    return F.pmod(F.xxhash64(key) if hashed else key, F.lit(shards))
+
+
+def work_shard(df: DataFrame, key: Column, shards: int, shard: int, hashed: bool = True) -> DataFrame:
+    """The rows of one of ``shards`` parts of the work."""
     if not 0 <= shard < shards:
         raise ValueError("shard must be in 0..shards-1")
-    return df.where(F.pmod(F.xxhash64(key), F.lit(shards)) == shard)
+    return df.where(shard_of(key, shards, hashed) == shard)

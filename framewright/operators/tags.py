@@ -16,12 +16,14 @@ def tag_vocab(domains: DataFrame) -> DataFrame:
     return live.select((F.row_number().over(Window.orderBy("name")) - 1).cast("int").alias("tag"), "name", "description")
 
 
-def compute_tags(frames: DataFrame, mapped: DataFrame, vocab: DataFrame, scene: str = "scene_idx") -> DataFrame:
+def compute_tags(frames: DataFrame, mapped: DataFrame, vocab: DataFrame, scene: str = "scene_idx", strict: bool = False) -> DataFrame:
     """point_id, tag: keyframe -> (video, scene) -> domain of the active analysis -> tag; 65535 where a hop finds nothing.
 
-    A keyframe that comes again has one tag. Domains that are not in the vocabulary give no tag; ``unknown_domains``
-    lists them.
+    A keyframe that comes again has one tag. Domains that are not in the vocabulary give no tag, and ``unknown_domains``
+    lists them; with ``strict`` they are an error, as in a build whose vocabulary must be complete.
     """
+    if strict and (unknown := unknown_domains(mapped, vocab).orderBy("domain_key").limit(20).collect()):
+        raise ValueError(f"domains that are not in the vocabulary: {[r.domain_key for r in unknown]}")
     active = active_mappings(mapped).select("video_key", F.col("scene_id").alias("__s"), "domain_key").where("__s is not null")
     one = active.join(vocab.select(F.col("name").alias("domain_key"), "tag"), "domain_key").groupBy("video_key", "__s").agg(F.min("tag").alias("tag"))
     keyed = frames.select("point_id", same_key("video_name", True).alias("video_key"), F.col(scene).alias("__s")).where("point_id is not null").distinct()

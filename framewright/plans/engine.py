@@ -14,6 +14,7 @@ from framewright.operators import search as S
 from framewright.operators.scenes import neighbours
 from framewright.operators.tags import check_tags
 from framewright.sources.snapshot import Holder
+from framewright.streaming.streams import search_stream
 
 DEFAULT_K, MOST_K, CORE_K, SAMPLES = 20, 300, 10, 4096
 
@@ -76,6 +77,39 @@ class Engine:
     def search_batch(self, queries: DataFrame, k: int = CORE_K) -> DataFrame:
         return S.batch_topk(self.holder.get().live(), queries, k)
 
+    def encode_batch(self, texts: Sequence[str]) -> np.ndarray:
+        """The vectors of some texts; an empty text is an error."""
+        if any(not t or not t.strip() for t in texts):
+            raise ValueError("texts that are not empty")
+        return np.asarray(self.encode(list(texts)), float) if len(texts) else np.zeros((0, self.holder.get().manifest["dim"]))
+
+    def search_stream(self, vector: Sequence[float], k: int = CORE_K):
+        """The coarse result at once, then the exact one."""
+        return search_stream(self.holder.get().live(), vector, k)
+
+    def temporal(self, steps: Sequence[Sequence[float]], min_gap: float, max_gap: float, k: int = CORE_K, candidates: int = MOST_K, optional: Sequence[int] = ()) -> DataFrame:
+        """The best chains of one hit of each step, in order, within a video: every step is a search of its own.
+
+        Steps whose number is in ``optional`` may be missing from a chain; such chains come from the steps that are left.
+        """
+        live, kinds = self.holder.get().live(), [f"step{i}" for i in range(len(steps))]
+        events = None
+        for kind, q in zip(kinds, steps):
+            hits = S.exact_topk(live, q, candidates, ("video_name", "keyframe_time"))
+            part = hits.select("video_name", F.lit(kind).alias("kind"), F.col("keyframe_time").alias("at"), "score", F.col("point_id").alias("event_id"))
+            events = part if events is None else events.unionByName(part)
+        return S.optional_chains(events, "video_name", kinds, [kinds[i] for i in optional], min_gap, max_gap, k)
+
+    def feedback(self, vector: Sequence[float], liked: Sequence[int], disliked: Sequence[int] = (), k: int = CORE_K) -> DataFrame:
+        """The search moved to the liked points and away from the disliked ones."""
+        live = self.holder.get().live()
+        of = lambda ids: live.where(F.col("point_id").isin(list(ids)))
+        return S.exact_topk(live, S.rocchio(vector, of(liked), of(disliked)), k)
+
+    def reset_stats(self) -> None:
+        """Counts, samples and uptime begin anew."""
+        self.started, self.counts, self.samples = time.time(), Counter(), {}
+
     def similar(self, point_id: int, k: int = CORE_K, exclude_same_video: bool = True) -> DataFrame:
         """The points most like a point, without itself (and its video)."""
         live = self.holder.get().live()

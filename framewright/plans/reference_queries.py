@@ -33,6 +33,9 @@ def query(sql: str | None = None):
 
 # shared relations
 
+#: The characters that Python takes for white space, as a class of regular expressions.
+BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
 USABLE = "vector is not null and len(vector) = 64 and len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0"
 PTS = f"""pts as (select point_id, any_value(vector)::double[] v, max(video_id) video_id, max(video_name) video_name, max(frame) frame, max(keyframe_time) keyframe_time, max(scene_idx) scene_idx
   from keyframes where {USABLE} and point_id is not null group by 1)"""
@@ -76,9 +79,9 @@ def _deleted_videos(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _alive(spark: SparkSession, d: str, q: np.ndarray, *payload: str) -> DataFrame:
-    """Scored points whose video is not deleted; scored before the join, so no vector is shuffled."""
+    """Scored rows whose video is not deleted; scored before the join, so no vector is shuffled."""
     scored = _scored(_points(spark, d), q, "video_id", *payload)
-    return S.once(scored.join(_deleted_videos(spark, d), "video_id", "left_anti").select("point_id", *payload, "score"))
+    return scored.join(_deleted_videos(spark, d), "video_id", "left_anti").select("point_id", *payload, "score")
 
 
 def _tags(spark: SparkSession, d: str) -> DataFrame:
@@ -104,13 +107,13 @@ def _frames(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {PTS}, {ANCHOR}, {SCORED}, {ALIVE} select point_id, video_name, frame, score, row_number() over (order by score desc, point_id) - 1 as rank from alive order by score desc, point_id limit 20")
 def exact_topk(spark, d):
     """Flagship: the 20 live keyframes nearest to a query vector."""
-    return S.top_k(_alive(spark, d, _anchor(_points(spark, d))[2], "video_name", "frame"), 20)
+    return S.distinct_topk(_alive(spark, d, _anchor(_points(spark, d))[2], "video_name", "frame"), 20)
 
 
 @query(f"with {PTS}, {ANCHOR}, {SCORED}, {TAGGED} select point_id, score, row_number() over (order by score desc, point_id) - 1 as rank from scored join tags using (point_id) where tag in (1, 4, 7) order by score desc, point_id limit 20")
 def tag_filtered_topk(spark, d):
     tags = _tags(spark, d).where(F.col("tag").isin(1, 4, 7))
-    return S.top_k(S.once(_scored(_points(spark, d), _anchor(_points(spark, d))[2])).join(tags.select("point_id"), "point_id", "left_semi"), 20)
+    return S.distinct_topk(_scored(_points(spark, d), _anchor(_points(spark, d))[2]).join(tags.select("point_id"), "point_id", "left_semi"), 20)
 
 
 @query(f"with {PTS}, {ANCHOR}, {SCORED}, cut as (select point_id, score, row_number() over (order by score desc, point_id) - 1 as rank from scored order by score desc, point_id limit 50) select * from cut where score >= 0.4")
@@ -124,7 +127,7 @@ def strategy_choice(spark, d):
     tags = _tags(spark, d)
     counts = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("candidates"))
     total = tags.agg(F.count(F.lit(1)).alias("universe"))
-    route = F.when((F.col("candidates") >= F.col("universe")) | (F.col("candidates") > S.EXACT_MAX), "pre").otherwise("exact")
+    route = S.strategy_of(F.col("candidates"), F.col("universe"))
     every = total.select(F.lit(-1).alias("tag"), F.col("universe").alias("candidates"), "universe")
     return counts.where(F.col("tag") != X.SENTINEL_TAG).crossJoin(F.broadcast(total)).unionByName(every).withColumn("strategy", route)
 
@@ -134,9 +137,9 @@ def strategy_choice(spark, d):
  c as (select (select count(*) from t) < 40 and (select count(*) from w) > (select count(*) from t) wide)
  select t.*, false from_fallback from t, c where not wide union all select w.*, true from w, c where wide""")
 def tag_fallback(spark, d):
-    scored = S.once(_scored(_points(spark, d), _anchor(_points(spark, d))[2])).where("score >= 0.35")
+    scored = _scored(_points(spark, d), _anchor(_points(spark, d))[2]).where("score >= 0.35")
     tagged = scored.join(_tags(spark, d).where("tag = 2").select("point_id"), "point_id", "left_semi")
-    cut = lambda df: S.top_k(df, 40).select("point_id", "score")
+    cut = lambda df: S.distinct_topk(df, 40).select("point_id", "score")
     return S.fallback_union(cut(tagged), cut(scored), 40)
 
 
@@ -170,23 +173,36 @@ def grouped_topk(spark, d):
 
 @query(f"with {PTS}, {ANCHOR}, {SCORED}, t as (select point_id, video_name, score from scored order by score desc, point_id limit 200), r as (select *, row_number() over (partition by video_name order by score desc, point_id) n from t) select point_id, video_name, score from r where n <= 2")
 def diversify_per_video(spark, d):
-    hits = S.top_k(S.once(_scored(_points(spark, d), _anchor(_points(spark, d))[2], "video_name")), 200)
+    hits = S.distinct_topk(_scored(_points(spark, d), _anchor(_points(spark, d))[2], "video_name"), 200)
     return S.cap_per_key(hits, "video_name", 2).select("point_id", "video_name", "score")
 
 
 def _top_with_vectors(spark, d, k: int) -> DataFrame:
     points = _points(spark, d)
-    hits = S.top_k(S.once(_scored(points, _anchor(points)[2], "video_name", "keyframe_time")), k)
+    hits = S.distinct_topk(_scored(points, _anchor(points)[2], "video_name", "keyframe_time"), k)
     # at most k rows
     return points.select("point_id", "vector").join(F.broadcast(hits), "point_id").dropDuplicates(["point_id"])
 
 
-@query()
+TOP_ROWS = "top_rows as (select *, row_number() over (order by score desc, point_id) rn from (select point_id, v, video_name, keyframe_time, score from scored order by score desc, point_id limit {n}))"
+
+
+@query(f"""with recursive {PTS}, {ANCHOR}, {SCORED}, {TOP_ROWS.format(n=300)},
+ walk as (select 0::bigint at, []::struct(id bigint, v double[], name varchar, t double)[] kept
+   union all select rn, case when len(kept) < 50 and len(list_filter(kept, lambda x: x.name is not distinct from video_name)) < 3 and len(list_filter(kept, lambda x: (x.name is not distinct from video_name and abs(x.t - keyframe_time) < 2.0) or list_cosine_similarity(x.v, h.v) >= 0.97)) = 0
+     then list_append(kept, {{'id': point_id, 'v': h.v, 'name': video_name, 't': keyframe_time}}) else kept end from walk join top_rows h on h.rn = at + 1),
+ final as (select unnest(kept).id as id, generate_subscripts(kept, 1) - 1 as pos from (select kept from walk order by at desc limit 1))
+ select point_id, score, video_name, keyframe_time, pos as rank from final join top_rows on point_id = id""")
 def diversify_greedy(spark, d):
     return S.diversify(_top_with_vectors(spark, d, 300), 50, max_per_video=3, min_gap=2.0, dedup=0.97)
 
 
-@query()
+@query(f"""with recursive {PTS}, {ANCHOR}, {SCORED}, {TOP_ROWS.format(n=200)},
+ walk as (select 1::bigint at, [point_id] ids, [v] vs, round(0.7 * score, 6) mmr from top_rows where rn = 1
+   union all select at + 1, list_append(ids, best.point_id), list_append(vs, best.v), round(best.gain, 6) from
+     (select at, ids, vs, arg_max({{'point_id': h.point_id, 'v': h.v, 'gain': gain}}, (gain, -rn)) best from
+       (select at, ids, vs, h.*, round(0.7 * h.score - 0.3 * list_max(list_transform(vs, lambda x: list_cosine_similarity(x, h.v))), 9) gain from walk, top_rows h where at < 30 and not list_contains(ids, h.point_id)) h group by at, ids, vs))
+ select ids[-1] point_id, (select score from top_rows where point_id = ids[-1]) score, mmr, at - 1 as rank from walk""")
 def mmr_topk(spark, d):
     return S.mmr(_top_with_vectors(spark, d, 200), 30, 0.7)
 
@@ -194,7 +210,7 @@ def mmr_topk(spark, d):
 @query(f"with {PTS}, {ANCHOR}, {SCORED} select point_id, video_name, score, row_number() over (order by score desc, point_id) - 1 as rank from scored, a1 where video_name <> qv order by score desc, point_id limit 20")
 def more_like_this(spark, d):
     _, video, q = _anchor(_points(spark, d))
-    return S.top_k(S.once(_scored(_points(spark, d).where(F.col("video_name") != video), q, "video_name")), 20)
+    return S.distinct_topk(_scored(_points(spark, d).where(F.col("video_name") != video), q, "video_name"), 20)
 
 
 @query(f"""with {PTS}, {ANCHOR}, liked as (select i, avg(x) m from (select unnest(v) x, generate_subscripts(v, 1) i from pts, a1 where video_name = qv) group by 1), second as (select video_name bv from pts order by point_id desc limit 1),
@@ -404,7 +420,7 @@ def topic_outside_domain(spark, d):
 
 
 @query(f"""with {SEGMENTS}, f as (select *, row_number() over w n, case when row_number() over w > 1 and lag(domain_id) over w is not distinct from domain_id and lag(topic_id) over w is not distinct from topic_id and lag(lower(sub_domain)) over w is not distinct from lower(sub_domain) then 0 else 1 end new from segs window w as (partition by analysis_id order by segment_idx)),
- g as (select *, sum(new) over (partition by analysis_id order by segment_idx rows unbounded preceding) i from f), k as (select analysis_id, i, word, min((segment_idx, pos)) firstpos from (select analysis_id, i, segment_idx, unnest(keywords) kw, generate_subscripts(keywords, 1) pos from g), lateral (select lower(trim(regexp_replace(kw, '\\s+', ' ', 'g'))) word) where word is not null and word <> '' group by 1, 2, 3),
+ g as (select *, sum(new) over (partition by analysis_id order by segment_idx rows unbounded preceding) i from f), k as (select analysis_id, i, word, min((segment_idx, pos)) firstpos from (select analysis_id, i, segment_idx, unnest(keywords) kw, generate_subscripts(keywords, 1) pos from g), lateral (select lower(trim(regexp_replace(nfc_normalize(kw), '{BLANKS}', ' ', 'g'))) word) where word is not null and word <> '' group by 1, 2, 3),
  kk as (select analysis_id, i, list(word order by firstpos)[1:4] keywords from k group by 1, 2)
  select g.analysis_id, (g.i - 1)::bigint segment_idx, arg_min(start_scene_id, segment_idx) start_scene_id, arg_max(end_scene_id, segment_idx) end_scene_id, first(domain_id order by segment_idx) domain_id, first(topic_id order by segment_idx) topic_id, first(sub_domain order by segment_idx) sub_domain, coalesce(any_value(kk.keywords), []) keywords from g left join kk on kk.analysis_id is not distinct from g.analysis_id and kk.i = g.i group by g.analysis_id, g.i""")
 def adjacent_segment_merge(spark, d):
@@ -434,7 +450,7 @@ def active_version_join(spark, d):
     return D.active_mappings(table(spark, d, "scene_domain_map")).select("map_id", "analysis_id", "video_key", "scene_id", "domain_key")
 
 
-@query(f"with {MAPPED} select map_id, scene_id, video_key from active where list_contains(list_transform(keywords, lambda k: lower(trim(regexp_replace(k, '\\s+', ' ', 'g')))), 'bắt quả tang')")
+@query(f"with {MAPPED} select map_id, scene_id, video_key from active where list_contains(list_transform(keywords, lambda k: lower(trim(regexp_replace(nfc_normalize(k), '{BLANKS}', ' ', 'g')))), 'bắt quả tang')")
 def find_by_keyword(spark, d):
     return D.find_by_keyword(D.active_mappings(table(spark, d, "scene_domain_map")), "Bắt quả tang").select("map_id", "scene_id", "video_key")
 
@@ -500,7 +516,8 @@ def delete_points(spark, d):
 
 @query("select doc_id % 8 as shard, count(*) n from documents where doc_id is not null group by 1")
 def work_shard(spark, d):
-    return table(spark, d, "documents").where("doc_id is not null").groupBy(F.pmod("doc_id", F.lit(8)).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    docs = table(spark, d, "documents").where("doc_id is not null")
+    return docs.groupBy(P.shard_of(F.col("doc_id"), 8, hashed=False).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select group_name, grouping(group_name)::int as is_total, count(distinct video_name) n_videos, count(distinct point_id) n_keyframes from keyframes group by rollup(group_name)")
@@ -531,7 +548,7 @@ def canonicalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", X.canonicalize(F.col("text")).alias("canonical"))
 
 
-@query(f"with {SEGMENTS}, k as (select analysis_id, segment_idx, word, min(pos) firstpos from (select analysis_id, segment_idx, unnest(keywords) kw, generate_subscripts(keywords, 1) pos from segs), lateral (select lower(trim(regexp_replace(kw, '\\s+', ' ', 'g'))) word) where word is not null and word <> '' group by 1, 2, 3), l as (select analysis_id, segment_idx, list(word order by firstpos)[1:4] keywords from k group by 1, 2) select s.analysis_id, s.segment_idx, case when s.keywords is null then null else coalesce(l.keywords, []) end keywords from segs s left join l on l.analysis_id is not distinct from s.analysis_id and l.segment_idx is not distinct from s.segment_idx")
+@query(f"with {SEGMENTS}, k as (select analysis_id, segment_idx, word, min(pos) firstpos from (select analysis_id, segment_idx, unnest(keywords) kw, generate_subscripts(keywords, 1) pos from segs), lateral (select lower(trim(regexp_replace(nfc_normalize(kw), '{BLANKS}', ' ', 'g'))) word) where word is not null and word <> '' group by 1, 2, 3), l as (select analysis_id, segment_idx, list(word order by firstpos)[1:4] keywords from k group by 1, 2) select s.analysis_id, s.segment_idx, case when s.keywords is null then null else coalesce(l.keywords, []) end keywords from segs s left join l on l.analysis_id is not distinct from s.analysis_id and l.segment_idx is not distinct from s.segment_idx")
 def keyword_normalize(spark, d):
     return _segments(spark, d).select("analysis_id", "segment_idx", X.normalize_keywords(F.col("keywords")).alias("keywords"))
 
@@ -589,14 +606,13 @@ def bm25_topk(spark, d):
 def hybrid_rrf(spark, d):
     """Two sparse rankings of every query, fused by reciprocal ranks."""
     docs, q = table(spark, d, "documents").select("doc_id", "text"), _domain_queries(spark, d)
-    both = bm25(docs, q, 50).unionByName(bm25(docs, q, 50, 2.0, 0.3))
-    return both.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.lit(1.0) / (F.lit(60.0) + F.col("rank") + 1)), 9).alias("fused"))
+    return S.rrf([(bm25(docs, q, 50), 1.0), (bm25(docs, q, 50, 2.0, 0.3), 1.0)], ["query_id", "doc_id"])
 
 
 @query(f"with {PTS}, {ANCHOR}, {SCORED}, t as (select point_id, video_name, keyframe_time, score from scored order by score desc, point_id limit 100), v as (select video_name, string_agg(cast(round(keyframe_time * 1000) as bigint)::varchar, ',' order by score desc, point_id) ms from t where keyframe_time is not null group by 1) select video_name, '{{\"answerSets\":[{{\"answers\":[{{\"text\":\"TR-' || video_name || '-' || ms || '\"}}]}}]}}' as answer from v")
 def submission_rows(spark, d):
     """One answer of the chain task for each video of the top 100."""
-    hits = S.top_k(S.once(_scored(_points(spark, d), _anchor(_points(spark, d))[2], "video_name", "keyframe_time")), 100).where("keyframe_time is not null and video_name is not null")
+    hits = S.distinct_topk(_scored(_points(spark, d), _anchor(_points(spark, d))[2], "video_name", "keyframe_time"), 100).where("keyframe_time is not null and video_name is not null")
     ms = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "point_id", F.round(F.col("keyframe_time") * 1000).cast("long").cast("string").alias("ms")))), lambda x: x["ms"])
     per = hits.groupBy("video_name").agg(F.array_join(ms, ",").alias("ms"))
     text = F.concat(F.lit("TR-"), "video_name", F.lit("-"), "ms").alias("text")

@@ -5,7 +5,6 @@ The reference has no event-time streams; the windowed counts are an addition, th
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,25 +31,31 @@ def session_counts(stream: DataFrame, time: str, key: str, gap: str, late: str =
 def windowed_counts_once(spark: SparkSession, folder: str, table: str, time: str, key: str, width: str) -> DataFrame:
     """``windowed_counts`` over the files of a table that are there now; the batch ends when all are read.
 
-    The stream's state is kept in the shared checkpoint folder; the result has a row for each window and key.
+    The stream's state and its result are kept in the shared checkpoint folder; the result, a table there, has a row for
+    each window and key and never passes through the driver.
     """
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{folder}/{table}.parquet*")
     ntz = dict(stream.dtypes)[time] == "timestamp_ntz"
     if ntz:  # windows follow UTC days; times without a zone are taken as UTC whatever the session's zone
         stream = stream.withColumn(time, F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(time)).cast("timestamp"))
-    name = f"counts_{uuid.uuid4().hex}"
-    where = f"{ensure_checkpoint_dir(spark)}/{name}"
+    where = f"{ensure_checkpoint_dir(spark)}/counts-{uuid.uuid4().hex}"
     counted = windowed_counts(stream, time, key, width)
-    counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
-    rows = spark.table(name)
+
+    def put(batch: DataFrame, n: int) -> None:  # complete mode: the last batch has every window
+        batch.write.mode("overwrite").parquet(f"{where}/rows/v={n:09d}")
+
+    counted.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = current_version(spark, f"{where}/rows")
+    rows = rows if rows is not None else spark.createDataFrame([], counted.schema)
     return rows.withColumn("start", F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("start").cast("timestamp_ntz"))) if ntz else rows
 
 
 def upsert_stream(stream: DataFrame, target: str, key: list[str], version: str, checkpoint: str | None = None):
     """Upserts each micro-batch of points into a versioned Parquet table: v=<batch>; the newest folder is the table.
 
-    A batch that is run again writes the same folder again, so a restart changes nothing.
+    A batch that is run again writes the same folder again, so a restart changes nothing. The stream's state is kept
+    beside the table unless ``checkpoint`` names another folder, so a restart goes on where it stopped.
     """
 
     def put(batch: DataFrame, n: int) -> None:
@@ -59,7 +64,7 @@ def upsert_stream(stream: DataFrame, target: str, key: list[str], version: str,
         merged = upsert(old, batch, key, version) if old is not None else upsert(batch.limit(0), batch, key, version)
         merged.write.mode("overwrite").parquet(f"{target}/v={n:09d}")
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint or tempfile.mkdtemp()).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint or f"{target}/_state").trigger(availableNow=True).start()
 
 
 def current_version(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:

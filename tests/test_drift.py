@@ -78,10 +78,17 @@ def test_decoys_are_no_fields():
     assert got == {"vector": "vector", "dim": "dim", "payload.shot_id": "payload.shot_id", "emb": "vector", "vector.values": "vector"}
 
 
-def test_too_many_paths_is_an_error(monkeypatch):
+def test_too_many_paths_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(D, "MAX_PATHS", 2)
+    counts = spark.createDataFrame([("a\tinteger\tnumber\nb\tinteger\tnumber\nc\tinteger\tnumber", 1)], "layout string, n long")
     with pytest.raises(ValueError):
-        D.correspondences([("a\tinteger\tnumber\nb\tinteger\tnumber\nc\tinteger\tnumber", 1)], FIELDS)
+        D.match_fields(counts, FIELDS)
+
+
+def test_counts_in_spark_match_as_those_of_whole_layouts(spark):
+    layouts = [("dim\tinteger\tlength\nvector\tarray<decimal>\tseries", 9), ("embedding\tarray<decimal>\tseries\nn_dim\tinteger\tlength\npayload.shot_id\tinteger\tnumber", 4), ("dim\tstring\tlength\npayload.shot\tinteger\tnumber\nvec\tstring\tseries\nx\tstring\ttext", 5), ("", 2)]
+    counts = spark.createDataFrame([(x, n) for x, n in layouts for _ in range(2)] + [(None, 3)], "layout string, n long")
+    assert D.match_fields(counts, FIELDS) == D.correspondences([(x, 2 * n) for x, n in layouts], FIELDS)
 
 
 def test_against_fixed_names(spark, data):

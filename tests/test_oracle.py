@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from framewright.plans import core_queries, reference_queries
+from framewright.plans import core_queries, reference_queries, service_queries
 
-ALL = {**core_queries.QUERIES, **reference_queries.QUERIES}
-SQL = {**core_queries.SQL, **reference_queries.SQL}
+ALL = {**core_queries.QUERIES, **reference_queries.QUERIES, **service_queries.QUERIES}
+SQL = {**core_queries.SQL, **reference_queries.SQL, **service_queries.SQL}
 
 
 def plain(v):
