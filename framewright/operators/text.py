@@ -25,7 +25,8 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: f
     sized = split.groupBy("doc_id").agg(F.min(F.struct("version", F.size("ts").cast("long").alias("dl"))).alias("d")).select("doc_id", "d.version", "d.dl").where("dl > 0")
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     # a row is counted on its own first, so that a text that comes again under one id does not count twice
-    terms = split.select("doc_id", "version", F.monotonically_increasing_id().alias("row"), F.explode("ts").alias("term")).join(words, "term", "left_semi")
+    rows = split.select("doc_id", "version", "ts", F.monotonically_increasing_id().alias("row"))
+    terms = rows.select("doc_id", "version", "row", F.explode("ts").alias("term")).join(words, "term", "left_semi")
     netted = terms.groupBy("term", "doc_id", "version", "row").agg(F.count(F.lit(1)).alias("tf")).groupBy("term", "doc_id", "version").agg(F.max("tf").alias("tf"))
     tf = netted.join(sized, ["doc_id", "version"]).select("term", "doc_id", "dl", "tf")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

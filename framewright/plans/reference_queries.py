@@ -188,21 +188,21 @@ TOP_ROWS = "top_rows as (select *, row_number() over (order by score desc, point
 
 
 @query(f"""with recursive {PTS}, {ANCHOR}, {SCORED}, {TOP_ROWS.format(n=300)},
- walk as (select 0::bigint at, []::struct(id bigint, v double[], name varchar, t double)[] kept
+ walk as (select 0::bigint step, []::struct(id bigint, v double[], name varchar, t double)[] kept
    union all select rn, case when len(kept) < 50 and len(list_filter(kept, lambda x: x.name is not distinct from video_name)) < 3 and len(list_filter(kept, lambda x: (x.name is not distinct from video_name and abs(x.t - keyframe_time) < 2.0) or list_cosine_similarity(x.v, h.v) >= 0.97)) = 0
-     then list_append(kept, {{'id': point_id, 'v': h.v, 'name': video_name, 't': keyframe_time}}) else kept end from walk join top_rows h on h.rn = at + 1),
- final as (select unnest(kept).id as id, generate_subscripts(kept, 1) - 1 as pos from (select kept from walk order by at desc limit 1))
+     then list_append(kept, {{'id': point_id, 'v': h.v, 'name': video_name, 't': keyframe_time}}) else kept end from walk join top_rows h on h.rn = step + 1),
+ final as (select unnest(kept).id as id, generate_subscripts(kept, 1) - 1 as pos from (select kept from walk order by step desc limit 1))
  select point_id, score, video_name, keyframe_time, pos as rank from final join top_rows on point_id = id""")
 def diversify_greedy(spark, d):
     return S.diversify(_top_with_vectors(spark, d, 300), 50, max_per_video=3, min_gap=2.0, dedup=0.97)
 
 
 @query(f"""with recursive {PTS}, {ANCHOR}, {SCORED}, {TOP_ROWS.format(n=200)},
- walk as (select 1::bigint at, [point_id] ids, [v] vs, round(0.7 * score, 6) mmr from top_rows where rn = 1
-   union all select at + 1, list_append(ids, best.point_id), list_append(vs, best.v), round(best.gain, 6) from
-     (select at, ids, vs, arg_max({{'point_id': h.point_id, 'v': h.v, 'gain': gain}}, (gain, -rn)) best from
-       (select at, ids, vs, h.*, round(0.7 * h.score - 0.3 * list_max(list_transform(vs, lambda x: list_cosine_similarity(x, h.v))), 9) gain from walk, top_rows h where at < 30 and not list_contains(ids, h.point_id)) h group by at, ids, vs))
- select ids[-1] point_id, (select score from top_rows where point_id = ids[-1]) score, mmr, at - 1 as rank from walk""")
+ walk as (select 1::bigint step, [point_id] ids, [v] vs, round(0.7 * score, 6) mmr from top_rows where rn = 1
+   union all select step + 1, list_append(ids, best.point_id), list_append(vs, best.v), round(best.gain, 6) from
+     (select step, ids, vs, arg_max({{'point_id': h.point_id, 'v': h.v, 'gain': gain}}, (gain, -rn)) best from
+       (select step, ids, vs, h.*, round(0.7 * h.score - 0.3 * list_max(list_transform(vs, lambda x: list_cosine_similarity(x, h.v))), 9) gain from walk, top_rows h where step < 30 and not list_contains(ids, h.point_id)) h group by step, ids, vs))
+ select ids[-1] point_id, (select score from top_rows where point_id = ids[-1]) score, mmr, step - 1 as rank from walk""")
 def mmr_topk(spark, d):
     return S.mmr(_top_with_vectors(spark, d, 200), 30, 0.7)
 

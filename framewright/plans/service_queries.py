@@ -231,7 +231,7 @@ def timeline_check(spark, d):
 # scalars
 
 
-@query("select k.point_id, round(k.frame / v.fps, 3) seconds from (select distinct point_id, video_id, frame from keyframes where point_id is not null) k join (select video_id, max(fps) fps from videos group by 1) v on v.video_id = k.video_id where v.fps > 0")
+@query("select k.point_id, round(k.frame / v.fps, 3) as seconds from (select distinct point_id, video_id, frame from keyframes where point_id is not null) k join (select video_id, max(fps) fps from videos group by 1) v on v.video_id = k.video_id where v.fps > 0")
 def frame_seconds(spark, d):
     rates = table(spark, d, "videos").groupBy("video_id").agg(F.max("fps").alias("fps"))
     k = _points(spark, d).select("point_id", "video_id", "frame").distinct().join(rates, "video_id")
