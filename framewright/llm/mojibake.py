@@ -205,9 +205,10 @@ def garbled_tokens(documents: DataFrame) -> DataFrame:
     # ids go through Python as text: pandas would make floats of a column with nulls
     scanned = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_scan, "doc_id string, token string, n long")
     seen = checkpointed(scanned.withColumn("doc_id", F.col("doc_id").cast(dict(documents.dtypes)["doc_id"])))
-    # each word makes some dozens of forms, so the words are spread over all tasks whatever their bytes
+    # each word makes some dozens of forms, so the words are spread over all tasks whatever their bytes; by another hash
+    # than that of the sum, or the planner would take the sum's partitions, which AQE merges by size
     spread = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), documents.sparkSession.sparkContext.defaultParallelism)
-    words = seen.where("n > 0").groupBy("token").agg(F.sum("n").alias("n")).repartition(spread, "token")
+    words = seen.where("n > 0").groupBy("token").agg(F.sum("n").alias("n")).repartition(spread, F.xxhash64("token"))
     odd = seen.where("n = 0").select("doc_id", "token")
     distinct = odd.select("token").distinct()
     forms = words.mapInPandas(_forms, "token string, word string, n long, chain string")
