@@ -66,6 +66,17 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p6_match_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans among the composite references of mapped scenes, when a partly null key means something."""
+    mapped, scenes = table(spark, d, "scene_domain_map"), table(spark, d, "scenes")
+    out = None
+    for mode in ("partial", "full"):
+        rows = orphan_references(mapped, scenes, {"external_video_id": "video_name", "scene_id": "scene_id"}, "map_id", "loaded_at", "loaded_at", match=mode)
+        part = rows.select(F.lit(mode).alias("match_mode"), "row_id", "orphan_kind")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 P1_SQL = """
 with v as (select video_id, arg_min(fps, created_at) fps from videos where fps > 0 group by 1),
 w as (select video_name, arg_min(fps, created_at) fps from videos where fps > 0 group by 1),
@@ -101,11 +112,27 @@ P6_SQL = " union all ".join(
     ]
 )
 
-QUERIES = {"p1_found": p1_found, "p1_coverage": p1_coverage, "p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found, "p6_report": p6_report}
+def _mask_sql(mode: str, held: tuple[str, ...], absent: tuple[str, ...]) -> str:
+    keys = ", ".join(held)
+    there = " and ".join([*(f"{k} is not null" for k in held), *(f"{k} is null" for k in absent)])
+    if absent and mode == "full":
+        return f"select '{mode}' match_mode, row_id, 'missing' orphan_kind from refs where {there}"
+    known = " and ".join(f"{k} is not null" for k in held)
+    return f"""select '{mode}' match_mode, row_id, case when since is null then 'missing' else 'late' end orphan_kind from (select * from refs where {there}) r
+      left join (select {keys}, min(since) since from targets where {known} group by {keys}) t using ({keys}) where since is null or since > loaded"""
+
+
+P6_MODES_SQL = """with refs as (select map_id row_id, loaded_at loaded, lower(regexp_replace(external_video_id, '^\\s+|\\s+$', '', 'g')) k0, scene_id k1 from (select *, row_number() over (partition by map_id order by loaded_at) rn from scene_domain_map) where rn = 1),
+ targets as (select lower(regexp_replace(video_name, '^\\s+|\\s+$', '', 'g')) k0, scene_id k1, loaded_at since from scenes) """ + " union all ".join(
+    _mask_sql(mode, held, absent) for mode in ("partial", "full") for held, absent in ((("k0", "k1"), ()), (("k0",), ("k1",)), (("k1",), ("k0",)))
+)
+
+QUERIES = {"p1_found": p1_found, "p1_coverage": p1_coverage, "p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found, "p6_report": p6_report, "p6_match_modes": p6_match_modes}
 SQL = {
     "p1_found": P1_SQL + "select * from spans",
     "p1_coverage": P1_SQL + """select video_name, sum((span_kind = 'period')::int)::bigint n_periods, sum((span_kind = 'gap')::int)::bigint n_gaps,
       sum(case when span_kind = 'period' then end_frame - start_frame + 1 else 0 end)::bigint covered_frames, sum(case when span_kind = 'gap' then end_frame - start_frame + 1 else 0 end)::bigint gap_frames from spans group by 1""",
     "p6_found": P6_SQL,
+    "p6_match_modes": P6_MODES_SQL,
     "p6_report": f"select ref_field, orphan_kind, load_month, count(*) n from ({P6_SQL}) group by 1, 2, 3",
 }

@@ -140,3 +140,26 @@ def test_scalars(spark):
 
     want = hashlib.sha256(json.dumps({"a": 1, "b": "ă", "c": None}, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
     assert val(X.stable_hash({"b": s("ă"), "a": s(1), "c": s(None).cast("string")})) == want
+
+
+def test_keywords_are_composed_and_folded(spark):
+    import unicodedata
+
+    from framewright.functions.expr import normalize_keywords
+    from pyspark.sql import functions as F
+
+    rows = [(1, [unicodedata.normalize("NFD", "Bắt  Quả Tang"), "bắt quả tang", None, " ", "STRASSE", "straße", "a", "b"]), (2, None), (3, [])]
+    df = spark.createDataFrame(rows, "id int, keywords array<string>")
+    got = {r.id: r.k for r in df.select("id", normalize_keywords(F.col("keywords")).alias("k")).collect()}
+    assert got == {1: ["bắt quả tang", "strasse", "a", "b"], 2: None, 3: []}
+
+
+def test_a_strict_tag_build_refuses_unknown_domains(spark):
+    from framewright.operators.tags import compute_tags
+
+    frames = spark.createDataFrame([(1, "v", 0)], "point_id long, video_name string, scene_idx int")
+    mapped = spark.createDataFrame([(1, "a", 0, "v", "odd", 1)], "map_id long, analysis_id string, scene_id int, external_video_id string, domain_id string, loaded_at int")
+    vocab = spark.createDataFrame([(0, "known", "")], "tag int, name string, description string")
+    assert compute_tags(frames, mapped, vocab).first().tag == 65535
+    with pytest.raises(ValueError, match="odd"):
+        compute_tags(frames, mapped, vocab, strict=True)

@@ -56,3 +56,12 @@ def test_hot_key_empty_tables_and_clashing_columns(spark):
 def test_report_by_month(spark):
     o = spark.createDataFrame([(1, "late", "2026-01-03"), (2, "late", "2026-01-09"), (3, "missing", None)], "row_id long, orphan_kind string, loaded string").selectExpr("row_id", "orphan_kind", "cast(loaded as timestamp) loaded")
     assert {tuple(r) for r in orphan_report(o, "t").collect()} == {("t", "late", "2026-01", 2), ("t", "missing", None, 1)}
+
+
+def test_rows_without_an_id_each_count(spark):
+    from framewright.operators.orphans import orphan_references
+
+    refs = spark.createDataFrame([(None, "x", 1), (None, "x", 1), (None, "y", 2), (1, "x", 1), (1, "x", 2)], "id long, k string, t int")
+    targets = spark.createDataFrame([("y", 0)], "k string, t int")
+    got = [(r.row_id, r.orphan_kind) for r in orphan_references(refs, targets, {"k": "k"}, "id", "t", "t").collect()]
+    assert sorted(got, key=str) == [(1, "missing"), (None, "missing"), (None, "missing")]
