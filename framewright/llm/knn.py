@@ -15,7 +15,7 @@ are moved as 4 bytes a value; similarities in the result are computed from them
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -540,3 +540,19 @@ def _packed(cells: Cells, dim: int, both: bool):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(cell), _bytes(x[rows])], ["point_id", "cell", "vec"])
 
     return run
+
+
+def graph_coarse(vectors: DataFrame, dim: int = DIM, graph: DataFrame | None = None):
+    """An approximate coarse cut for ``operators.search.two_tier`` and ``search``: greedy search in the neighbour graph.
+
+    Of the points nearest to the query those among the given points are kept, so a filter that few points pass leaves few
+    rows; the exact plan is for such. Of more than six equal vectors only those of the smallest ids are in the graph.
+    """
+    held = checkpointed(neighbour_graph(vectors, K, dim) if graph is None else graph)
+
+    def coarse(points: DataFrame, query: Sequence[float], n: int) -> DataFrame:
+        asked = vectors.sparkSession.createDataFrame([(-1, [float(x) for x in query])], "query_id long, vector array<float>")
+        near = graph_search(vectors, asked, n, dim, beam=max(n, 24), width=max(6, n // 4), graph=held)
+        return points.select("point_id").join(near.select("point_id"), "point_id", "left_semi").distinct()
+
+    return coarse

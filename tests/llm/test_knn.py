@@ -128,3 +128,13 @@ def test_cells_keep_their_size_at_any_number_of_rows(n, rows):
 def test_sample_is_never_empty(spark):
     df = table(spark, range(50), clusters(50))
     assert len(K._sample(df.select("point_id", "vector"), 10**13, D)) >= 1
+
+
+def test_the_graph_is_a_coarse_cut_for_search(spark):
+    from framewright.operators.search import exact_topk, two_tier
+
+    x = clusters(600, 11)
+    df = table(spark, range(600), x).select("point_id", "vector")
+    want = {r.point_id for r in exact_topk(df, x[7], 10).collect()}
+    got = [r.point_id for r in two_tier(df, x[7], 10, 40, K.graph_coarse(df, D)).orderBy("rank").collect()]
+    assert len(want & set(got)) >= 9 and got[0] == 7
