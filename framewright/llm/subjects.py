@@ -47,6 +47,8 @@ FILLER_SHARE, FILLER_TIMES = 0.001, 20
 SHARE = 0.2
 BEAM, COMPOSED, SEED = 6, 6_000, 11
 LONG_PIECE, PIECE, BLOCK = 13, 1 << 17, 300_000
+#: Sentences of about so many words are scored at once, and so many terms that stand alone are fitted at once.
+BATCH, ALONE = 1 << 16, 1 << 13
 #: Where the slope of a share's effect may change.
 KNOTS = (0.05, 0.1, 0.14, 0.17, 0.185, 0.21, 0.24, 0.3)
 _WORD = re.compile(r"[^\W_]+")
@@ -90,6 +92,14 @@ def _pieces(starts: np.ndarray, total: int) -> Iterator[tuple[int, int, int, int
         yield int(a), int(b), int(ends[a]), int(ends[b])
 
 
+def _batches(pieces: list[list[str]]) -> Iterator[list[list[str]]]:
+    """Runs of sentences of about ``BATCH`` words; an empty one if there are no sentences."""
+    at = np.cumsum([len(ws) for ws in pieces]) // BATCH
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(pieces)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield pieces[a:b]
+
+
 class Logistic:
     """Multinomial logistic regression over sparse named features, by full-batch AdaGrad."""
 
@@ -97,19 +107,49 @@ class Logistic:
         self.index, self.value, self.weights = index, value, weights
 
     @classmethod
-    def fit(cls, rows: Iterable[Iterable[str]], labels: list[int], weight: list[float], classes: int, value=None, normed: bool = True, epochs: int = 25, rate: float = 0.5, l2: float = 1e-5) -> Logistic:
-        """``rows`` is read once and kept as numbers; sums run over pieces of ``PIECE`` cells, so memory stays small."""
+    def fit(cls, rows: Iterable[Iterable[str]], labels: list[int], weight: list[float], classes: int, value=None, normed: bool = True, epochs: int = 25, rate: float = 0.5, l2: float = 1e-5, alone: tuple[list[str], np.ndarray] | None = None) -> Logistic:
+        """``rows`` is read once and kept as numbers; sums run over pieces of ``PIECE`` cells, so memory stays small.
+
+        ``alone`` are features that no row has, and for each class the weight of the rows of it that have just that feature;
+        such rows are never made.
+        """
         index: dict[str, int] = {}
-        r, c, n = array("i"), array("i"), len(labels)
+        r, c = array("i"), array("i")
         for k, row in enumerate(rows):
             for f in row:
                 c.append(index.setdefault(f, len(index)))
                 r.append(k)
-        names = list(index)
-        v = np.array([value(f) for f in names] if value else np.ones(len(names)), np.float32)
-        w = np.zeros((len(names), classes), np.float32)
+        weigh = lambda names: np.array([value(f) for f in names] if value else np.ones(len(names)), np.float32)
+        wt = np.array(weight, np.float32)[:, None]
+        shrink = l2 * (float(wt.sum()) + (float(alone[1].sum(dtype=float)) if alone else 0.0))  # many light rows pull no more than their weight
+        v = weigh(index)
+        w = cls._fit_rows(r, c, v, labels, wt, classes, normed, epochs, rate, shrink)
+        if alone:
+            own = weigh(alone[0])
+            index.update(zip(alone[0], range(len(index), len(index) + len(own))))
+            w = np.concatenate([w, cls._fit_alone(own / (own + np.float32(1e-9)) if normed else own, alone[1], epochs, rate, shrink)])
+            v = np.r_[v, own]
+        return cls(index, v, w)
+
+    @staticmethod
+    def _fit_alone(x: np.ndarray, by_class: np.ndarray, epochs: int, rate: float, shrink: float) -> np.ndarray:
+        """The weights of features that stand alone in their rows. None changes another's, so they are fitted block by block."""
+        w = np.zeros(by_class.shape, np.float32)
+        for a in range(0, len(w), ALONE):
+            own, xs, y = w[a : a + ALONE], x[a : a + ALONE, None], by_class[a : a + ALONE].astype(np.float32)
+            total, seen = y.sum(axis=1, keepdims=True), np.full_like(own, 1e-8)
+            for _ in range(epochs):
+                g = xs * (softmax(xs * own) * total - y) + shrink * own
+                seen += g * g
+                own -= rate * g / np.sqrt(seen)
+        return w
+
+    @staticmethod
+    def _fit_rows(r: array, c: array, v: np.ndarray, labels: list[int], wt: np.ndarray, classes: int, normed: bool, epochs: int, rate: float, shrink: float) -> np.ndarray:
+        """The weights of the features ``c`` of the rows ``r``."""
+        w, n = np.zeros((len(v), classes), np.float32), len(labels)
         if not c:
-            return cls(index, v, w)
+            return w
         r, c = np.frombuffer(r, np.int32), np.frombuffer(c, np.int32)
         x = v[c]
         if normed:
@@ -124,8 +164,6 @@ class Logistic:
         by_row, by_column = list(_pieces(first, len(c))), list(_pieces(col, len(c)))
         y = np.zeros((n, classes), np.float32)
         y[np.arange(n), labels] = 1
-        wt = np.array(weight, np.float32)[:, None]
-        shrink = l2 * float(wt.sum())  # many light rows pull no more than their weight
         seen = np.full_like(w, 1e-8)
         z, g = np.zeros((n, classes), np.float32), np.zeros_like(w)
         for _ in range(epochs):
@@ -137,7 +175,7 @@ class Logistic:
             g += shrink * w
             seen += g * g
             w -= rate * g / np.sqrt(seen)
-        return cls(index, v, w)
+        return w
 
     def strongest(self, most: int) -> np.ndarray:
         """The numbers of the ``most`` features that say most."""
@@ -151,18 +189,26 @@ class TermModel:
     def __init__(self, fitted: Logistic, classes: int):
         keep = fitted.strongest(MAX_TERMS)
         names = list(fitted.index)
-        split = [names[k].split(" ") for k in keep]
         self.value, self.weights, self.classes = fitted.value[keep], fitted.weights[keep], classes
-        self.words = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
+        self.words: dict[str, int] = {}
+        first, second = array("q"), array("q")
+        for k in keep.tolist():
+            a, _, b = names[k].partition(" ")
+            first.append(self.words.setdefault(a, len(self.words)))
+            second.append(self.words.setdefault(b, len(self.words)) if b else -1)
+        first, second = np.array(first, np.int64), np.array(second, np.int64)
         self.single = np.full(len(self.words) + 1, -1)
-        for i, ws in enumerate(split):
-            if len(ws) == 1:
-                self.single[self.words[ws[0]]] = i
-        two = [(self.words[ws[0]] * len(self.words) + self.words[ws[1]], i) for i, ws in enumerate(split) if len(ws) == 2]
-        self.pairs, self.pair_of = (np.array(x, np.int64) for x in zip(*sorted(two))) if two else (np.zeros(0, np.int64),) * 2
+        self.single[first[second < 0]] = np.flatnonzero(second < 0)
+        two = np.flatnonzero(second >= 0)
+        key = first[two] * len(self.words) + second[two]
+        order = np.argsort(key)
+        self.pairs, self.pair_of = key[order], two[order]
 
     def scores(self, pieces: list[list[str]]) -> np.ndarray:
         """A row of scores for each sentence; zeros where no term is known."""
+        return np.concatenate([self._scores(own) for own in _batches(pieces)])
+
+    def _scores(self, pieces: list[list[str]]) -> np.ndarray:
         out = np.zeros((len(pieces), self.classes), np.float32)
         if not self.words or not pieces:
             return out
@@ -211,6 +257,9 @@ class GapModel:
 
     def margins(self, pieces: list[list[str]]) -> np.ndarray:
         """For each word of each piece, one after the other: how much speaks for a sentence beginning there."""
+        return np.concatenate([self._margins(own) for own in _batches(pieces)])
+
+    def _margins(self, pieces: list[list[str]]) -> np.ndarray:
         get = self.words.get
         pad = [0, 0]
         ids = np.array([i for ws in pieces for i in (*pad, *(get(w, 1) for w in ws), *pad)], np.int64)
@@ -522,26 +571,20 @@ def fit_scored(subjects: list[str], examples: list[tuple[str, str, int]], segmen
             add(k, label, 0.5)
     # a fifth of the labelled sentences is kept from the models that the chain learns on, so that it meets their errors
     held = np.array([i < whole and i % 5 == 4 for i in range(len(rows))], bool)
-    features = [terms(ws) for ws in rows]
 
-    def term_model(kept: np.ndarray, extra: pd.DataFrame | None = None) -> TermModel:
+    def term_model(kept: np.ndarray, taught: tuple[list[str], np.ndarray] | None = None) -> TermModel:
         at = np.flatnonzero(kept)
-        more = [] if extra is None else [(t,) for t in extra["term"]]
-        labelled = [labels[i] for i in at] + ([] if extra is None else extra["label"].tolist())
-        weights = [weight[i] for i in at] + ([] if extra is None else (each * extra["n"]).tolist())
-        fitted = Logistic.fit([features[i] for i in at] + more, labelled, weights, n, value)
-        return TermModel(fitted, n)
+        return TermModel(Logistic.fit((terms(rows[i]) for i in at), [labels[i] for i in at], [weight[i] for i in at], n, value, alone=taught), n)
 
     each, new, scored = TERM_WEIGHT * min(1.0, CORPUS_WEIGHT / max(size, 1)), None, None
     model.term_model = term_model(~held)
     if texts is not None:
-        # again with terms that no label shows, each a row for every subject it was taught for; what it teaches the model
-        # lets it judge more sentences, above all in languages with few labels
-        known = frozenset(t for row in features for t in row)
+        # again with terms that no label shows, each with its weight for every subject it was taught for; what it teaches
+        # the model lets it judge more sentences, above all in languages with few labels
+        known = frozenset(t for ws in rows for t in terms(ws))
         for _ in range(LESSONS):
-            taught = checkpointed(taught_terms(texts, model, known))
-            common = taught.groupBy("term").agg(F.sum("n").alias("all")).where("all >= 2").orderBy(F.desc("all"), "term").limit(MAX_TERMS)
-            new = taught.join(common, "term").orderBy("term", "label").select("term", "label", "n").toPandas()
+            names, counts = _commonest(checkpointed(taught_terms(texts, model, known)), n)
+            new = (names, np.float32(each) * counts)
             model.term_model = term_model(~held, new)
         drawn = [[s.split(" ") for s in r.pieces] for r in _hashed(texts.where("marked and size(pieces) between 2 and 60"), ["doc_id"], MAX_MARKED).orderBy("doc_id").select("pieces").collect()]
         drawn = [d for d in model.cut(drawn) if len(d) > 1]
@@ -555,6 +598,18 @@ def fit_scored(subjects: list[str], examples: list[tuple[str, str, int]], segmen
     return model, scored
 
 
+def _commonest(taught: DataFrame, subjects: int) -> tuple[list[str], np.ndarray]:
+    """The ``MAX_TERMS`` commonest taught terms, and how often each was taught for each subject.
+
+    A term comes as one row of numbers in Arrow batches: rows for each of its subjects would be too many for the driver.
+    """
+    by_label = F.array(*(F.sum(F.when(F.col("label") == j, F.col("n")).otherwise(0)) for j in range(subjects)))
+    terms_of = taught.groupBy("term").agg(F.sum("n").alias("all"), by_label.alias("by_label")).where("all >= 2")
+    got = terms_of.orderBy(F.desc("all"), "term").limit(MAX_TERMS).select("term", "by_label").orderBy("term").toArrow()
+    counts = got["by_label"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return got["term"].to_pylist(), counts.reshape(-1, subjects).astype(np.float32)
+
+
 def _fit_gaps(marked: list[list[list[str]]]) -> GapModel:
     """The boundary model, from sentences whose ends are known by their marks."""
     flat = [[w for s in pieces for w in s] for pieces in marked]

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +116,63 @@ def test_scores_equal_the_plain_sums():
     assert S.TermModel(fitted, 3).scores(asked) == pytest.approx(np.array(want), abs=1e-5)
 
 
+def test_terms_that_stand_alone_are_fitted_as_rows_of_their_own(monkeypatch):
+    monkeypatch.setattr(S, "ALONE", 2)
+    rows, labels, each = [["a", "b", "c"], ["b", "c", "a"], ["d", "a"]], [0, 1, 2], 0.25
+    names, counts = ["x", "x y", "z", "common", "q"], np.array([[3, 0, 1], [0, 2, 0], [5, 4, 2], [9, 0, 0], [0, 0, 4]])
+    value = lambda t: 0.0 if t == "common" else 0.5 if " " in t else 1.0
+    term, label = np.nonzero(counts)
+    plain = S.Logistic.fit([*map(S.terms, rows), *([names[i]] for i in term)], labels + label.tolist(), [1.0] * 3 + (each * counts[term, label]).tolist(), 3, value)
+    got = S.Logistic.fit(map(S.terms, rows), labels, [1.0] * 3, 3, value, alone=(names, np.float32(each) * counts))
+    assert set(got.index) == set(plain.index)
+    for t in plain.index:
+        assert got.value[got.index[t]] == plain.value[plain.index[t]] and got.weights[got.index[t]] == pytest.approx(plain.weights[plain.index[t]], abs=1e-5)
+
+
+def test_batches_change_no_score(monkeypatch):
+    rng = np.random.default_rng(3)
+    pieces = [[f"w{i}" for i in rng.integers(0, 30, n)] for n in (3, 0, 40, 1, 7, 16, 0)]
+    fitted = S.Logistic.fit(map(S.terms, pieces), [0, 1, 2, 0, 1, 2, 0], [1.0] * 7, 3)
+    gaps = S._fit_gaps([[ws for ws in pieces if ws]])
+    long = [ws for ws in pieces if ws]
+    whole = S.TermModel(fitted, 3).scores(pieces), gaps.margins(long)
+    monkeypatch.setattr(S, "BATCH", 8)
+    assert len(list(S._batches(pieces))) > 3
+    assert (S.TermModel(fitted, 3).scores(pieces) == whole[0]).all() and (gaps.margins(long) == whole[1]).all()
+    assert S.TermModel(fitted, 3).scores([]).shape == (0, 3)
+
+
+def test_the_driver_holds_no_row_for_each_subject_of_a_taught_term(spark, monkeypatch):
+    """Many terms, each taught for all subjects: what the fit takes on the driver follows the terms, and none is left out."""
+    subjects, many = [f"s{j}" for j in range(13)], 20_000
+    every = spark.range(many * 13).selectExpr(f"concat('term', id % {many}) as term", f"cast(id div {many} as int) as label", f"id div {many} + 1 as n")
+    monkeypatch.setattr(S, "taught_terms", lambda texts, model, known: every)
+    learned, fit = [], S.Logistic.fit
+
+    def counted(*a, **k):
+        fitted = fit(*a, **k)
+        learned.append(sum(str(t).startswith("term") for t in fitted.index))
+        return fitted
+
+    monkeypatch.setattr(S.Logistic, "fit", counted)
+    examples = [(f"alpha{j} beta{j} gamma{i}.", "en", j) for j in range(13) for i in range(5)]
+    documents = spark.createDataFrame([(i, f"alpha{i} beta{i}. gamma{i} one two.", "s") for i in range(13)], "doc_id long, text string, source string")
+    monkeypatch.setattr(S, "COMPOSED", 100)
+    tracemalloc.start()
+    S.fit(subjects, examples, [], documents)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert learned.count(many) == 2
+    assert peak < 60e6  # 260,000 rows of a term, a subject and a number took more
+    monkeypatch.setattr(S, "MAX_TERMS", 7)
+    more = every.union(spark.createDataFrame([("often", 3, 500), ("once", 0, 1)], every.schema))
+    names, counts = S._commonest(more, 13)
+    assert len(names) == 7 and names == sorted(names) and "often" in names and "once" not in names
+    assert counts[names.index("often")].tolist() == [0] * 3 + [500] + [0] * 9 and counts[names.index("term0")].tolist() == list(range(1, 14))
+    names, counts = S._commonest(every.limit(0), 13)
+    assert names == [] and counts.shape == (0, 13)
+
+
 def test_gaps_are_found_for_many_texts_at_once():
     rng = np.random.default_rng(0)
     sentence = lambda: ["then", *[f"w{i}" for i in rng.integers(0, 40, 8)], "end"]
